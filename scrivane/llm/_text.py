@@ -71,13 +71,13 @@ def slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int, np.nd
 
 
 class Words:
-    """Runs of bytes other than x09-x0D and x20 of a slice, in order, never across documents.
+    """Runs of bytes that are no gaps (x09-x0D and x20 unless told) of a slice, in order, never across documents.
 
     ``first[d]:first[d + 1]`` are the words of document d; start and end are byte positions.
     """
 
-    def __init__(self, b: np.ndarray, offs: np.ndarray):
-        gap = IS_SPACE[b]
+    def __init__(self, b: np.ndarray, offs: np.ndarray, gaps: np.ndarray = IS_SPACE):
+        gap = gaps[b]
         s = ~gap
         e = s.copy()
         begin = offs[:-1][offs[:-1] < offs[1:]]
@@ -97,6 +97,15 @@ class Words:
         return np.repeat(np.arange(len(self.count)), self.count)
 
 
+def lowered(b: np.ndarray) -> np.ndarray:
+    """Lower-cases A-Z and, in UTF-8, the capitals of Latin-1."""
+    c = LOWER[b]
+    if len(c) > 1:
+        tail = c[1:]
+        tail[(c[:-1] == 0xC3) & (tail >= 0x80) & (tail <= 0x9E) & (tail != 0x97)] += 0x20
+    return c
+
+
 def prefix_sums(b: np.ndarray, value: np.ndarray = BYTE_VALUE) -> np.ndarray:
     p, _ = powers(len(b) + 1)
     out = np.zeros(len(b) + 1, np.uint64)

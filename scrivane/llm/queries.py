@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivane.llm import quality, sharding
+from scrivane.llm import language, packing, quality, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     found = [
+        toxicity.op2_toxic_clauses,
+        language.op3_language_mixture,
         quality.op4_quality_rules,
+        packing.op5_pack_sequences,
         sharding.op8_interleaved_shards,
     ]
     return {f.__name__: f for f in found}

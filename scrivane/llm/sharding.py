@@ -24,6 +24,8 @@ from scrivane.llm._kit import saved, table
 
 #: Rows a bucket holds on average.
 BUCKET_ROWS = 4096
+#: Sources up to which their counts are broadcast, and parts of each source in a join beyond.
+MOST_BROADCAST, SALTS = 100_000, 64
 
 
 def _running(counts: DataFrame, part: list[str], bucket: str) -> DataFrame:
@@ -62,7 +64,12 @@ def interleave_shards(docs: DataFrame, n_shards: int, *, id_col: str = "doc_id",
     # Counts decide the buckets, so hot sources get more of them.
     sizes = rows.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
     total = docs.count()
-    rows = rows.join(sizes, "_s")
+    # A shuffle by source would put a hot source in one task, so few sources are broadcast and many are salted.
+    if sizes.count() <= MOST_BROADCAST:
+        rows = rows.join(F.broadcast(sizes), "_s")
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        rows = rows.withColumn("_salt", F.pmod("_h", F.lit(SALTS)).cast("int")).join(sizes.withColumn("_salt", salts), ["_s", "_salt"]).drop("_salt")
     # A bucket is a range of the top 32 bits of the hash.
     top = F.shiftrightunsigned(F.col("_h"), 32)
     rows = rows.withColumn("_b", F.floor(top * F.ceil(F.col("_n") / BUCKET_ROWS) / F.lit(1 << 32)))
