@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivane.llm import language, packing, quality, sharding, toxicity
+from scrivane.llm import jaccard, language, packing, quality, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         quality.op4_quality_rules,
         packing.op5_pack_sequences,
         sharding.op8_interleaved_shards,
+        jaccard.op10_jaccard_join,
     ]
     return {f.__name__: f for f in found}
 
