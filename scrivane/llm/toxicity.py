@@ -157,8 +157,9 @@ def document_weights(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
         doc = np.searchsorted(w.first, events, "right") - 1
         clause = np.searchsorted(np.flatnonzero(_BREAK[b]), w.start[events]) + doc
         starts = np.flatnonzero(np.diff(clause, prepend=-1))
+        stops = np.append(starts[1:], len(events))[: len(starts)]
         hot = (cls[events] == INSULT) | (cls[events] == THREAT)
-        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(events)], strict=True):
+        for s, e in zip(starts.tolist(), stops.tolist(), strict=True):
             if hot[s:e].any():
                 i = events[s:e]
                 out[doc[s], :-1] += clause_weights(cls[i].tolist(), weight[i].tolist(), [0, *(np.diff(i) - 1).tolist()])
