@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivane.llm import jaccard, language, packing, quality, sharding, toxicity
+from scrivane.llm import embeddings, jaccard, language, packing, quality, sharding, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,8 @@ def queries() -> dict[str, Query]:
         language.op3_language_mixture,
         quality.op4_quality_rules,
         packing.op5_pack_sequences,
+        embeddings.op6_embedding_classes,
+        urls.op7_url_filters,
         sharding.op8_interleaved_shards,
         jaccard.op10_jaccard_join,
     ]
@@ -24,4 +26,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**urls.SQL}
