@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivane.llm import embeddings, jaccard, language, packing, quality, sharding, toxicity, urls
+from scrivane.llm import embeddings, jaccard, language, mixing, packing, quality, sharding, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     found = [
+        mixing.op1_mixture,
         toxicity.op2_toxic_clauses,
         language.op3_language_mixture,
         quality.op4_quality_rules,
