@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivane.llm import embeddings, jaccard, language, mixing, packing, quality, sharding, toxicity, urls
+from scrivane.llm import embeddings, jaccard, language, licenses, mixing, packing, quality, sharding, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,10 +21,11 @@ def queries() -> dict[str, Query]:
         embeddings.op6_embedding_classes,
         urls.op7_url_filters,
         sharding.op8_interleaved_shards,
+        licenses.op9_license_scan,
         jaccard.op10_jaccard_join,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**urls.SQL}
+    return {**urls.SQL, **licenses.SQL}
