@@ -44,6 +44,8 @@ COUNT_BITS, CHUNK_BITS = 20, 16
 #: Rows of a list that one task holds, about.
 BLOCK = 4096
 STARS = 2
+#: Shingles for which a set asks for one more occurrence in its short lists.
+DEPTH_STEP = 20
 #: Members of a hub that are probed in one group.
 PROBES = 256
 SHORT = X.U(0xA0761D6478BD642F)
@@ -72,7 +74,7 @@ def node_of(s: np.ndarray) -> int:
 
 def depth(n: np.ndarray | int) -> np.ndarray | int:
     """Occurrences in the short lists that are asked for."""
-    return 1 + n // 100
+    return 1 + n // DEPTH_STEP
 
 
 def least_overlap(n: np.ndarray | int, m: np.ndarray | int) -> np.ndarray | int:
@@ -200,9 +202,13 @@ def _fits(nx, px, ny, py):
 
 def _star_pairs(lists: DataFrame, turn: int) -> DataFrame:
     """(x, y) of a list's hub and its members of other classes; the hub is the smallest by a hash."""
-    hub = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"))).alias("hub")).select("token", "hub.x", "hub.cx", "hub.nx")
-    near = lists.join(hub, "token").where("comp <> cx").where(f"{NUM} * greatest(n, nx) <= {DEN} * least(n, nx)")
-    return near.select("x", F.col("node").alias("y")).distinct()
+    hub = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("pos").alias("px"))).alias("hub")).select("token", "hub.x", "hub.cx", "hub.nx", "hub.px")
+    big = "greatest(n, nx)"
+    need = f"(1 + ({NUM} * {big} div {DEN}) div {DEPTH_STEP})"
+    near = lists.join(hub, "token").where("comp <> cx").where(f"{NUM} * {big} <= {DEN} * least(n, nx)")
+    near = near.where(f"{need} + least(nx - px, n - pos) - 1 >= ceil({NUM} * (n + nx) / {NUM + DEN})")
+    hits = near.groupBy("x", F.col("node").alias("y"), "n", "nx").agg(F.count(F.lit(1)).alias("hits"))
+    return hits.where(f"hits >= {need}").select("x", "y")
 
 
 def _merged_pairs(lists: DataFrame) -> DataFrame:
