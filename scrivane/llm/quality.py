@@ -190,8 +190,10 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         w, a, c = fit(t["_t"].cast(pa.large_string()).combine_chunks(), t["_y"].to_numpy(), t["_k"].to_numpy(), t["_o"].to_numpy())
         yield pa.record_batch([pa.array([w.tobytes()], pa.binary()), pa.array([a]), pa.array([c])], names=["w", "a", "c"])
 
-    row = sample.repartition(1).mapInArrow(one, "w binary, a double, c double").collect()[0]
-    return np.frombuffer(bytes(row["w"]), np.float32), row["a"], row["c"]
+    rows = sample.repartition(1).mapInArrow(one, "w binary, a double, c double").collect()
+    if not rows:  # an empty sample may run no task
+        return fit(pa.array([], pa.large_string()), *(np.zeros(0) for _ in range(3)))
+    return np.frombuffer(bytes(rows[0]["w"]), np.float32), rows[0]["a"], rows[0]["c"]
 
 
 def score_quality(docs: DataFrame, model: tuple[np.ndarray, float, float], *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:

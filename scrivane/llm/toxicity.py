@@ -287,6 +287,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
             yield pa.record_batch([pa.array([text], pa.binary()), pa.array([kind]), pa.array([float(v)])], names=["t", "kind", "v"])
 
     got = rows.withColumn("_id", F.col("_id").cast("long")).repartition(1).mapInArrow(one, "t binary, kind string, v double").collect()
+    if not got:  # an empty sample may run no task
+        return fit(pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0))
     by = {k: {bytes(r["t"]): r["v"] for r in got if r["kind"] == k} for k in ("stem", "word", "coef")}
     return Model(by["stem"], by["word"], np.array([by["coef"][b"%d" % i] for i in range(len(by["coef"]))]))
 

@@ -1,0 +1,483 @@
+"""Each operator against brute force, and on the tables that go wrong."""
+
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from scrivane.llm import embeddings, jaccard, language, licenses, mixing, packing, quality, sharding, toxicity, urls
+from scrivane.llm._graph import components
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: Names that the operators use for their own columns.
+CLASH = ["_id", "_t", "node", "n", "short", "shard", "slot", "law", "_row", "_s", "_h", "size", "score", "kept", "sequence_id", "component_id", "host", "rule", "quality"]
+
+
+def awkward(spark):
+    long = " ".join(f"w{i % 701}x{i % 13}" for i in range(60_000))
+    rows = [
+        (1, None, "en", "a", 0), (2, "", "en", None, 0), (3, "  \n\t ", None, "a", 5), (4, "one", "en", "b", 3), (5, "one", "en", "b", 3), (5, "one", "en", "b", 3), (6, long, "en", "a", len(long)),
+        (None, "no id here at all", "en", None, 1), (8, "é\u3000ü\x1c ñ", "fr", "ä", 5), (9, "x" * 30_000, None, "a", 30_000), (10, "a b c d e f g h", None, "b", 15), (11, "A B  C D E f G h", None, None, 15),
+    ]
+    d = spark.createDataFrame(rows, DOCS)
+    return d.select("*", *(F.lit("clash").alias(c) for c in CLASH))
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+@pytest.fixture(scope="module")
+def tables(spark, sf):
+    return {t: spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels", "embeddings", "pages")}
+
+
+def test_components(spark):
+    rng = np.random.default_rng(3)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))] + [(i, i + 1) for i in range(100, 130)]
+    parent = {x: x for p in links for x in p}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: root(x) for p in links for x in p if p[0] != p[1]}
+    assert components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
+# Jaccard join.
+
+
+def sets_of(text):
+    w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def jaccard_brute(docs):
+    sets = {i: sets_of(t) for i, t in docs}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {i: (len(sets[i]), root(i)) for i in ids}
+
+
+def edited(base, rng, words, n):
+    w = base.split(" ")
+    for i in rng.integers(0, len(w), n):
+        w[i] = words[rng.integers(len(words))]
+    return " ".join(w)
+
+
+def test_jaccard_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(400)]
+    passage = " ".join(rng.choice(words, 60))
+    docs = {}
+    for _ in range(8):
+        base = " ".join(rng.choice(words, int(rng.integers(20, 250))))
+        for _ in range(int(rng.integers(1, 14))):
+            docs[len(docs)] = edited(base, rng, words, int(rng.integers(0, 9)))
+    for _ in range(25):
+        docs[len(docs)] = passage + " " + " ".join(rng.choice(words, int(rng.integers(2, 80))))
+    for t in ("a b", "A b", "a b c", "", None, "  ", "p q r s t", "P q R s\nt", "p q r s t u"):
+        docs[len(docs)] = t
+    got = jaccard.jaccard_classes(spark.createDataFrame(list(docs.items()), "doc_id long, text string"))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == jaccard_brute(docs.items())
+
+
+def test_jaccard_in_parts_of_frequent_lists(spark, monkeypatch):
+    """With every shingle frequent and lists in several parts, links stay the same."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(300)]
+    base = " ".join(rng.choice(words, 120))
+    docs = {i: edited(base, rng, words, int(rng.integers(0, 6))) for i in range(40)}
+    monkeypatch.setattr(jaccard, "frequency_levels", lambda *a: np.full(1 << jaccard.COUNT_BITS, 9, np.uint8))
+    got = jaccard.jaccard_classes(spark.createDataFrame(list(docs.items()), "doc_id long, text string"))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == jaccard_brute(docs.items())
+
+
+def test_jaccard_awkward(spark):
+    got = sorted(((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in jaccard.jaccard_classes(awkward(spark)).collect()))
+    assert len(got) == 12 and [x for x in got if x[0] in (1, 2, 3)] == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
+    assert [x for x in got if x[0] in (4, 5)] == [(4, 1, 4), (5, 1, 4), (5, 1, 4)] and [x[2] for x in got if x[0] in (10, 11)] == [10, 10]
+    assert jaccard.jaccard_classes(empty(spark)).isEmpty()
+    kept = jaccard.keep_one_of_each(awkward(spark))
+    assert kept.columns == awkward(spark).columns and 5 not in {r["doc_id"] for r in kept.collect()}
+
+
+# Quality rules.
+
+
+def base_stats(text):
+    w = WORD.findall(text or "")
+    tri = Counter(zip(w, w[1:], w[2:], strict=False))
+    cover = {j for i in range(len(w) - 2) if tri[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(cover), len(w) < 50 or 100 * len(cover) > 50 * len(w)
+
+
+def test_quality_statistics_and_accuracy(spark, tables):
+    docs = tables["documents"]
+    model = quality.train_quality(docs, tables["labels"].where("doc_id % 2 = 0"))
+    got = {r["doc_id"]: r for r in quality.score_quality(docs, model).collect()}
+    for d in docs.collect():
+        r = got[d["doc_id"]]
+        assert (*(r[c] for c in quality.STATS), r["base_failed"]) == base_stats(d["text"])
+        assert not (r["base_failed"] and r["kept"])
+    held = [(r["quality"], got[r["doc_id"]]) for r in tables["labels"].where("doc_id % 2 = 1").collect()]
+    judged = [(y, r["kept"]) for y, r in held if not r["base_failed"]]
+    assert sum(y == k for y, k in judged) >= 0.9 * len(judged)
+
+
+def test_quality_awkward(spark):
+    model = quality.train_quality(awkward(spark), spark.createDataFrame([(6, 1, 0), (6, 1, 0), (9, 0, 0), (77, 1, 1), (None, 1, 1), (4, None, None)], LABELS))
+    got = quality.score_quality(awkward(spark), model).collect()
+    assert len(got) == 12 and all((*(r[c] for c in quality.STATS),)[0] == 0 for r in got if r["doc_id"] in (1, 2, 3))
+    none = quality.train_quality(empty(spark), spark.createDataFrame([], LABELS))
+    assert all(r["kept"] == (not r["base_failed"]) for r in quality.score_quality(awkward(spark), none).collect())
+    assert quality.score_quality(empty(spark), none).isEmpty()
+    assert quality.keep_quality(awkward(spark), spark.createDataFrame([], LABELS)).columns == awkward(spark).columns
+
+
+# Language.
+
+
+def test_language_accuracy_and_mixtures(spark, tables):
+    docs = tables["documents"]
+    model = language.train_language(docs.where("doc_id % 2 = 0"))
+    got = {r["doc_id"]: r for r in language.identify_language(docs, model).collect()}
+    held = docs.where("doc_id % 2 = 1 and lang is not null").collect()
+    assert sum(got[d["doc_id"]]["lang_pred"] == d["lang"] for d in held) >= 0.97 * len(held)
+    # A document of two halves is a mixture of both languages.
+    by = {}
+    for d in docs.where("lang in ('en', 'fr') and n_chars between 900 and 4000").collect():
+        by.setdefault(d["lang"], " ".join(WORD.findall(d["text"])[:120]))
+    both = spark.createDataFrame([(1, by["en"] + " " + by["fr"]), (2, by["en"])], "doc_id long, text string")
+    sets = {r["doc_id"]: set(r["langs"].split(",")) for r in language.identify_language(both, model).collect()}
+    assert sets == {1: {"en", "fr"}, 2: {"en"}}
+
+
+def test_language_awkward(spark):
+    model = language.train_language(awkward(spark))
+    got = [(r["doc_id"], r["lang_pred"], r["score"]) for r in language.identify_language(awkward(spark), model).collect()]
+    assert len(got) == 12 and all(0 <= s <= 1 for _, _, s in got)
+    assert {(i, p) for i, p, _ in got if i in (1, 2, 3)} == {(1, "und"), (2, "und"), (3, "und")} and {p for i, p, _ in got if i not in (1, 2, 3)} <= {"en", "fr"}
+    none = language.train_language(empty(spark))
+    assert {r["lang_pred"] for r in language.identify_language(awkward(spark), none).collect()} == {"und"}
+    assert language.identify_language(empty(spark), none).isEmpty()
+    letters = spark.createDataFrame([(1, "12 34 ..."), (2, "пример"), (3, "例")], "doc_id long, text string")
+    assert [r["lang_pred"] == "und" for r in language.identify_language(letters, model).orderBy("doc_id").collect()] == [True, False, False]
+
+
+# Toxicity.
+
+
+def test_grammar_tells_clauses_apart():
+    t = toxicity
+    kind = lambda symbols, gaps: t.KINDS[int(t.clause_weights(symbols, [1.0] * len(symbols), gaps).argmax())]
+    assert kind([t.INSULT], [0]) == "insult" and kind([t.TARGET, t.INSULT], [0, 1]) == "aimed insult" and kind([t.INSULT, t.TARGET], [0, 4]) == "aimed insult"
+    assert kind([t.NEGATION, t.INSULT], [0, 2]) == "negated insult" and kind([t.NEGATION, t.INSULT], [0, 3]) == "insult"
+    assert kind([t.REPORT, t.INSULT], [0, 30]) == "reported insult" and kind([t.THREAT, t.TARGET], [0, 0]) == "aimed threat" and kind([t.NEGATION, t.THREAT], [0, 0]) == "negated threat"
+    assert not t.clause_weights([t.TARGET, t.NEGATION], [1.0, 1.0], [0, 0]).any()
+
+
+def test_toxicity_learns_terminals_and_scores_held_out(spark):
+    rng = np.random.default_rng(2)
+    plain = ["".join(rng.choice(list("abdeghmnorst"), 6)) for _ in range(300)]
+    rows = []
+    for i in range(600):
+        w = list(rng.choice(plain, int(rng.integers(40, 160))))
+        if i % 5 == 0:
+            for at in rng.integers(0, len(w), 6):
+                w[at] = ("zwick" + plain[rng.integers(300)][:3]) if i % 2 else "blorf!"
+        rows.append((i, " ".join(w), int(i % 5 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows if i % 3], LABELS)
+    model = toxicity.train_toxicity(docs, labels)
+    assert any(s.startswith(b"zwic") for s in model.stems) and b"blorf" in {*model.words, *model.stems}
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(docs, model).collect()}
+    assert np.mean([got[i] == y for i, _, y in rows if i % 3 == 0]) >= 0.98
+
+
+def test_toxicity_awkward(spark):
+    model = toxicity.train_toxicity(awkward(spark), spark.createDataFrame([(4, 1, 1), (4, 1, 0), (6, 1, 0), (77, 0, 1), (None, 0, 1), (9, 1, None)], LABELS))
+    got = toxicity.score_toxicity(awkward(spark), model).collect()
+    assert len(got) == 12 and all(0 <= r["score"] <= 1 for r in got)
+    none = toxicity.train_toxicity(empty(spark), spark.createDataFrame([], LABELS))
+    assert {r["predicted"] for r in toxicity.score_toxicity(awkward(spark), none).collect()} == {0}
+    assert toxicity.score_toxicity(empty(spark), none).isEmpty()
+
+
+# Packing.
+
+
+def test_differencing():
+    rng = np.random.default_rng(4)
+    for n, k in ((0, 3), (1, 4), (40, 7), (300, 40)):
+        sizes = rng.integers(1, 257, n)
+        most, items = packing.difference(sizes, k)
+        assert sorted(i for w in items for i in w) == list(range(n)) and len(items) <= k
+        sums = [int(sizes[w].sum()) for w in items]
+        assert most == max(sums, default=0) and (n < 10 * k or max(sums) - min(sums) <= 60)
+    w = packing.windows_for(rng.integers(1, 257, 900))
+    assert len(w) > 1
+
+
+def check_packing(spark, docs, **how):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = packing.pack_documents(docs, with_ids=True, **how).collect()
+    at, used, pieces = defaultdict(int), defaultdict(list), defaultdict(list)
+    for r in got:
+        assert zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"]
+        used[r["sequence_id"]].append((r["offset"], r["length"]))
+        pieces[r["doc_id"]].append((r["start"], bytes(r["ids"]), r["doc_tokens"]))
+    for spans in used.values():
+        end = 0
+        for offset, length in sorted(spans):
+            assert offset == end
+            end += length
+        assert end <= 1024
+    want = defaultdict(list)
+    for d in docs.select("doc_id", "text").collect():
+        want[d["doc_id"]].append(np.array([*t.encode(d["text"] or "", add_special_tokens=False).ids, 0], "<u4").tobytes())
+    for i, texts in want.items():
+        if len(texts) == 1:
+            assert b"".join(p for _, p, _ in sorted(pieces[i])) == texts[0] and {n for *_, n in pieces[i]} == {len(texts[0]) // 4}
+        else:
+            assert sum(len(p) for _, p, _ in pieces[i]) == sum(map(len, texts))
+    total = sum(r["length"] for r in got)
+    return total / (1024 * max(1, len(used)))
+
+
+def test_packing_round_trip(spark, tables):
+    assert check_packing(spark, tables["documents"]) >= 0.98
+
+
+def test_packing_awkward(spark):
+    check_packing(spark, awkward(spark))
+    odd = ["a  b", " a", "a ", "\n\na b\n", "a\tb \r\nc", "x<|endoftext|>y z", "<|endoftext|>", "a\u00a0 b", "é\u2003 x", "\x1c a\x1c b", "don't  stop", "1 2  33"]
+    check_packing(spark, spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"))
+    assert packing.pack_documents(empty(spark)).isEmpty()
+
+
+# Sharding.
+
+
+def check_shards(rows, n, total):
+    by = defaultdict(list)
+    for r in rows:
+        by[r["shard"]].append(r["slot"])
+    assert sum(map(len, by.values())) == total and all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert total < n or set(by) == set(range(n))
+    assert max(map(len, by.values()), default=0) - (min(map(len, by.values()), default=0) if len(by) == n else 0) <= 1
+
+
+@pytest.mark.parametrize("bucket", [4096, 16])
+def test_sharding_keeps_the_mixture(spark, tables, monkeypatch, bucket):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", bucket)
+    docs = tables["documents"].select("doc_id", F.when(F.col("doc_id") % 3 == 0, "hot").when(F.col("doc_id") % 7 == 1, None).otherwise(F.col("source")).alias("source"))
+    got = sharding.interleave_shards(docs, 7).collect()
+    check_shards(got, 7, docs.count())
+    n, part = Counter(r["source"] for r in got), Counter((r["source"], r["shard"]) for r in got)
+    assert all(abs(part[s, k] - n[s] / 7) <= 1.01 for s in n for k in range(7))
+    again = {(r["doc_id"], r["shard"], r["slot"]) for r in sharding.interleave_shards(docs.repartition(5), 7).collect()}
+    assert again == {(r["doc_id"], r["shard"], r["slot"]) for r in got}
+    monkeypatch.setattr(sharding, "MOST_BROADCAST", 0)
+    assert {(r["doc_id"], r["shard"], r["slot"]) for r in sharding.interleave_shards(docs, 7).collect()} == again
+
+
+def test_sharding_awkward(spark):
+    check_shards(sharding.interleave_shards(awkward(spark), 24).collect(), 24, 12)
+    assert sharding.interleave_shards(empty(spark), 24).isEmpty()
+    with pytest.raises(ValueError):
+        sharding.interleave_shards(empty(spark), 2, law="key")
+
+
+# Mixing.
+
+
+def test_targets_are_filled_by_weight():
+    t = mixing.fill_targets([100, 1, 100])
+    assert t[1] == 3 and math.isclose(sum(t), 201) and math.isclose(t[2], 3 * t[0])
+    assert mixing.fill_targets([]) == [] and mixing.fill_targets([0, 0]) == [0, 0]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 17, 64, 1000])
+def test_permutation(n):
+    keys = mixing._round_keys("s", 1, 2)
+    p = mixing.permuted(np.arange(n), n, keys)
+    assert sorted(p) == list(range(n)) and (mixing.permuted(p, n, keys, back=True) == np.arange(n)).all()
+
+
+def test_draws_meet_the_totals():
+    c = mixing.draw_counts([1000, 10, 0, 5000], shard_slots=256)
+    assert c.sum(0).tolist() == [1000, 10, 0, 5000] and c.sum(1).max() - c.sum(1).min() <= 1 and abs(c[:, 0] - 1000 / len(c)).max() < 60
+
+
+@pytest.mark.parametrize(("block", "bucket"), [(256, 4096), (7, 16)])
+def test_mixing(spark, tables, monkeypatch, block, bucket):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket)
+    docs = tables["documents"].withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").when(F.col("doc_id") % 11 == 1, None).otherwise(F.concat(F.lit("s"), F.col("doc_id") % 4)))
+    taken, runs = mixing.mix_sources(docs, block=block, carry=("source",))
+    got = taken.collect()
+    size = {d["doc_id"]: len(WORD.findall(d["text"] or "")) for d in docs.collect()}
+    assert {r["doc_id"]: r["size"] for r in got} == size and all(r["taken"] <= 3 * r["size"] for r in got)
+    sums, words, target = Counter(), Counter(), {}
+    for r in got:
+        sums[r["source"]] += r["taken"]
+        words[r["source"]] += r["size"]
+        target[r["source"]] = r["target"]
+    order = sorted(s for s in words if s is not None) + [None]
+    assert [target[s] for s in order] == mixing.fill_targets([words[s] for s in order])
+    assert all(abs(sums[s] - target[s]) <= 1 for s in order)
+    again, _ = mixing.mix_sources(docs.repartition(6), block=block)
+    assert {(r["doc_id"], r["taken"]) for r in again.collect()} == {(r["doc_id"], r["taken"]) for r in got}
+    assert runs.groupBy("shard").agg(F.sum("words")).count() >= 1
+    made = mixing.mixed_documents(docs, block=block)
+    assert made.columns == docs.columns
+    n = Counter()
+    for r in made.collect():
+        n[r["doc_id"]] += len(WORD.findall(r["text"]))
+        assert r["n_chars"] == len(r["text"])
+    assert n == Counter({r["doc_id"]: r["taken"] for r in got if r["taken"]})
+
+
+def test_mixing_awkward(spark):
+    taken, _ = mixing.mix_sources(awkward(spark))
+    got = taken.collect()
+    assert len(got) == 12 and {(r["size"], r["taken"]) for r in got if r["doc_id"] in (1, 2, 3)} == {(0, 0)}
+    taken, runs = mixing.mix_sources(empty(spark))
+    assert taken.isEmpty() and runs.isEmpty() and mixing.mixed_documents(empty(spark)).isEmpty()
+    blank = spark.createDataFrame([(1, None, "en", "a", 0), (2, " ", "en", None, 1)], DOCS)
+    assert [r["taken"] for r in mixing.mix_sources(blank)[0].collect()] == [0, 0]
+
+
+# Embeddings.
+
+
+def cosine_brute(vectors):
+    ok = {i: np.array(v, float) for i, v in vectors if v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
+    link = {i: [j for j, b in ok.items() if i in ok and j != i and len(b) == len(ok[i]) and ok[i] @ b / np.linalg.norm(ok[i]) / np.linalg.norm(b) >= 0.95] for i, _ in vectors}
+    out = {}
+    for i, _ in vectors:
+        seen, todo = {i}, [i]
+        while todo:
+            todo += (more := [j for j in link[todo.pop()] if j not in seen])
+            seen.update(more)
+        out[i] = (len(link[i]), min(seen))
+    return out
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_embedding_links(spark, monkeypatch, block):
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    rng = np.random.default_rng(9)
+    vectors = []
+    for _ in range(30):
+        base = rng.standard_normal(32)
+        vectors += [(base + rng.standard_normal(32) * rng.choice([0.02, 0.1, 0.2])).astype(np.float32).tolist() for _ in range(int(rng.integers(1, 20)))]
+    vectors += [vectors[0], vectors[0], None, [], [0.0] * 32, [math.nan] + [1.0] * 31, [math.inf] * 32, [None] + [1.0] * 31, [1.0, 2.0], [2.0, 4.0], [5.0], [-3.0]]
+    rows = list(enumerate(vectors))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.embedding_classes(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    want = cosine_brute(rows)
+    assert set(got) == set(want) and all(got[i][0] <= want[i][0] for i in want)
+    assert sum(n for n, _ in got.values()) >= 0.95 * sum(n for n, _ in want.values())
+    assert np.mean([got[i][1] == want[i][1] for i in want]) >= 0.97
+    assert all(got[i] == (0, i) for i, v in rows if v is None or not v or i in range(len(vectors) - 8, len(vectors) - 4))
+    assert embeddings.embedding_classes(spark.createDataFrame([], "vec_id long, embedding array<float>")).isEmpty()
+
+
+def test_bounds_keep_close_pairs():
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal((200, 64))
+    x = np.concatenate([base, base + 0.15 * rng.standard_normal((200, 64))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    p, q, exact = embeddings.close_pairs(x, x, 0, 0.95, True)
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.95, 1)), strict=True)}
+    assert set(zip(p, q, strict=True)) == want and exact < 0.02 * 400 * 399 / 2
+
+
+# URLs.
+
+
+def glob_brute(pattern, text):
+    return re.fullmatch("".join({"*": "(?s:.)*", "~": "[^/]*", "?": "(?s:.)"}.get(c, re.escape(c)) for c in pattern), text) is not None
+
+
+def test_automaton_equals_regular_expressions():
+    rng = np.random.default_rng(6)
+    patterns = list({"".join(rng.choice(list("ab/*~?"), int(rng.integers(1, 9)))) for _ in range(60)})
+    texts = ["".join(rng.choice(list("ab/"), int(rng.integers(0, 12)))) for _ in range(300)] + [""]
+    raw = [t.encode() for t in texts]
+    offs = np.cumsum([0, *map(len, raw)])
+    a = urls.Automaton([urls.parsed(p) for p in patterns])
+    assert a.words > 1
+    hit = a.run(np.frombuffer(b"".join(raw), np.uint8), offs)
+    assert all(hit[i, k] == glob_brute(p, t) for i, t in enumerate(texts) for k, p in enumerate(patterns))
+
+
+def test_urls_awkward(spark):
+    rows = [
+        (1, None), (2, ""), (3, "no scheme/path"), (4, "http://EXAMPLE.ORG/es/1?q=/x#y"), (5, "http://notexample.org/es/1"), (6, "http://sub.example.org/en/19"), (7, "http://a.com"), (8, "http://a.com/fr/"), (9, "http://x?y://z.com/de/"),
+        (10, "http://a.net/" + "p" * 20_000 + "/ads/x"), (11, "https://www.adult-x.example.net/en/1"), (11, "https://www.adult-x.example.net/en/1"), (12, "://org/"), (13, "http://É.net/\nfile.exe"), (14, "http://.org/x"), (None, "http://b.org/x/y#z"),
+    ]
+    d = spark.createDataFrame(rows, "page_id long, url string").select("*", F.lit(1).alias("host"), F.lit(2).alias("rule"), F.lit(3).alias("_url"))
+    got = [(r["page_id"], r["host"], r["path"][:20], r["rule"], r["verdict"]) for r in urls.judge_urls(d).collect()]
+    want = {
+        1: ("", "", None, "allow"), 2: ("", "", None, "allow"), 3: ("", "", None, "allow"), 4: ("example.org", "/es/1", "example.org/es/", "block"), 5: ("notexample.org", "/es/1", "org/", "allow"),
+        6: ("sub.example.org", "/en/19", "example.org/en/1", "block"), 7: ("a.com", "", None, "allow"), 8: ("a.com", "/fr/", "com/fr/", "allow"), 9: ("x", "", None, "allow"), 10: ("a.net", "/" + "p" * 19, None, "block"),
+        11: ("www.adult-x.example.net", "/en/1", None, "block"), 12: ("org", "/", "org/", "allow"), 13: ("É.net", "/\nfile.exe", None, "block"), 14: (".org", "/x", "org/", "allow"), None: ("b.org", "/x/y", "org/", "allow"),
+    }
+    assert len(got) == 16 and all(tuple(r[1:]) == want[r[0]] for r in got)
+    assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string")).isEmpty()
+
+
+# Licenses.
+
+
+def test_licenses(spark):
+    filler = " ".join(f"word{i}" for i in range(300))
+    rows = [
+        (1, filler + " Released under the MIT License. " + filler), (2, "RELEASED under the\nMIT (license)!"), (3, "Released under the BSD License"), (4, None), (5, ""), (6, "too short"), (7, "Licensed under the Apache License, Version 2.0."),
+        (8, "This work was licensed under the GNU General Public License, version 3."), (1, "Licensed under CC BY-NC 4.0."), (9, (filler + " ") * 60 + "Licensed under CC BY-NC 4.0"),
+    ]
+    d = spark.createDataFrame(rows, "doc_id long, text string").select("*", *(F.lit("c").alias(c) for c in ("_h", "_at", "license", "template")))
+    got = {(r["doc_id"], r["license"]): r for r in licenses.scan_licenses(d).collect()}
+    assert set(got) == {(1, "MIT"), (2, "MIT"), (7, "Apache-2.0"), (1, "CC-BY-NC-4.0"), (9, "CC-BY-NC-4.0")}
+    assert got[1, "MIT"]["containment"] == 1.0 and 298 <= got[1, "MIT"]["first_word"] <= 300
+    near = {(r["doc_id"], r["license"]) for r in licenses.scan_licenses(d, least=0.6).collect()}
+    assert (8, "GPL-3.0-only") in near
+    assert licenses.scan_licenses(empty(spark)).isEmpty()
