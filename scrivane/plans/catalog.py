@@ -362,7 +362,7 @@ def transcript_parse(spark, sf_dir):
     return docs.select("conv_id", "turn", F.explode(S.speech_response(F.col("json"))["segments"]).alias("s")).select("conv_id", "turn", "s.start", "s.end", "s.text")
 
 
-@query("""SELECT conv_id, CAST(count(*) AS INT) AS n_segments, string_agg(text, '|' ORDER BY turn, text) AS texts, 'en' AS language, 12.5 AS duration, '' AS full_text FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id, CAST(count(*) AS INT) AS n_segments, string_agg(text, '|' ORDER BY turn, text) AS texts, 'en' AS language, CAST(12.5 AS DOUBLE) AS duration, '' AS full_text FROM conversations GROUP BY conv_id""")
 def transcript_round_trip(spark, sf_dir):
     c = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").cast("double").alias("start"), "text"))).alias("segments"))
     made = c.select("conv_id", S.parse(F.to_json(F.struct("segments", F.lit("en").alias("language"), F.lit(12.5).alias("duration")))).alias("t"))
@@ -482,7 +482,7 @@ _MODELS = ("gpt-5", "gpt-5.1", "o1", "o3-mini", "gpt-4.1", "gpt-4-turbo", "sonne
 @query(f"""WITH r AS (SELECT event_id, [{', '.join(f"'{m}'" for m in _MODELS)}][CAST(event_id % 7 AS INT) + 1] AS model, [NULL, 'none', 'high'][CAST(event_id % 3 AS INT) + 1] AS effort FROM events),
 q AS (SELECT *, model LIKE 'gpt-5%' OR model LIKE 'o1%' OR model LIKE 'o3%' AS reasoning FROM r)
 SELECT event_id, model, reasoning, CASE WHEN NOT reasoning THEN 4096 END AS max_tokens, CASE WHEN reasoning THEN 4096 END AS max_completion_tokens,
- CASE WHEN reasoning THEN effort END AS reasoning_effort, CASE WHEN NOT reasoning OR effort = 'none' THEN 0.5 END AS temperature FROM q""")
+ CASE WHEN reasoning THEN effort END AS reasoning_effort, CASE WHEN NOT reasoning OR effort = 'none' THEN CAST(0.5 AS DOUBLE) END AS temperature FROM q""")
 def request_params(spark, sf_dir):
     n = F.col("event_id")
     model, effort = F.array(*map(F.lit, _MODELS))[(n % 7).cast("int")], F.array(F.lit(None).cast("string"), F.lit("none"), F.lit("high"))[(n % 3).cast("int")]
