@@ -4,10 +4,10 @@ A document is its set of word shingles. Two sets of n and m shingles link when
 they share at least T = ceil(4 (n + m) / 9) of them (a Jaccard similarity of
 0.8; other thresholds likewise). All shingles have one global order, rare before
 frequent. Of a set's n inverted lists, the frequent ones are the long lists and
-are not merged: a partner must occur at least ``depth`` times in the remaining
-short ones, the first ``n - ceil(0.8 n) + depth`` in the order. Short lists are
-heap-merged for each query set, and the sets that occur often enough are probed
-in the long lists by binary search, which gives the exact overlap.
+are not merged: with the first ``n - ceil(0.8 n) + depth`` lists in the order as
+short ones, a partner must occur in T - ceil(0.8 n) + depth of them. Short lists
+are heap-merged for each query set, and the sets that occur often enough are
+probed in the long lists by binary search, which gives the exact overlap.
 
 Order. Counts of all shingles of all documents are summed in 2**20 hashed
 buckets; a bucket far above the noise marks its shingles as frequent, by powers
@@ -15,10 +15,11 @@ of two. The order decides only how long the merged lists are: any order gives
 the same links.
 
 Classes. Equal sets are one node from the start. Before pairs of a list are
-compared one by one, STARS rounds compare each list's members with one hub
-only, and members that links already connect are not compared again, so a group
-of near copies costs its size and not its square. Pairs of different texts
-whose connection is still open are all compared; none is dropped.
+compared one by one, a first round compares each list's members with one hub
+only, the node whose lists are longest together, which in a group of copies is
+the original or close to it. Members that links already connect are not compared
+again, so a group of near copies costs its size rather than its square. Pairs of
+different texts whose connection is still open are all compared; none is dropped.
 """
 
 from __future__ import annotations
@@ -43,9 +44,8 @@ NUM, DEN = 4, 5
 COUNT_BITS, CHUNK_BITS = 20, 16
 #: Rows of a list that one task holds, about.
 BLOCK = 4096
-STARS = 2
 #: Shingles for which a set asks for one more occurrence in its short lists.
-DEPTH_STEP = 20
+DEPTH_STEP = 50
 #: Members of a hub that are probed in one group.
 PROBES = 256
 SHORT = X.U(0xA0761D6478BD642F)
@@ -195,20 +195,40 @@ def _shared_lists(postings: DataFrame, levels: np.ndarray) -> DataFrame:
 
 
 def _fits(nx, px, ny, py):
-    """Whether a shared list entry can be among the first ones of a pair that links."""
+    """Whether a list entry can be one of those that a linking pair shares: with all before and after it there are enough."""
     big = np.maximum(nx, ny)
-    return (NUM * big <= DEN * np.minimum(nx, ny)) & (depth(NUM * big // DEN) + np.minimum(nx - px, ny - py) - 1 >= least_overlap(nx, ny))
+    return (NUM * big <= DEN * np.minimum(nx, ny)) & (np.minimum(px, py) + np.minimum(nx - px, ny - py) >= least_overlap(nx, ny))
 
 
-def _star_pairs(lists: DataFrame, turn: int) -> DataFrame:
-    """(x, y) of a list's hub and its members of other classes; the hub is the smallest by a hash."""
-    hub = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("pos").alias("px"))).alias("hub")).select("token", "hub.x", "hub.cx", "hub.nx", "hub.px")
-    big = "greatest(n, nx)"
-    need = f"(1 + ({NUM} * {big} div {DEN}) div {DEPTH_STEP})"
-    near = lists.join(hub, "token").where("comp <> cx").where(f"{NUM} * {big} <= {DEN} * least(n, nx)")
-    near = near.where(f"{need} + least(nx - px, n - pos) - 1 >= ceil({NUM} * (n + nx) / {NUM + DEN})")
+def long_lists(n: int) -> int:
+    return -((-NUM * n) // DEN) - depth(n)
+
+
+def least_hits(n: int, m: int) -> int:
+    """Short lists that linking sets of n and m shingles share at least.
+
+    A shared shingle is in short lists of both, unless it comes after the short
+    lists of the set whose short lists end first; that set has only its long
+    lists there.
+    """
+    return least_overlap(n, m) - max(long_lists(n), long_lists(m))
+
+
+def _weighted(lists: DataFrame) -> DataFrame:
+    """The lists with ``w``: how many entries the lists of a node hold together; the original of a group of copies has most."""
+    sizes = lists.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
+    weights = lists.join(sizes, "token").groupBy("node").agg(F.sum("size").alias("w"))
+    return lists.join(weights, "node")
+
+
+def _star_pairs(lists: DataFrame) -> DataFrame:
+    """(x, y) of a list's hub, its node of the largest weight, and its members of other classes that may link."""
+    hub = lists.groupBy("token").agg(F.max(F.struct("w", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("pos").alias("px"))).alias("hub")).select("token", "hub.x", "hub.cx", "hub.nx", "hub.px")
+    big, total = "greatest(n, nx)", f"ceil({NUM} * (n + nx) / {NUM + DEN})"
+    near = lists.join(hub, "token").where("comp <> cx").where(f"{NUM} * {big} <= {DEN} * least(n, nx)").where(f"least(px, pos) + least(nx - px, n - pos) >= {total}")
     hits = near.groupBy("x", F.col("node").alias("y"), "n", "nx").agg(F.count(F.lit(1)).alias("hits"))
-    return hits.where(f"hits >= {need}").select("x", "y")
+    # Hubs of other lists can hide some of a pair's entries, so half of least_hits is asked for; the rest is for the merge.
+    return hits.where(f"2 * hits >= {total} - ceil({NUM} * {big} / {DEN}) + 1 + {big} div {DEPTH_STEP}").select("x", "y")
 
 
 def _merged_pairs(lists: DataFrame) -> DataFrame:
@@ -227,7 +247,7 @@ def _merged_pairs(lists: DataFrame) -> DataFrame:
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in _runs(batches, 3):
             starts = _starts(cols[:3])
-            xs, nxs, runs = [], [], []
+            xs, nxs, runs, sizes = [], [], [], []
             for lo, hi in zip(starts, [*starts[1:], len(cols[0])], strict=True):
                 if hi - lo < 2:
                     continue
@@ -252,23 +272,26 @@ def _merged_pairs(lists: DataFrame) -> DataFrame:
                         xs.append(node[p[f]])
                         nxs.append(n[p[f]])
                         runs.append(node[s[f:t]].tobytes())
+                        sizes.append(n[s[f:t]].tobytes())
             if xs:
-                yield pa.record_batch([pa.array(xs, pa.int64()), pa.array(nxs, pa.int64()), pa.array(runs, pa.binary())], names=["x", "nx", "ys"])
+                yield pa.record_batch([pa.array(xs, pa.int64()), pa.array(nxs, pa.int64()), pa.array(runs, pa.binary()), pa.array(sizes, pa.binary())], names=["x", "nx", "ys", "ns"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in _runs(batches, 1):
             starts = _starts(cols[:1])
             xs, ys = [], []
             for lo, hi in zip(starts, [*starts[1:], len(cols[0])], strict=True):
-                need = depth(NUM * int(cols[1][lo]) // DEN)
+                n, m = int(cols[1][lo]), {}
+                for ys_, ns in zip(cols[2][lo:hi], cols[3][lo:hi], strict=True):
+                    m.update(zip(np.frombuffer(ys_, np.int64).tolist(), np.frombuffer(ns, np.int64).tolist(), strict=True))
                 merged = heapq.merge(*(np.frombuffer(r, np.int64).tolist() for r in cols[2][lo:hi]))
-                found = [y for y, hits in groupby(merged) if sum(1 for _ in hits) >= need]
+                found = [y for y, hits in groupby(merged) if sum(1 for _ in hits) >= least_hits(n, m[y])]
                 xs += [cols[0][lo]] * len(found)
                 ys += found
             if xs:
                 yield pa.record_batch([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
 
-    runs = units.mapInArrow(pairs, "x long, nx long, ys binary")
+    runs = units.mapInArrow(pairs, "x long, nx long, ys binary, ns binary")
     return runs.repartition(spread(lists), "x").sortWithinPartitions("x").mapInArrow(merge, "x long, y long")
 
 
@@ -334,18 +357,13 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     first = saved(per_node.agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("copies")))
     nodes = sketches.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("short").alias("short"))
     lists = saved(_shared_lists(_postings(nodes, levels), levels))
-    labels, links = None, None
-    for turn in range(STARS + 1):
-        now = lists.withColumn("comp", F.col("node")) if labels is None else lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        if labels is not None:
-            # Lists within one class are done.
-            mixed = now.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("token")
-            now = saved(now.join(mixed, "token", "left_semi"))
-            lists = now.drop("comp")
-        pairs = _star_pairs(now, turn) if turn < STARS else _merged_pairs(now)
-        found = _linked(pairs, docs, first, id_col, text_col, shingle)
-        links = found if links is None else links.unionByName(found)
-        labels = components(links, "x", "y")
+    stars = _linked(_star_pairs(_weighted(lists).withColumn("comp", F.col("node"))), docs, first, id_col, text_col, shingle)
+    labels = components(stars, "x", "y")
+    # Lists within one class are done.
+    now = lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = now.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("token")
+    merged = _linked(_merged_pairs(saved(now.join(mixed, "token", "left_semi"))), docs, first, id_col, text_col, shingle)
+    labels = components(stars.unionByName(merged), "x", "y")
     classes = first.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lowest = classes.groupBy("comp").agg(F.min("_first").alias("component_id"))
     by_node = classes.join(lowest, "comp").select("node", "component_id", "copies")
