@@ -32,7 +32,7 @@ GRAIN = 256
 #: Pieces in a group, about.
 GROUP = 2048
 #: Words whose ids a worker remembers, and the longest such word.
-REMEMBERED, LONGEST = 800_000, 48
+REMEMBERED, LONGEST = 300_000, 48
 
 #: Unicode's White_Space, as the tokeniser's pattern has it.
 _WIDE = "\x85\xa0  -     　"
