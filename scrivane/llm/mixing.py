@@ -184,11 +184,12 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     slots = dealt.repartition("shard", "_s").select("shard", "_s", "blocks", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"), "slots", "last")
     slots = slots.select("shard", "_s", "slot", block_number("_s", "slot", "blocks").alias("_block"), F.when(F.col("slot") == F.col("slots") - 1, F.col("last")).otherwise(F.lit(block)).alias("room"))
+    # Slots grow with the table although the plan sees the small table that they come from, so they must not be broadcast.
     # A document lies in the blocks from its first word's to its last word's.
     end = F.col("_at") + F.col("size")
     spans = placed.where("size > 0").select("_row", "_s", "_at", "size", F.explode(F.sequence(F.floor(F.col("_at") / block), F.floor((end - 1) / block))).alias("_block"))
     begin = F.greatest(F.col("_at"), F.col("_block") * block)
-    joined = spans.withColumn("_begin", begin).join(slots, ["_s", "_block"])
+    joined = spans.withColumn("_begin", begin).join(slots.hint("merge"), ["_s", "_block"])
     stop = F.least(end, F.col("_block") * block + F.col("room"))
     runs = joined.select("_row", "shard", F.when(F.col("_s") == "", None).otherwise(F.substr("_s", F.lit(2))).alias("source"), "slot", (F.col("_begin") - F.col("_at")).alias("from_word"), (stop - F.col("_begin")).alias("words")).where("words > 0")
     runs = saved(runs)
