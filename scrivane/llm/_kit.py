@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,9 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, release: bool = False) -> DataFrame:
     """Cut the lineage of ``df`` through the cluster's shared checkpoint folder.
 
+    ``release``: let go of the shuffle files behind it at once. Spark removes
+    them when their plan is collected as garbage, which can be long after.
+
     The folder is the session's ``spark.checkpoint.dir``. Only a local session
     without that setting (tests, a laptop) gets a temporary folder.
     """
@@ -26,7 +30,12 @@ def saved(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             where = tempfile.mkdtemp(prefix="scrivane-")
         sc.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if release:
+        del df
+        gc.collect()
+        sc._jvm.System.gc()
+    return out
 
 
 def spread(df: DataFrame) -> int:

@@ -303,7 +303,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, first: DataFrame, id_col: str, te
     """
     degree = pairs.groupBy("x").agg(F.count(F.lit(1)).alias("_d"))
     dealt = pairs.join(degree, "x").withColumn("_parts", F.ceil(F.col("_d") / PROBES)).select("x", "y", F.pmod(F.xxhash64("y"), F.col("_parts")).alias("part"))
-    dealt = saved(dealt)
+    dealt = saved(dealt, release=True)
     wanted = dealt.select(F.col("x").alias("node")).union(dealt.select("y")).distinct()
     where = first.join(wanted, "node").select(F.col("_first").alias("_id"), "node")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(where, "_id").select("node", "_t")
@@ -314,7 +314,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, first: DataFrame, id_col: str, te
             ok = [i for i, (s, node) in enumerate(zip(sets, batch.column(0).to_pylist(), strict=True)) if node_of(s) == node]
             yield pa.record_batch([batch.column(0).take(pa.array(ok, pa.int32())), pa.array([sets[i].tobytes() for i in ok], pa.binary())], names=["node", "shingles"])
 
-    sets = saved(texts.mapInArrow(make, "node long, shingles binary").dropDuplicates(["node"]))
+    sets = saved(texts.mapInArrow(make, "node long, shingles binary").dropDuplicates(["node"]), release=True)
     hubs = dealt.select("x", "part").distinct().join(sets.withColumnRenamed("node", "x"), "x").select("x", "part", F.lit(None).cast("long").alias("y"), "shingles")
     members = dealt.join(sets.withColumnRenamed("node", "y"), "y").select("x", "part", "y", "shingles")
     rows = hubs.unionByName(members).repartition(spread(docs), "x", "part").sortWithinPartitions("x", "part", F.col("y").asc_nulls_first())
@@ -336,7 +336,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, first: DataFrame, id_col: str, te
                     shared.append(overlap)
             yield pa.record_batch([pa.array(xs, pa.int64()), pa.array(ys, pa.int64()), pa.array(shared, pa.int64())], names=["x", "y", "shared"])
 
-    return saved(rows.mapInArrow(probe, "x long, y long, shared long"))
+    return saved(rows.mapInArrow(probe, "x long, y long, shared long"), release=True)
 
 
 def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -356,13 +356,13 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     per_node = sketches.where("n > 0").groupBy("node")
     first = saved(per_node.agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("copies")))
     nodes = sketches.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("short").alias("short"))
-    lists = saved(_shared_lists(_postings(nodes, levels), levels))
+    lists = saved(_shared_lists(_postings(nodes, levels), levels), release=True)
     stars = _linked(_star_pairs(_weighted(lists).withColumn("comp", F.col("node"))), docs, first, id_col, text_col, shingle)
     labels = components(stars, "x", "y")
     # Lists within one class are done.
     now = lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = now.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("token")
-    merged = _linked(_merged_pairs(saved(now.join(mixed, "token", "left_semi"))), docs, first, id_col, text_col, shingle)
+    merged = _linked(_merged_pairs(saved(now.join(mixed, "token", "left_semi"), release=True)), docs, first, id_col, text_col, shingle)
     labels = components(stars.unionByName(merged), "x", "y")
     classes = first.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lowest = classes.groupBy("comp").agg(F.min("_first").alias("component_id"))
