@@ -211,13 +211,14 @@ def call_with_retry(model: Model, request: Request, attempts: int) -> dict[str,
 ANSWER = "result string, error string, tries int, input_tokens long, output_tokens long, total_tokens long"
 
 
-def map_model(rows: DataFrame, factory: Callable[[], Model], *, keys: list[str], prompt: str = "prompt", images: str | None = None, attempts: int = 2, concurrency: int = CONCURRENCY) -> DataFrame:
+def map_model(rows: DataFrame, factory: Callable[[], Model], *, keys: list[str], prompt: str = "prompt", images: str | None = None, known: str | None = None, attempts: int = 2, concurrency: int = CONCURRENCY) -> DataFrame:
     """Call the model for every row; returns the keys with ANSWER's columns, one row each, errors included.
 
-    ``images``: a column of binary, or of an array of binary in order. Calls of a
+    ``images``: a column of binary, or of an array of binary in order. ``known``: a
+    column whose value, where it is not null, is the answer without a call. Calls of a
     partition run ``concurrency`` at a time.
     """
-    cols = [*keys, prompt, *([images] if images else [])]
+    cols = [*keys, prompt, *([images] if images else []), *([known] if known else [])]
     kinds = dict(rows.dtypes)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,7 +227,9 @@ def map_model(rows: DataFrame, factory: Callable[[], Model], *, keys: list[str],
             for part in parts:
                 pictures = [[] if x is None else [bytes(x)] if isinstance(x, bytes | bytearray) else [bytes(b) for b in x] for x in part[images]] if images else [[]] * len(part)
                 requests = [Request(p or "", i) for p, i in zip(part[prompt], pictures, strict=True)]
-                made = list(pool.map(lambda r: call_with_retry(model, r, attempts), requests))
+                given = [None if v is None or v != v else v for v in part[known]] if known else [None] * len(part)
+                ask = lambda r, v: call_with_retry(model, r, attempts) if v is None else {"result": v, "error": None, "tries": 0, "input_tokens": 0, "output_tokens": 0, "total_tokens": 0}
+                made = list(pool.map(ask, requests, given))
                 answers = pd.DataFrame(made, columns=[c.split()[0] for c in ANSWER.split(", ")])
                 yield pd.concat([part[keys].reset_index(drop=True), answers], axis=1)
 

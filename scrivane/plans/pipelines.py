@@ -13,7 +13,6 @@ from scrivane.functions import text as T
 from scrivane.functions import transcript as S
 from scrivane.operators import cache as C
 from scrivane.operators import model as X
-from scrivane.operators import pages as G
 from scrivane.operators import timeline as L
 
 #: Fixed values of a video job: seconds of a video, frames a second, seconds of a chunk.
@@ -39,9 +38,14 @@ def process_pages(pages: DataFrame, factory: Callable[[], X.Model], prompt: str
         cache.write(made.where("error is null").select("cache_key", F.col("page_content").alias("value")))
         stored = cache.read(base).select("cache_key", F.col("value").alias("page_content"))
         made = base.select(*keys).join(stored, "cache_key", "left").withColumn("error", F.when(F.col("page_content").isNull(), "failed"))
-    good = G.assemble(made.where("error is null"), "file_hash")
-    failed = made.groupBy("file_hash").agg(F.count_if(F.col("error").isNotNull()).alias("failed_pages"))
-    return failed.join(good, "file_hash", "left")
+    # One aggregation, so that without a cache every page is still called once only.
+    fine = F.col("error").isNull()
+    page = F.when(fine, F.struct(F.col("page_number").cast("int").alias("page_number"), "page_content"))
+    out = made.groupBy("file_hash").agg(
+        F.count_if(~fine).alias("failed_pages"), F.array_sort(F.collect_list(page)).alias("pages"),
+        F.sum(F.when(fine, T.word_count(F.col("page_content")))).alias("total_words"), F.count_if(fine).alias("n_pages"),
+    )
+    return out.withColumn("content", F.array_join(F.transform("pages", lambda p: F.coalesce(p["page_content"], F.lit(""))), "\n"))
 
 
 def capture_template(documents: DataFrame, factory: Callable[[], X.Model], template: str, key: str = "file_hash") -> DataFrame:
@@ -66,6 +70,5 @@ def process_videos(videos: DataFrame, segments: DataFrame, factory: Callable[[],
     text = P.chunk_prompt(F.lit(prompt), F.col("chunk_idx"), F.col("total_chunks"), F.col("start_sec"), F.col("end_sec"), F.col("duration"), frames, F.col("context"), rate)
     answers = X.map_model(asked.withColumn("prompt", text), factory, keys=[key, "chunk_idx", "start_sec", "end_sec", "duration"])
     folded = L.fold(answers.where("error is null"), key, prompt, rate)
-    single = folded.where("n_chunks = 1").select(key, "n_chunks", "answer")
-    several = X.map_model(folded.where("n_chunks > 1"), factory, keys=[key, "n_chunks"]).select(key, "n_chunks", F.col("result").alias("answer"))
-    return single.unionByName(several)
+    # One pass over the chunks' answers: a single chunk's answer is taken as it is.
+    return X.map_model(folded, factory, keys=[key, "n_chunks"], known="answer").select(key, "n_chunks", F.col("result").alias("answer"))

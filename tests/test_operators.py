@@ -6,7 +6,7 @@ from scrivane.operators import cache as C
 from scrivane.operators import model as X
 from scrivane.operators import pages as G
 from scrivane.operators import timeline as L
-from scrivane.plans.pipelines import capture_template, process_pages
+from scrivane.plans.pipelines import capture_template, process_pages, process_videos
 
 
 def test_selected_pages(spark):
@@ -120,6 +120,20 @@ def test_second_run_calls_nothing(spark, tmp_path):
     assert calls.value == 3
 
 
+def test_each_chunk_is_called_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counting(X.StubModel):
+        def call(self, request):
+            calls.add(1)
+            return super().call(request)
+
+    videos = spark.createDataFrame([("a", 30.0, 25.0), ("b", 150.0, 25.0)], "k string, duration double, fps double")
+    segments = spark.createDataFrame([("b", 0, 50.0, 70.0, "t")], "k string, seg_idx int, start double, end double, text string")
+    got = {r["k"]: r["n_chunks"] for r in process_videos(videos, segments, Counting, "P", key="k").collect()}
+    assert got == {"a": 1, "b": 3} and calls.value == 1 + 3 + 1
+
+
 def test_capture_template(spark):
     docs = spark.createDataFrame([("f", "content")], "file_hash string, content string")
     assert capture_template(docs, X.StubModel, "a: string").collect()[0]["result"].startswith("stub:")
