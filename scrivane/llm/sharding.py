@@ -60,7 +60,8 @@ def interleave_shards(docs: DataFrame, n_shards: int, *, id_col: str = "doc_id",
         raise ValueError("n_shards must be positive")
     base = docs.drop("law", "shard", "slot", "grown_shard")
     order = F.xxhash64(F.lit(seed), F.col(id_col), *(F.col(c) for c in base.columns if c not in (id_col, source_col)))
-    rows = base.withColumns({"_s": F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")), "_h": order})
+    # The row travels as one column, so its names meet none of those below.
+    rows = base.select(F.struct(*base.columns).alias("_doc"), F.col(id_col).alias("_id"), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("_s"), order.alias("_h"))
     # Counts decide the buckets, so hot sources get more of them.
     sizes = rows.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
     total = docs.count()
@@ -74,7 +75,7 @@ def interleave_shards(docs: DataFrame, n_shards: int, *, id_col: str = "doc_id",
     top = F.shiftrightunsigned(F.col("_h"), 32)
     rows = rows.withColumn("_b", F.floor(top * F.ceil(F.col("_n") / BUCKET_ROWS) / F.lit(1 << 32)))
     counts = rows.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_c"))
-    inside = Window.partitionBy("_s", "_b").orderBy(F.shiftrightunsigned(F.col("_h"), 32), "_h", id_col)
+    inside = Window.partitionBy("_s", "_b").orderBy(F.shiftrightunsigned(F.col("_h"), 32), "_h", "_id")
     ranked = rows.withColumn("_r", F.row_number().over(inside)).join(_running(counts, ["_s"], "_b"), ["_s", "_b"])
     # Equal fractions of different sources go by source; within a source no two are equal.
     ranked = ranked.withColumn("_f", (F.col("_before") + F.col("_r") - F.lit(0.5)) / F.col("_n")).drop("_before", "_r", "_b", "_n", "_h")
@@ -88,7 +89,7 @@ def interleave_shards(docs: DataFrame, n_shards: int, *, id_col: str = "doc_id",
     shard = F.expr(f"(_p * {n_shards}L) div {max(total, 1)}L")
     placed = placed.withColumn("shard", shard.cast("int"))
     first = F.expr(f"(cast(shard as long) * {total}L + {n_shards - 1}L) div {n_shards}L")
-    return placed.select(*base.columns, F.lit("rows").alias("law"), "shard", (F.col("_p") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select(*(F.col("_doc")[c].alias(c) for c in base.columns), F.lit("rows").alias("law"), "shard", (F.col("_p") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -276,7 +276,8 @@ def test_sharding_keeps_the_mixture(spark, tables, monkeypatch, bucket):
     got = sharding.interleave_shards(docs, 7).collect()
     check_shards(got, 7, docs.count())
     n, part = Counter(r["source"] for r in got), Counter((r["source"], r["shard"]) for r in got)
-    assert all(abs(part[s, k] - n[s] / 7) <= 1.01 for s in n for k in range(7))
+    # Each source's rank is within one half of its fraction, so a cut is off by half a row of every source, in this source's share.
+    assert all(abs(part[s, k] - n[s] / 7) <= 1 + n[s] * (len(n) + 2) / len(got) for s in n for k in range(7))
     again = {(r["doc_id"], r["shard"], r["slot"]) for r in sharding.interleave_shards(docs.repartition(5), 7).collect()}
     assert again == {(r["doc_id"], r["shard"], r["slot"]) for r in got}
     monkeypatch.setattr(sharding, "MOST_BROADCAST", 0)
