@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from scrivane.llm import _text as X
 from scrivane.llm._kit import crc_of_id, table, thinned
+from scrivane.llm.jaccard import DEN, NUM, least_overlap, node_of, shingle_sets
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
 KINDS = ("insult", "aimed insult", "negated insult", "reported insult", "threat", "aimed threat", "negated threat", "reported threat")
@@ -167,27 +168,42 @@ def document_weights(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros((0, len(KINDS) + 1))
 
 
-def _families(found: list[set[bytes]]) -> list[int]:
-    """A number for each document that near copies share: those that agree in one of six minimum hashes of their words.
+def _families(texts: pa.Array) -> list[int]:
+    """A number for each text that near copies share: those that links of word shingle Jaccard similarity 0.8 or more connect.
 
     Copies of one document are one piece of evidence for a terminal, not many.
+    Every link is an exact comparison. Two sets that link share one of their
+    first n - ceil(0.8 n) + 1 shingles, rare ones first, so lists of these find
+    all pairs to compare; a list is a number whose bits are its texts.
     """
-    seen: dict[tuple[int, int], int] = {}
-    parent = list(range(len(found)))
+    sets = list(shingle_sets(texts))
+    parent = list(range(len(sets)))
 
     def root(i: int) -> int:
         while parent[i] != i:
             parent[i] = i = parent[parent[i]]
         return i
 
-    for d, words in enumerate(found):
-        if not words:
-            continue
-        h = np.array([_hash(t) for t in words], np.uint64)
-        for k in range(6):
-            key = k, int(X.mixed(h + X.U(k * 7919 + 1)).min())
-            parent[root(d)] = root(seen.setdefault(key, d))
-    return [root(i) for i in range(len(found))]
+    same: dict[int, int] = {}
+    for d, s in enumerate(sets):
+        if len(s):
+            parent[d] = same.setdefault(node_of(s), d)
+    hashes, held = np.unique(np.concatenate([np.zeros(0, np.uint64), *(sets[d] for d in same.values())]), return_counts=True)
+    lists: dict[int, int] = {}
+    for d in same.values():
+        s = sets[d]
+        count = held[np.searchsorted(hashes, s)]
+        short = np.argsort(count, kind="stable")[: len(s) + (-NUM * len(s)) // DEN + 1]
+        near, short = 0, s[short[count[short] > 1]].tolist()
+        for t in short:
+            near |= lists.get(t, 0)
+            lists[t] = lists.get(t, 0) | 1 << d
+        while near:
+            e = near.bit_length() - 1
+            near ^= 1 << e
+            if root(e) != root(d) and len(np.intersect1d(s, sets[e], assume_unique=True)) >= least_overlap(len(s), len(sets[e])):
+                parent[root(d)] = root(e)
+    return [root(i) for i in range(len(sets))]
 
 
 def _terminals(texts: pa.Array, toxic: np.ndarray) -> tuple[dict[bytes, float], dict[bytes, float]]:
@@ -204,10 +220,10 @@ def _terminals(texts: pa.Array, toxic: np.ndarray) -> tuple[dict[bytes, float],
     if not n1 or not n0:
         return {}, {}
     yes, no = Counter(), Counter()
-    held = [candidates(texts[i].as_py()) for i in np.flatnonzero(toxic == 1)]
+    rows = texts.take(pa.array(np.flatnonzero(toxic == 1)))
     families: dict[int, set[bytes]] = {}
-    for family, found in zip(_families([{t for t in c if len(t) >= LONGEST_STEM} for c in held]), held, strict=True):
-        families.setdefault(family, set()).update(found)
+    for family, text in zip(_families(rows), rows, strict=True):
+        families.setdefault(family, set()).update(candidates(text.as_py()))
     for found in families.values():
         yes.update(found)
     n1 = len(families)

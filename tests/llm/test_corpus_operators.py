@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import WORD, base_stats, jaccard_brute
 from pyspark.sql import functions as F
@@ -193,6 +194,21 @@ def test_toxicity_learns_terminals_and_scores_held_out(spark):
     assert np.mean([got[i] == y for i, _, y in rows if i % 3 == 0]) >= 0.98
 
 
+def test_families_are_verified_copies():
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choice(words, 220)) for _ in range(2000)]
+    family = toxicity._families(pa.array(texts, pa.large_string()))
+    assert len(set(family)) == 2000
+    # Exact and near copies are one family; texts that share half of their words, short and blank ones are not.
+    near = [edited(texts[0], rng, words, 3) for _ in range(20)]
+    half = [" ".join(texts[0].split(" ")[:110] + t.split(" ")[110:]) for t in texts[1:20]]
+    odd = [texts[0], texts[0].upper(), *near, *half, "a b", "A  b", "a c", None, "", " "]
+    got = toxicity._families(pa.array(odd, pa.large_string()))
+    want = jaccard_brute(enumerate(odd))
+    assert [got.index(f) for f in got] == [want[i][1] for i in range(len(odd))] and len(set(got[:22])) == 1 and len(set(got)) == 1 + 19 + 2 + 3
+
+
 def test_toxicity_awkward(spark):
     model = toxicity.train_toxicity(awkward(spark), spark.createDataFrame([(4, 1, 1), (4, 1, 0), (6, 1, 0), (77, 0, 1), (None, 0, 1), (9, 1, None)], LABELS))
     got = toxicity.score_toxicity(awkward(spark), model).collect()
