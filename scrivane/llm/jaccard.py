@@ -31,7 +31,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrivane.llm import _text as X
@@ -109,8 +109,17 @@ def frequency_levels(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
     return np.where(total > bar, 1 + np.floor(np.log2(np.maximum(total - noise, 1) / (bar - noise) + 1)), 0).astype(np.uint8)
 
 
+def row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """64 bits of a row's id and text, nulls told from all values: which row it is, also where ids are null or repeated.
+
+    Rows of the same id and text share it; they are of one class.
+    """
+    i, t = docs[id_col], docs[text_col]
+    return F.xxhash64(i.isNull(), i, t.isNull(), t)
+
+
 def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int, levels: np.ndarray) -> DataFrame:
-    """id, node, n and the short lists' shingles in order, for each document."""
+    """id, key, node, n and the short lists' shingles in order, for each document."""
     kind = dict(docs.select(id_col).dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,9 +133,9 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int, levels: np.nd
                 level = levels[(s >> X.U(64 - COUNT_BITS)).astype(np.int64)]
                 # s is sorted by hash, so a stable sort by level gives the order (level, hash).
                 short.append(s[np.argsort(level, kind="stable")[:keep]].tobytes())
-            yield pa.record_batch([batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(short, pa.binary())], names=["_id", "node", "n", "short"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(short, pa.binary())], names=["_id", "_key", "node", "n", "short"])
 
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col)).mapInArrow(run, f"_id {kind}, node long, n long, short binary")
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col), row_key(docs, id_col, text_col).alias("_key")).mapInArrow(run, f"_id {kind}, _key long, node long, n long, short binary")
 
 
 def _postings(nodes: DataFrame, levels: np.ndarray) -> DataFrame:
@@ -305,8 +314,8 @@ def _linked(pairs: DataFrame, docs: DataFrame, first: DataFrame, id_col: str, te
     dealt = pairs.join(degree, "x").withColumn("_parts", F.ceil(F.col("_d") / PROBES)).select("x", "y", F.pmod(F.xxhash64("y"), F.col("_parts")).alias("part"))
     dealt = saved(dealt, release=True)
     wanted = dealt.select(F.col("x").alias("node")).union(dealt.select("y")).distinct()
-    where = first.join(wanted, "node").select(F.col("_first").alias("_id"), "node")
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(where, "_id").select("node", "_t")
+    where = first.join(wanted, "node").select("_first._key", "node")
+    texts = docs.select(row_key(docs, id_col, text_col).alias("_key"), F.col(text_col).alias("_t")).join(where, "_key").select("node", "_t")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,22 +348,12 @@ def _linked(pairs: DataFrame, docs: DataFrame, first: DataFrame, id_col: str, te
     return saved(rows.mapInArrow(probe, "x long, y long, shared long"), release=True)
 
 
-def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Class of every document under links of Jaccard similarity 0.8 or more of its word shingles.
-
-    A-Z are lower-cased; words are runs of bytes other than x09-x0D and x20. A
-    text of fewer than ``shingle`` words is one shingle of all its words; a null,
-    empty or blank text has no shingle and links with nothing. Returns the id,
-    n_shingles, component_id (the smallest id that links reach, itself included)
-    and copies (documents of the same set, itself included). Every row gives one
-    row; rows that repeat an id are documents of their own. Other columns are
-    not read. An empty table gives an empty result. Ids must be comparable; the
-    component of rows without an id is the smallest id among their partners.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches, and for each node its class ``comp``, its copies and its first row: the smallest by id (nulls last) and key."""
     levels = frequency_levels(docs, text_col, shingle)
     sketches = saved(_sketches(docs, id_col, text_col, shingle, levels))
     per_node = sketches.where("n > 0").groupBy("node")
-    first = saved(per_node.agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("copies")))
+    first = saved(per_node.agg(F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_key")).alias("_first"), F.count(F.lit(1)).alias("copies")))
     nodes = sketches.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("short").alias("short"))
     lists = saved(_shared_lists(_postings(nodes, levels), levels), release=True)
     stars = _linked(_star_pairs(_weighted(lists).withColumn("comp", F.col("node"))), docs, first, id_col, text_col, shingle)
@@ -364,17 +363,46 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     mixed = now.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("token")
     merged = _linked(_merged_pairs(saved(now.join(mixed, "token", "left_semi"), release=True)), docs, first, id_col, text_col, shingle)
     labels = components(stars.unionByName(merged), "x", "y")
-    classes = first.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    lowest = classes.groupBy("comp").agg(F.min("_first").alias("component_id"))
-    by_node = classes.join(lowest, "comp").select("node", "component_id", "copies")
+    return sketches, first.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """Class of every document under links of Jaccard similarity 0.8 or more of its word shingles.
+
+    A-Z are lower-cased; words are runs of bytes other than x09-x0D and x20. A
+    text of fewer than ``shingle`` words is one shingle of all its words; a null,
+    empty or blank text has no shingle and links with nothing. Returns the id,
+    n_shingles, component_id (the smallest id that links reach, itself included)
+    and copies (documents of the same set, itself included). Every row gives one
+    row; rows that repeat an id are documents of their own. Other columns are
+    not read. An empty table gives an empty result. Ids must be comparable; the
+    component of rows without an id is the smallest id among their partners.
+    """
+    sketches, classes = _classes(docs, id_col, text_col, shingle)
+    lowest = classes.groupBy("comp").agg(F.min("_first").alias("_low"))
+    by_node = classes.join(lowest, "comp").select("node", F.col("_low._id").alias("component_id"), "copies")
     out = sketches.select("_id", "node", "n").join(by_node, "node", "left")
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class (that of the smallest id), with its own columns; blank texts stay."""
-    kept = jaccard_classes(docs, id_col=id_col, text_col=text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col] == kept["_kept"], "left_semi")
+    """One row of each class, with its own columns; blank texts stay, each of them.
+
+    The row is that of the smallest id, nulls last. Where its id repeats with
+    other texts of the class, one of these texts is taken by a hash; rows of the
+    same id and text are one, any of them. A row without an id stays if its class
+    has no row with one.
+    """
+    sketches, classes = _classes(docs, id_col, text_col, SHINGLE)
+    lowest = classes.groupBy("comp").agg(F.min("_first").alias("_low")).select("_low._key")
+    rows = saved(sketches.where("n > 0").join(lowest, "_key", "left_semi").groupBy(F.col("_key").alias("_kept")).agg(F.count(F.lit(1)).alias("_rows")))
+    blank = sketches.where("n = 0").select("_key").distinct()
+    single = rows.where("_rows = 1").select("_kept").union(blank)
+    once = docs.join(single, row_key(docs, id_col, text_col) == single["_kept"], "left_semi")
+    if rows.where("_rows > 1").isEmpty():
+        return once
+    more = rows.where("_rows > 1").select("_kept")
+    return once.union(docs.join(more, row_key(docs, id_col, text_col) == more["_kept"], "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:

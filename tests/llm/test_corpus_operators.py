@@ -108,6 +108,37 @@ def test_jaccard_awkward(spark):
     assert kept.columns == awkward(spark).columns and 5 not in {r["doc_id"] for r in kept.collect()}
 
 
+def test_jaccard_keeps_rows_and_not_ids(spark):
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in jaccard.keep_one_of_each(awkward(spark)).collect())
+    assert [i for i, _ in got] == [0, 1, 2, 3, 4, 6, 8, 9, 10] and got[0][1] == "no id here at all"
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(400)]
+    a, b, c, d = (" ".join(rng.choice(words, 100)) for _ in range(4))
+    rows = [
+        (5, "one two"), (5, "one two"), (5, "ONE two"), (7, a), (8, b), (8, edited(a, rng, words, 2)), (None, c), (None, edited(c, rng, words, 2)),
+        (None, d), (9, edited(d, rng, words, 2)), (None, "alone"), (2, ""), (2, ""), (None, None),
+    ]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, _kept int, _key int")
+    kept = jaccard.keep_one_of_each(docs)
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert kept.columns == docs.columns and len(got) == 9 and Counter(i for i, _ in got) == {5: 1, 7: 1, 8: 1, 9: 1, 2: 2, None: 3}
+    assert {(7, a), (8, b), (9, rows[9][1]), (None, "alone"), (None, None)} <= set(got) and len({t for _, t in got} & {c, rows[7][1]}) == 1
+    assert len(jaccard.keep_one_of_each(docs.where("doc_id is null")).collect()) == 4
+
+
+def test_jaccard_links_rows_without_ids(spark):
+    """Only a chain through texts without ids ties the first to the id."""
+    w = [f"w{i}" for i in range(100)]
+    chain = [(None, " ".join(w))]
+    for at, i in ((10, None), (50, 9)):
+        w[at], w[at + 20] = "x", "y"
+        chain.append((i, " ".join(w)))
+    sets = jaccard_brute([(i, t) for i, (_, t) in enumerate(chain[::2])])
+    assert sets[0][1] != sets[1][1]
+    got = jaccard.jaccard_classes(spark.createDataFrame(chain, "doc_id long, text string")).collect()
+    assert [(r["doc_id"] or 0, r["component_id"]) for r in sorted(got, key=lambda r: r["doc_id"] or 0)] == [(0, 9), (0, 9), (9, 9)]
+
+
 # Quality rules.
 
 
