@@ -4,7 +4,9 @@ Each language has a smoothed model of hashed byte trigrams, counted over a
 bounded sample of labelled documents. A document is a mixture of languages: its
 words have n-gram likelihoods under every language, expectation-maximisation
 estimates the document's proportions, and the language set is the one of the
-best log-likelihood less a penalty for each language beyond the first.
+best log-likelihood less a penalty for each language beyond the first. Sets are
+the k likeliest languages, for every k up to all learned languages that a bound
+on the likelihood leaves open.
 """
 
 from __future__ import annotations
@@ -135,16 +137,25 @@ def mixtures(b: np.ndarray, offs: np.ndarray, w: X.Words, logs: np.ndarray) -> t
     chosen = np.eye(langs)[single.argmax(1)]
     score = single.max(1)
     n_log = PENALTY * np.log(w.count[some] + 2.0)
-    for k in range(2, min(langs, 3) + 1):
+    # Log-likelihoods are concave in the proportions, so the gradient at pi bounds those of all sets from above.
+    slope = np.add.reduceat(p / (p * pi[dense]).sum(1, keepdims=True), first, axis=0).max(1)
+    most = whole_ll + slope - w.count[some] + 1e-6 * (1 + np.abs(whole_ll))
+    for k in range(2, langs + 1):
+        # Where even the bound is no gain, neither this size nor a larger one is.
+        open_ = most - n_log * (k - 1) > score
+        if not open_.any():
+            break
         if k == langs:
-            part, fit_ll = pi, whole_ll
+            part, fit_ll = pi[open_], whole_ll[open_]
         else:
-            allowed = np.zeros((len(some), langs))
-            np.put_along_axis(allowed, order[:, :k], 1.0, axis=1)
-            part, fit_ll = _em(p, first, dense, allowed)
-        better = fit_ll - n_log * (k - 1) > score
-        score = np.where(better, fit_ll - n_log * (k - 1), score)
-        chosen = np.where(better[:, None], part, chosen)
+            allowed = np.zeros((int(open_.sum()), langs))
+            np.put_along_axis(allowed, order[open_, :k], 1.0, axis=1)
+            n = w.count[some][open_]
+            part, fit_ll = _em(p[open_[dense]], np.cumsum(n) - n, np.repeat(np.arange(len(n)), n), allowed)
+        gain = fit_ll - n_log[open_] * (k - 1)
+        better = gain > score[open_]
+        at = np.flatnonzero(open_)[better]
+        score[at], chosen[at] = gain[better], part[better]
     best[some], full[some] = chosen, pi
     return best, full
 

@@ -183,6 +183,19 @@ def test_language_accuracy_and_mixtures(spark, tables):
     assert sets == {1: {"en", "fr"}, 2: {"en"}}
 
 
+def test_language_sets_of_all_sizes(spark, tables):
+    docs = tables["documents"]
+    model = language.train_language(docs)
+    by = {}
+    for d in docs.where("lang is not null and n_chars between 900 and 4000").collect():
+        by.setdefault(d["lang"], " ".join(WORD.findall(d["text"])[:120]))
+    names = sorted(by)
+    assert names == ["de", "en", "es", "fr"]
+    rows = [(k, " ".join(by[x] for x in names[:k])) for k in range(1, 5)]
+    got = {r["doc_id"]: (set(r["langs"].split(",")), sum(map(float, r["shares"].split(",")))) for r in language.identify_language(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert all(got[k][0] == set(names[:k]) and abs(got[k][1] - 1) < 0.01 for k in range(1, 5))
+
+
 def test_language_awkward(spark):
     model = language.train_language(awkward(spark))
     got = [(r["doc_id"], r["lang_pred"], r["score"]) for r in language.identify_language(awkward(spark), model).collect()]
