@@ -14,6 +14,7 @@ from scrivane.functions import transcript as S
 from scrivane.operators import cache as C
 from scrivane.operators import model as X
 from scrivane.operators import timeline as L
+from scrivane.sources.files import FrameDecoder, decode_frames
 
 #: Fixed values of a video job: seconds of a video, frames a second, seconds of a chunk.
 MOST_SECONDS, FRAME_RATE, CHUNK_SECONDS = 300, 0.5, 60
@@ -53,14 +54,18 @@ def capture_template(documents: DataFrame, factory: Callable[[], X.Model], templ
     return X.map_model(documents.withColumn("prompt", P.template_prompt(F.lit(template), F.col("content"))), factory, keys=[key])
 
 
-def process_videos(videos: DataFrame, segments: DataFrame, factory: Callable[[], X.Model], prompt: str, *, key: str = "video_hash", chunk: float = CHUNK_SECONDS, rate: float = FRAME_RATE) -> DataFrame:
+def process_videos(videos: DataFrame, segments: DataFrame, factory: Callable[[], X.Model], prompt: str, *, key: str = "video_hash", chunk: float = CHUNK_SECONDS, rate: float = FRAME_RATE, decoder: Callable[[], FrameDecoder] | None = None, content: str = "content") -> DataFrame:
     """Videos (key, duration, fps) and transcript segments to one answer for each video.
 
     Chunks are independent and run in parallel; each gets the segments that
     overlap it. One chunk's answer is the video's; several are put together by a
-    further call. Frames are planned here and decoded by an adapter.
+    further call. With a ``decoder`` the chunk's frames are decoded from the
+    video's bytes (column ``content``) and go with its one call; without one the
+    answer comes from the text alone. Returns the key, n_chunks (those answered),
+    failed_chunks, answer and error, one row for each video: a chunk whose frames or
+    call failed is counted, and error is the synthesis' or else the first such chunk's.
     """
-    chunks = L.chunk_plan(videos, chunk)
+    chunks = L.chunk_plan(videos.select(key, "duration", "fps"), chunk)
     frames = F.floor((F.col("end_sec") - F.col("start_sec")) * rate).cast("int")
     joined = L.overlap_join(chunks.drop("duration", "fps"), segments, key, chunk)
     spoken = L.chunk_transcripts(joined, [key, "chunk_idx"])
@@ -68,7 +73,19 @@ def process_videos(videos: DataFrame, segments: DataFrame, factory: Callable[[],
     lrc = lines.groupBy(key, "chunk_idx").agg(F.array_sort(F.collect_list(F.struct("p", "line"))).alias("l")).select(key, "chunk_idx", S.prompt_context(S.lrc_document(F.transform("l", lambda x: x["line"]))).alias("context"))
     asked = chunks.join(lrc, [key, "chunk_idx"], "left")
     text = P.chunk_prompt(F.lit(prompt), F.col("chunk_idx"), F.col("total_chunks"), F.col("start_sec"), F.col("end_sec"), F.col("duration"), frames, F.col("context"), rate)
-    answers = X.map_model(asked.withColumn("prompt", text), factory, keys=[key, "chunk_idx", "start_sec", "end_sec", "duration"])
-    folded = L.fold(answers.where("error is null"), key, prompt, rate)
-    # One pass over the chunks' answers: a single chunk's answer is taken as it is.
-    return X.map_model(folded, factory, keys=[key, "n_chunks"], known="answer").select(key, "n_chunks", F.col("result").alias("answer"))
+    asked = asked.withColumn("prompt", text)
+    keys = [key, "chunk_idx", "start_sec", "end_sec", "duration"]
+    if decoder is None:
+        answers = X.map_model(asked, factory, keys=keys)
+    else:
+        at = L.range_frame_plan(chunks, rate).groupBy(key, "chunk_idx").agg(F.array_sort(F.collect_list("frame_position")).alias("positions"))
+        ranges = at.groupBy(key).agg(F.collect_list(F.struct("chunk_idx", "positions")).alias("ranges"))
+        seen = decode_frames(videos.select(key, content).join(ranges, key), decoder, key=key, content=content).withColumnRenamed("error", "frame_error")
+        # A chunk without its frames is not asked.
+        shown = asked.join(seen, [key, "chunk_idx"], "left").withColumn("known", F.when(F.col("frame_error").isNotNull(), ""))
+        answers = X.map_model(shown, factory, keys=[*keys, "frame_error"], images="images", known="known").withColumn("error", F.coalesce("frame_error", "error"))
+    folded = L.fold(answers, key, prompt, rate)
+    # One pass over the chunks' answers: a single chunk's answer is taken as it is, and where there is none nothing is asked.
+    folded = folded.withColumn("answer", F.when(F.col("n_chunks") == 0, "").otherwise(F.col("answer")))
+    made = X.map_model(folded, factory, keys=[key, "n_chunks", "failed_chunks", "chunk_error"], known="answer")
+    return made.select(key, "n_chunks", "failed_chunks", F.when(F.col("n_chunks") > 0, F.col("result")).alias("answer"), F.coalesce("error", "chunk_error").alias("error"))
