@@ -205,8 +205,15 @@ def identify_language(docs: DataFrame, model: Model, *, id_col: str = "doc_id",
 
 
 def keep_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
-    """The documents whose language is known with a proportion of ``least`` or more, with their own columns."""
+    """The documents whose language is known with a proportion of ``least`` or more, with their own columns.
+
+    The languages are those of ``lang_col``. A corpus with letters from which no
+    language is learned (no row has a language, an id and a text) is an error,
+    because every document of it would be dropped.
+    """
     model = train_language(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    if not model[0] and not docs.where(F.col(text_col).rlike(r"\p{L}")).isEmpty():
+        raise ValueError(f"no language can be learned: no row has {lang_col}, {id_col} and {text_col}")
     cols = docs.columns
     wide = docs.select(F.struct(*cols).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
     kept = identify_language(wide, model, id_col="_id", text_col="_t", carry=("_row",)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))

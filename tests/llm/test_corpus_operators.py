@@ -208,6 +208,15 @@ def test_language_awkward(spark):
     assert [r["lang_pred"] == "und" for r in language.identify_language(letters, model).orderBy("doc_id").collect()] == [True, False, False]
 
 
+def test_language_of_an_unlabelled_corpus(spark):
+    bare = awkward(spark).withColumn("lang", F.lit(None).cast("string"))
+    with pytest.raises(ValueError, match="no language can be learned"):
+        language.keep_language(bare)
+    assert language.keep_language(empty(spark)).isEmpty() and language.keep_language(bare.where("doc_id in (1, 2, 3)")).isEmpty()
+    some = bare.withColumn("lang", F.when(F.col("doc_id") == 6, "en"))
+    assert {r["doc_id"] for r in language.keep_language(some).collect()} >= {4, 6, 9}
+
+
 # Toxicity.
 
 
