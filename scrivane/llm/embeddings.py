@@ -2,7 +2,8 @@
 
 Every vector is normalised and turned by random rotations. The signs of a turned
 vector are its binary code, which is a vector of length one as well; the inner
-product of the two is stored as the correction factor. For another vector q the
+product of the two is the correction factor. Neither is stored: each unit of work
+gets whole vectors and makes its codes and factors anew. For another vector q the
 quotient ``<code, q> / factor`` is an unbiased estimate of the cosine, and its
 error stays below ``SIGMAS * sqrt((1 - factor**2) / factor**2 / (dim - 1))``
 with high probability. Pairs whose upper bound stays below the threshold are
