@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,11 +12,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame, release: bool = False) -> DataFrame:
-    """Cut the lineage of ``df`` through the cluster's shared checkpoint folder.
+#: Spark removes a plan's shuffle files after an action if this was set when its DataFrame was made.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    ``release``: let go of the shuffle files behind it at once. Spark removes
-    them when their plan is collected as garbage, which can be long after.
+
+def released(df: DataFrame) -> DataFrame:
+    """``df`` so that its own shuffle files go as soon as an action on it ends; the setting of the session stays as it is."""
+    conf = df.sparkSession.conf
+    was = conf.get(_CLEANUP)
+    conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*")
+    finally:
+        conf.set(_CLEANUP, was)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` through the cluster's shared checkpoint folder, and let go of the shuffle files behind it.
 
     The folder is the session's ``spark.checkpoint.dir``. Only a local session
     without that setting (tests, a laptop) gets a temporary folder.
@@ -30,12 +41,17 @@ def saved(df: DataFrame, release: bool = False) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             where = tempfile.mkdtemp(prefix="scrivane-")
         sc.setCheckpointDir(where)
-    out = df.checkpoint(eager=True)
-    if release:
-        del df
-        gc.collect()
-        sc._jvm.System.gc()
-    return out
+    return released(df).checkpoint(eager=True)
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete the checkpoints of ``frames``, results of saved() that nothing reads any more."""
+    for df in frames:
+        sc = df.sparkSession.sparkContext
+        at = df._jdf.logicalPlan().rdd().getCheckpointFile()
+        if at.isDefined():
+            path = sc._jvm.org.apache.hadoop.fs.Path(at.get())
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame) -> int:

@@ -35,8 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrivane.llm import _text as X
-from scrivane.llm._graph import components
-from scrivane.llm._kit import saved, spread, table
+from scrivane.llm._graph import components, lowest_of_class
+from scrivane.llm._kit import dropped, released, saved, spread, table
 
 SHINGLE = 5
 #: The similarity as a fraction.
@@ -48,6 +48,8 @@ BLOCK = 4096
 DEPTH_STEP = 50
 #: Members of a hub that are probed in one group.
 PROBES = 256
+#: Pairs that a worker looks at or holds at once, about.
+CELLS = 1 << 18
 SHORT = X.U(0xA0761D6478BD642F)
 
 
@@ -102,7 +104,7 @@ def frequency_levels(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
 
     schema = "chunk int, part int, counts binary"
     parts = docs.select(text_col).mapInArrow(count, schema).groupBy("chunk", "part").applyInArrow(add, schema)
-    rows = sorted(parts.groupBy("chunk").applyInArrow(add, schema).collect(), key=lambda r: r["chunk"])
+    rows = sorted(released(parts.groupBy("chunk").applyInArrow(add, schema)).collect(), key=lambda r: r["chunk"])
     total = np.concatenate([np.frombuffer(bytes(r["counts"]), "<u8") for r in rows]).astype(np.float64) if rows else np.zeros(1 << COUNT_BITS)
     noise = np.median(total)
     bar = 32 + noise + 8 * np.sqrt(noise + 1)
@@ -187,6 +189,11 @@ def _starts(cols: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(change)
 
 
+def _batch(columns: tuple[list, ...], names: str) -> pa.RecordBatch:
+    """A batch of long columns and, where the values are bytes, binary ones."""
+    return pa.record_batch([pa.array(c, pa.binary() if isinstance(c[0], bytes) else pa.int64()) for c in columns], names=names.split())
+
+
 def _shared_lists(postings: DataFrame, levels: np.ndarray) -> DataFrame:
     """The postings of lists with two nodes or more (or of lists in parts)."""
 
@@ -256,14 +263,15 @@ def _merged_pairs(lists: DataFrame) -> DataFrame:
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in _runs(batches, 3):
             starts = _starts(cols[:3])
-            xs, nxs, runs, sizes = [], [], [], []
+            out, held = ([], [], [], []), 0
             for lo, hi in zip(starts, [*starts[1:], len(cols[0])], strict=True):
                 if hi - lo < 2:
                     continue
                 _, u, v, i, node, n, pos, comp = (c[lo:hi] for c in cols)
                 a, b = (np.flatnonzero(i == u[0]), np.flatnonzero(i == v[0])) if u[0] != v[0] else (np.arange(hi - lo), np.arange(hi - lo))
-                for from_ in range(0, len(a), 512):
-                    q = a[from_ : from_ + 512]
+                step = max(1, CELLS // max(1, len(b)))
+                for from_ in range(0, len(a), step):
+                    q = a[from_ : from_ + step]
                     ok = (comp[q][:, None] != comp[b]) & _fits(n[q][:, None], pos[q][:, None], n[b], pos[b])
                     if u[0] == v[0]:
                         ok &= node[q][:, None] < node[b]
@@ -278,12 +286,14 @@ def _merged_pairs(lists: DataFrame) -> DataFrame:
                     p, s = p[order], s[order]
                     first = _starts([p])
                     for f, t in zip(first, [*first[1:], len(p)], strict=True):
-                        xs.append(node[p[f]])
-                        nxs.append(n[p[f]])
-                        runs.append(node[s[f:t]].tobytes())
-                        sizes.append(n[s[f:t]].tobytes())
-            if xs:
-                yield pa.record_batch([pa.array(xs, pa.int64()), pa.array(nxs, pa.int64()), pa.array(runs, pa.binary()), pa.array(sizes, pa.binary())], names=["x", "nx", "ys", "ns"])
+                        for to, x in zip(out, (node[p[f]], n[p[f]], node[s[f:t]].tobytes(), n[s[f:t]].tobytes()), strict=True):
+                            to.append(x)
+                    held += len(p)
+                    if held > CELLS:
+                        yield _batch(out, "x nx ys ns")
+                        out, held = ([], [], [], []), 0
+            if held:
+                yield _batch(out, "x nx ys ns")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in _runs(batches, 1):
@@ -312,18 +322,20 @@ def _linked(pairs: DataFrame, docs: DataFrame, first: DataFrame, id_col: str, te
     """
     degree = pairs.groupBy("x").agg(F.count(F.lit(1)).alias("_d"))
     dealt = pairs.join(degree, "x").withColumn("_parts", F.ceil(F.col("_d") / PROBES)).select("x", "y", F.pmod(F.xxhash64("y"), F.col("_parts")).alias("part"))
-    dealt = saved(dealt, release=True)
+    dealt = saved(dealt)
     wanted = dealt.select(F.col("x").alias("node")).union(dealt.select("y")).distinct()
     where = first.join(wanted, "node").select("_first._key", "node")
     texts = docs.select(row_key(docs, id_col, text_col).alias("_key"), F.col(text_col).alias("_t")).join(where, "_key").select("node", "_t")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = list(shingle_sets(batch.column(1), k))
-            ok = [i for i, (s, node) in enumerate(zip(sets, batch.column(0).to_pylist(), strict=True)) if node_of(s) == node]
-            yield pa.record_batch([batch.column(0).take(pa.array(ok, pa.int32())), pa.array([sets[i].tobytes() for i in ok], pa.binary())], names=["node", "shingles"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                sets = list(shingle_sets(batch.column(1), k))
+                ok = [i for i, (s, node) in enumerate(zip(sets, batch.column(0).to_pylist(), strict=True)) if node_of(s) == node]
+                yield pa.record_batch([batch.column(0).take(pa.array(ok, pa.int32())), pa.array([sets[i].tobytes() for i in ok], pa.binary())], names=["node", "shingles"])
 
-    sets = saved(texts.mapInArrow(make, "node long, shingles binary").dropDuplicates(["node"]), release=True)
+    sets = saved(texts.mapInArrow(make, "node long, shingles binary").dropDuplicates(["node"]))
     hubs = dealt.select("x", "part").distinct().join(sets.withColumnRenamed("node", "x"), "x").select("x", "part", F.lit(None).cast("long").alias("y"), "shingles")
     members = dealt.join(sets.withColumnRenamed("node", "y"), "y").select("x", "part", "y", "shingles")
     rows = hubs.unionByName(members).repartition(spread(docs), "x", "part").sortWithinPartitions("x", "part", F.col("y").asc_nulls_first())
@@ -345,25 +357,30 @@ def _linked(pairs: DataFrame, docs: DataFrame, first: DataFrame, id_col: str, te
                     shared.append(overlap)
             yield pa.record_batch([pa.array(xs, pa.int64()), pa.array(ys, pa.int64()), pa.array(shared, pa.int64())], names=["x", "y", "shared"])
 
-    return saved(rows.mapInArrow(probe, "x long, y long, shared long"), release=True)
+    found = saved(rows.mapInArrow(probe, "x long, y long, shared long"))
+    dropped(dealt, sets)
+    return found
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """The sketches, and for each node its class ``comp``, its copies and its first row: the smallest by id (nulls last) and key."""
+    """The sketches, and for each node its copies, its first row and ``low``, its class's first row: the smallest by id (nulls last) and key."""
     levels = frequency_levels(docs, text_col, shingle)
     sketches = saved(_sketches(docs, id_col, text_col, shingle, levels))
     per_node = sketches.where("n > 0").groupBy("node")
     first = saved(per_node.agg(F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_key")).alias("_first"), F.count(F.lit(1)).alias("copies")))
     nodes = sketches.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("short").alias("short"))
-    lists = saved(_shared_lists(_postings(nodes, levels), levels), release=True)
+    lists = saved(_shared_lists(_postings(nodes, levels), levels))
     stars = _linked(_star_pairs(_weighted(lists).withColumn("comp", F.col("node"))), docs, first, id_col, text_col, shingle)
     labels = components(stars, "x", "y")
     # Lists within one class are done.
     now = lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = now.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("token")
-    merged = _linked(_merged_pairs(saved(now.join(mixed, "token", "left_semi"), release=True)), docs, first, id_col, text_col, shingle)
+    open_ = saved(now.join(mixed, "token", "left_semi"))
+    dropped(lists)
+    merged = _linked(_merged_pairs(open_), docs, first, id_col, text_col, shingle)
     labels = components(stars.unionByName(merged), "x", "y")
-    return sketches, first.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    dropped(open_, stars, merged)
+    return sketches, first.join(lowest_of_class(labels, first, "_first"), "node", "left").withColumn("low", F.coalesce("low", "_first"))
 
 
 def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -379,8 +396,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     component of rows without an id is the smallest id among their partners.
     """
     sketches, classes = _classes(docs, id_col, text_col, shingle)
-    lowest = classes.groupBy("comp").agg(F.min("_first").alias("_low"))
-    by_node = classes.join(lowest, "comp").select("node", F.col("_low._id").alias("component_id"), "copies")
+    by_node = classes.select("node", F.col("low._id").alias("component_id"), "copies")
     out = sketches.select("_id", "node", "n").join(by_node, "node", "left")
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
@@ -394,7 +410,7 @@ def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     has no row with one.
     """
     sketches, classes = _classes(docs, id_col, text_col, SHINGLE)
-    lowest = classes.groupBy("comp").agg(F.min("_first").alias("_low")).select("_low._key")
+    lowest = classes.where("_first._key = low._key").select("low._key")
     rows = saved(sketches.where("n > 0").join(lowest, "_key", "left_semi").groupBy(F.col("_key").alias("_kept")).agg(F.count(F.lit(1)).alias("_rows")))
     blank = sketches.where("n = 0").select("_key").distinct()
     single = rows.where("_rows = 1").select("_kept").union(blank)
