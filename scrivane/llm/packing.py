@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
 import math
 import re
 import zlib
@@ -31,31 +32,27 @@ CAPACITY = 1024
 GRAIN = 256
 #: Pieces in a group, about.
 GROUP = 2048
-#: Words whose ids a worker remembers, and the longest such word.
-REMEMBERED, LONGEST = 300_000, 48
+#: Characters of a long text that are tokenised at once, about.
+PART = 1 << 20
 
 #: Unicode's White_Space, as the tokeniser's pattern has it.
-_WIDE = "\x85\xa0  -     　"
-_WIDE_SPACE = re.compile(f"[{_WIDE}]")
-_CHUNK = re.compile(f"[\t-\r {_WIDE}]*[^\t-\r {_WIDE}]+|[\t-\r {_WIDE}]+")
-_UNEVEN = ("  ", "\n ", " \n", "\n\n", "\t", "\r", "\x0b", "\x0c")
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WORD_END = re.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])")
 
 
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
+    With ``ranks``, the rank file of the same vocabulary, a faster library gives
+    the same ids; texts that hold a special token's string stay the tokeniser's.
     A byte-level pre-tokeniser never joins a character and white space after it,
-    so a text's ids are those of its chunks (white space and the word after it),
-    one after another. Ids of short chunks are remembered.
+    so a long text's ids are those of its parts cut there, one after another.
     """
 
     def __init__(self, path: str, ranks: str | None = None):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.quick = None
+        self.path, self.tokenizer, self.quick = path, None, None
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f).get("added_tokens") or []]
         if ranks is not None:
             import public_tokenizers
             import tiktoken
@@ -64,33 +61,25 @@ class Encoder:
                 table_ = {base64.b64decode(t): int(i) for t, i in map(bytes.split, f)}
             self.quick = tiktoken.Encoding(ranks, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table_, special_tokens={}).encode_ordinary
 
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each chunk. The rank file is the same vocabulary and gives the same ids, in less time; special tokens are the tokeniser's."""
-        if self.quick is None:
-            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        return [array("I", self.tokenizer.encode(c, add_special_tokens=False).ids if any(s in c for s in self.special) else self.quick(c)).tobytes() for c in chunks]
+    def _ids(self, text: str) -> list[int]:
+        if self.quick is not None and not any(s in text for s in self.special):
+            return self.quick(text)
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     @staticmethod
-    def chunks(text: str) -> list[str]:
-        if any(x in text for x in _UNEVEN) or not text.isascii() and _WIDE_SPACE.search(text):
-            return _CHUNK.findall(text)
-        parts = text.replace("\n", " \n").split(" ")
-        return [parts[0], *[p if p[:1] == "\n" else " " + p for p in parts[1:]]] if parts[0] else [p if p[:1] == "\n" else " " + p for p in parts[1:]]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.chunks(t) if t else [] for t in texts]
-        here = set().union(*split)
-        new = here.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = here
-        chunks = list(new)
-        self.known.update(zip(chunks, self._ids(chunks), strict=True))
-        out = [b"".join(map(self.known.__getitem__, s)) for s in split]
-        for c in chunks:
-            if len(c) > LONGEST:
-                del self.known[c]
-        return out
+    def parts(text: str, size: int = PART) -> Iterator[str]:
+        at = 0
+        while len(text) - at > size and (end := _WORD_END.search(text, at + size)):
+            yield text[at : end.start()]
+            at = end.start()
+        yield text[at:] if at else text
+
+    def encode(self, text: str | None) -> bytes:
+        return b"".join(array("I", self._ids(p)).tobytes() for p in self.parts(text)) if text else b""
 
 
 _encoders: dict[str | None, Encoder] = {}
@@ -160,8 +149,8 @@ def tokenised(docs: DataFrame, *, id_col: str, text_col: str, tokenizer: str | N
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 doc, start, length, crc, total, ids = [], [], [], [], [], []
-                for d, got in enumerate(enc.encode(batch.column(1).to_pylist())):
-                    got += end
+                for d, text in enumerate(batch.column(1)):
+                    got = enc.encode(text.as_py()) + end
                     n = len(got) // 4
                     cuts = [*range(0, n - n % capacity, capacity), *range(n - n % capacity, n, grain), n]
                     for s, e in zip(cuts[:-1], cuts[1:], strict=True):
