@@ -16,7 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 18
+#: Powers that a worker keeps at most.
+MOST_KEPT = 1 << 21
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 SPACE_BYTES = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)
@@ -33,7 +35,7 @@ _powers: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i below n at least."""
+    """BASE**i and BASE**-i for i below n at least; those of very long texts are not kept."""
     if not _powers or len(_powers[0]) < n:
         size = max(n, SLICE + 8)
         made = []
@@ -41,6 +43,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.full(size, base, dtype=np.uint64)
             p[0] = 1
             made.append(np.cumprod(p, dtype=np.uint64))
+        if size > MOST_KEPT:
+            return made[0], made[1]
         _powers[:] = made
     return _powers[0], _powers[1]
 

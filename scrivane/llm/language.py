@@ -11,7 +11,7 @@ on the likelihood leaves open.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,8 @@ ROUNDS = 8
 #: Log-likelihood that a further language must gain, times the log of the number of words.
 PENALTY = 3.0
 UNKNOWN = "und"
+#: Bytes times languages of likelihoods that are made at once.
+CELLS = 1 << 21
 
 _LETTER = np.full(256, 0x20, np.uint8)
 _LETTER[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -65,8 +67,6 @@ def _whole(ok: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def fit(texts: pa.Array, langs: list[str]) -> Model:
     names = sorted(set(langs))
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; at most {MOST_LANGUAGES} are modelled")
     of = {n: i for i, n in enumerate(names)}
     counts = np.zeros((len(names), 1 << BITS))
     row = np.array([of[x] for x in langs], np.int64)
@@ -88,6 +88,9 @@ def train_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     the driver. Without a usable row there are no languages.
     """
     ids = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_l"))
+    names = ids.select("_l").distinct().limit(MOST_LANGUAGES + 1).count()
+    if names > MOST_LANGUAGES:  # also bounds the picked ids
+        raise ValueError(f"more than {MOST_LANGUAGES} languages; merge rare values of {lang_col} first")
     picked = thinned(ids, "_l", "_id", per_language).distinct()
     sample = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_l"), F.col(text_col).alias("_t")).join(F.broadcast(picked), ["_id", "_l"], "left_semi").select("_t", "_l")
 
@@ -101,45 +104,83 @@ def train_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return [r["name"] for r in rows], np.ascontiguousarray(np.stack([np.frombuffer(bytes(r["logs"]), np.float32) for r in rows], 1)) if rows else np.zeros((1 << BITS, 0), np.float32)
 
 
-def _em(p: np.ndarray, first: np.ndarray, doc: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions of the allowed languages of each document, and the log-likelihood less that of p's scaling.
+Chunks = Callable[[], Iterable[tuple[int, int, np.ndarray]]]
 
-    first: where each document's words begin, one document at least a word.
+
+def _sums(x: np.ndarray, doc: np.ndarray, out: np.ndarray) -> None:
+    """Adds the rows of x to those of out that ``doc`` names, which ascends."""
+    at = np.flatnonzero(np.diff(doc, prepend=-1))
+    out[doc[at]] += np.add.reduceat(x, at, axis=0)
+
+
+def _em(chunks: Chunks, doc: np.ndarray, n: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions of the allowed languages of each document, and the log-likelihood less that of the scaling.
+
+    chunks: (from, to, likelihoods) of runs of words; doc: each word's document, or
+    -1 where it takes no part; n: words of each document.
     """
-    n = np.diff(np.append(first, len(p)))[:, None]
     pi = allowed / allowed.sum(1, keepdims=True)
-    for _ in range(ROUNDS):
-        r = p * pi[doc]
-        s = r.sum(1)
-        pi = np.add.reduceat(r / s[:, None], first, axis=0) / n
-    return pi, np.add.reduceat(np.log((p * pi[doc]).sum(1)), first)
+    for round_ in range(ROUNDS + 1):
+        sums, ll = np.zeros_like(pi), np.zeros(len(n))
+        for lo, hi, p in chunks():
+            of = doc[lo:hi]
+            if (of < 0).any():
+                p, of = p[of >= 0], of[of >= 0]
+            if len(of):
+                r = p * pi[of]
+                s = r.sum(1)
+                if round_ < ROUNDS:
+                    _sums(r / s[:, None], of, sums)
+                else:
+                    _sums(np.log(s), of, ll)
+        if round_ < ROUNDS:
+            pi = sums / n[:, None]
+    return pi, ll
 
 
 def mixtures(b: np.ndarray, offs: np.ndarray, w: X.Words, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each document of a slice: proportions of its languages under the best language set (0 for others), and under all."""
+    """For each document of a slice: proportions of its languages under the best language set (0 for others), and under all.
+
+    Likelihoods are made for CELLS bytes times languages at once. A slice that
+    needs several such chunks (a long text, or many languages) makes them again in
+    every round, so memory does not grow with them.
+    """
     docs, langs = len(w.count), logs.shape[1]
     best, full = np.zeros((docs, langs)), np.zeros((docs, langs))
     some = np.flatnonzero(w.count)
     if not len(some) or not langs:
         return best, full
     g, ok = _grams(b)
-    ll = np.zeros((len(b) + 1, langs), np.float32)
-    ll[:-1] = np.where(_whole(ok, offs)[:, None], logs[g], np.float32(0))
-    doc = w.docs()
+    ok = _whole(ok, offs)
+    n = w.count[some]
+    doc = np.repeat(np.arange(len(some)), n)
     stop = np.append(w.start[1:], len(b))
     stop[w.first[1:][some] - 1] = offs[1:][some]
-    unit = np.add.reduceat(ll, np.stack([w.start, stop], 1).ravel(), axis=0)[::2].astype(np.float64)
-    p = np.maximum(np.exp(unit - unit.max(1, keepdims=True)), 1e-12)
-    first, dense = w.first[:-1][some], np.searchsorted(some, doc)
-    single = np.add.reduceat(np.log(p), first, axis=0)
-    pi, whole_ll = _em(p, first, dense, np.ones((len(some), langs)))
+    edges = np.unique(np.append(np.searchsorted(w.start, np.arange(0, len(b), max(1, CELLS // langs))), len(w.start)))
+
+    def made() -> Iterator[tuple[int, int, np.ndarray]]:
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            from_, to = w.start[lo], stop[hi - 1]
+            ll = np.zeros((to - from_ + 1, langs), np.float32)
+            ll[:-1] = np.where(ok[from_:to, None], logs[g[from_:to]], np.float32(0))
+            unit = np.add.reduceat(ll, np.stack([w.start[lo:hi] - from_, stop[lo:hi] - from_], 1).ravel(), axis=0)[::2].astype(np.float64)
+            yield lo, hi, np.maximum(np.exp(unit - unit.max(1, keepdims=True)), 1e-12)
+
+    whole = list(made()) if len(edges) == 2 else None
+    chunks: Chunks = made if whole is None else lambda: whole
+    single = np.zeros((len(some), langs))
+    for lo, hi, p in chunks():
+        _sums(np.log(p), doc[lo:hi], single)
+    pi, whole_ll = _em(chunks, doc, n, np.ones((len(some), langs)))
     order = np.argsort(-pi, axis=1, kind="stable")
     chosen = np.eye(langs)[single.argmax(1)]
     score = single.max(1)
-    n_log = PENALTY * np.log(w.count[some] + 2.0)
+    n_log = PENALTY * np.log(n + 2.0)
     # Log-likelihoods are concave in the proportions, so the gradient at pi bounds those of all sets from above.
-    slope = np.add.reduceat(p / (p * pi[dense]).sum(1, keepdims=True), first, axis=0).max(1)
-    most = whole_ll + slope - w.count[some] + 1e-6 * (1 + np.abs(whole_ll))
+    slope = np.zeros((len(some), langs))
+    for lo, hi, p in chunks():
+        _sums(p / (p * pi[doc[lo:hi]]).sum(1, keepdims=True), doc[lo:hi], slope)
+    most = whole_ll + slope.max(1) - n + 1e-6 * (1 + np.abs(whole_ll))
     for k in range(2, langs + 1):
         # Where even the bound is no gain, neither this size nor a larger one is.
         open_ = most - n_log * (k - 1) > score
@@ -150,8 +191,8 @@ def mixtures(b: np.ndarray, offs: np.ndarray, w: X.Words, logs: np.ndarray) -> t
         else:
             allowed = np.zeros((int(open_.sum()), langs))
             np.put_along_axis(allowed, order[open_, :k], 1.0, axis=1)
-            n = w.count[some][open_]
-            part, fit_ll = _em(p[open_[dense]], np.cumsum(n) - n, np.repeat(np.arange(len(n)), n), allowed)
+            number = np.where(open_, np.cumsum(open_) - 1, -1)
+            part, fit_ll = _em(chunks, number[doc], n[open_], allowed)
         gain = fit_ll - n_log[open_] * (k - 1)
         better = gain > score[open_]
         at = np.flatnonzero(open_)[better]
@@ -170,54 +211,63 @@ def has_letter(b: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
-def identify_language(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def predicted(texts: pa.Array, model: Model) -> tuple[list[str], list[float], list[str], list[str]]:
+    """lang_pred, score, langs and shares of each text; see identify_language."""
+    names, logs = model
+    pred, score, sets, shares = [], [], [], []
+    for _, _, b, offs in X.slices(texts):
+        w = X.Words(b, offs)
+        best, full = mixtures(b, offs, w, logs)
+        for d, ok in enumerate(has_letter(b, offs) & bool(names)):
+            order = [i for i in np.argsort(-best[d], kind="stable") if best[d][i] >= 0.005] if ok else []
+            pred.append(names[order[0]] if order else UNKNOWN)
+            score.append(float(min(1.0, full[d][order[0]])) if order else 0.0)
+            sets.append(",".join(names[i] for i in order))
+            shares.append(",".join(f"{best[d][i]:.3f}" for i in order))
+    return pred, score, sets, shares
+
+
+def identify_language(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Predict the language of every whole text.
 
     Returns the id, lang_pred (the language of the largest proportion in the
     best language set; ``und`` for a null text, one without a letter, or a model
     without languages), score (its proportion under all languages, 0 to 1; 0 for
     ``und``), langs (the set, largest first, as text with commas) and shares
-    (their proportions, likewise), then the columns of ``carry``. Ties go to the
-    language that sorts first. Equal rows get equal results; no row is dropped.
+    (their proportions, likewise). Ties go to the language that sorts first.
+    Equal rows get equal results; no row is dropped; other columns are not read.
     """
-    names, logs = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pred, score, sets, shares = [], [], [], []
-            for _, _, b, offs in X.slices(batch.column(1)):
-                w = X.Words(b, offs)
-                best, full = mixtures(b, offs, w, logs)
-                for d, ok in enumerate(has_letter(b, offs) & bool(names)):
-                    order = [i for i in np.argsort(-best[d], kind="stable") if best[d][i] >= 0.005] if ok else []
-                    pred.append(names[order[0]] if order else UNKNOWN)
-                    score.append(float(min(1.0, full[d][order[0]])) if order else 0.0)
-                    sets.append(",".join(names[i] for i in order))
-                    shares.append(",".join(f"{best[d][i]:.3f}" for i in order))
-            out = [batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.string()), pa.array(shares, pa.string())]
-            yield pa.record_batch(out + [batch.column(2 + i) for i in range(len(carry))], names=columns)
-
-    columns = [id_col, "lang_pred", "score", "langs", "shares", *carry]
+            pred, score, sets, shares = predicted(batch.column(1), model)
+            yield pa.record_batch([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.string()), pa.array(shares, pa.string())], names=[id_col, "lang_pred", "score", "langs", "shares"])
+
     kind = dict(docs.select(id_col).dtypes)[id_col]
-    types = docs.select(*carry).dtypes if carry else []
-    schema = f"`{id_col}` {kind}, lang_pred string, score double, langs string, shares string" + "".join(f", `{c}` {t}" for c, t in types)
-    return docs.select(id_col, text_col, *carry).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, langs string, shares string")
 
 
 def keep_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
     """The documents whose language is known with a proportion of ``least`` or more, with their own columns.
 
-    The languages are those of ``lang_col``. A corpus with letters from which no
-    language is learned (no row has a language, an id and a text) is an error,
-    because every document of it would be dropped.
+    The languages are those of ``lang_col``. Null texts and those without a letter
+    go; equal rows share their fate, ids may be null or repeated, columns may have
+    any name, and an empty table stays empty. Only texts travel to the Python
+    workers. A corpus with letters from which no language is learned (no row has
+    a language, an id and a text) is an error, because every document of it would
+    be dropped.
     """
     model = train_language(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
     if not model[0] and not docs.where(F.col(text_col).rlike(r"\p{L}")).isEmpty():
         raise ValueError(f"no language can be learned: no row has {lang_col}, {id_col} and {text_col}")
-    cols = docs.columns
-    wide = docs.select(F.struct(*cols).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    kept = identify_language(wide, model, id_col="_id", text_col="_t", carry=("_row",)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return kept.select(*(F.col("_row")[c].alias(c) for c in cols))
+
+    @F.arrow_udf("boolean")
+    def known(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for t in texts:
+            pred, score, _, _ = predicted(t, model)
+            yield pa.array([p != UNKNOWN and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_())
+
+    return docs.where(known(F.col(text_col)))
 
 
 def op3_language_mixture(spark, sf_dir: str) -> DataFrame:

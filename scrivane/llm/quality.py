@@ -196,7 +196,24 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     return np.frombuffer(bytes(rows[0]["w"]), np.float32), rows[0]["a"], rows[0]["c"]
 
 
-def score_quality(docs: DataFrame, model: tuple[np.ndarray, float, float], *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
+def judged(texts: pa.Array, model: tuple[np.ndarray, float, float], threshold: float = THRESHOLD) -> dict[str, np.ndarray]:
+    """The columns of score_quality, but for the id."""
+    weights, slope, shift = model
+    parts = []
+    for _, _, b, offs in X.slices(texts):
+        w = X.Words(b, offs)
+        sums = X.prefix_sums(b)
+        hashes = X.span_hashes(sums, w.start, w.end)
+        s = text_stats(b, offs, w, sums, hashes)
+        s["quality"] = _sigmoid(slope * _mean_weight(weights, b, offs, w, hashes) + shift)
+        parts.append(s)
+    s = {k: np.concatenate([np.zeros(0, np.float64 if k == "quality" else np.int64), *(p[k] for p in parts)]) for k in (*STATS, "quality")}
+    s = {k: v if k == "quality" else v.astype(np.int64) for k, v in s.items()}
+    s["base_failed"] = (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
+    return s | {"kept": ~s["base_failed"] & (s["quality"] >= threshold)}
+
+
+def score_quality(docs: DataFrame, model: tuple[np.ndarray, float, float], *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Statistics, base rule, probability and verdict of every whole text.
 
     Words are runs of bytes other than x09-x0D and x20. Returns the id, n_words,
@@ -204,43 +221,37 @@ def score_quality(docs: DataFrame, model: tuple[np.ndarray, float, float], *, id
     (lines with a word that equal an earlier line of the text), n_repeat_words
     (words in three-word windows that occur twice or more in the text),
     base_failed (n_words < 50 or more than half the words repeat), quality (the
-    calibrated probability) and kept; then the columns of ``carry``. A null or
-    empty text has no words, fails the base rule and is scored as empty. Other
-    columns are not read; equal rows get equal results; no row is dropped.
+    calibrated probability) and kept. A null or empty text has no words, fails the
+    base rule and is scored as empty. Other columns are not read; equal rows get
+    equal results; no row is dropped.
     """
-    weights, slope, shift = model
     kind = dict(docs.select(id_col).dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for _, _, b, offs in X.slices(batch.column(1)):
-                w = X.Words(b, offs)
-                sums = X.prefix_sums(b)
-                hashes = X.span_hashes(sums, w.start, w.end)
-                s = text_stats(b, offs, w, sums, hashes)
-                s["quality"] = _sigmoid(slope * _mean_weight(weights, b, offs, w, hashes) + shift)
-                parts.append(s)
-            if not parts:
-                continue
-            s = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-            failed = (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
-            out = [batch.column(0), *(pa.array(s[k]) for k in STATS), pa.array(failed), pa.array(s["quality"]), pa.array(~failed & (s["quality"] >= threshold))]
-            yield pa.record_batch(out + [batch.column(2 + i) for i in range(len(carry))], names=names)
-
-    names = [id_col, *STATS, "base_failed", "quality", "kept", *carry]
-    types = docs.select(*carry).dtypes if carry else []
-    schema = f"`{id_col}` {kind}, " + ", ".join(f"{k} long" for k in STATS) + ", base_failed boolean, quality double, kept boolean" + "".join(f", `{c}` {t}" for c, t in types)
-    return docs.select(id_col, text_col, *carry).mapInArrow(run, schema)
-
-
-def keep_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that score_quality keeps, with their own columns; rows and their order of columns stay as they are."""
+            s = judged(batch.column(1), model, threshold)
+            yield pa.record_batch([batch.column(0), *(pa.array(s[k]) for k in names[1:])], names=names)
+
+    names = [id_col, *STATS, "base_failed", "quality", "kept"]
+    schema = f"`{id_col}` {kind}, " + ", ".join(f"{k} long" for k in STATS) + ", base_failed boolean, quality double, kept boolean"
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score_quality keeps, with their own columns; rows and their order of columns stay as they are.
+
+    Null and empty texts and those of fewer than 50 words go; equal rows share
+    their fate, ids may be null or repeated, columns may have any name, and an
+    empty table stays empty. Only texts travel to the Python workers.
+    """
     model = train_quality(docs, labels, id_col=id_col, text_col=text_col)
-    cols = docs.columns
-    wide = docs.select(F.struct(*cols).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    kept = score_quality(wide, model, id_col="_id", text_col="_t", carry=("_row",)).where("kept")
-    return kept.select(*(F.col("_row")[c].alias(c) for c in cols))
+
+    @F.arrow_udf("boolean")
+    def passes(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for t in texts:
+            yield pa.array(judged(t, model, threshold)["kept"])
+
+    return docs.where(passes(F.col(text_col)))
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
