@@ -8,18 +8,19 @@ Blocks. The words of a source, its documents in a fixed order, are packed into
 blocks of BLOCK words. A source's target is a number of slots, each taking one
 block (the last one takes what is still missing).
 
-Shards. Slots are dealt to output shards by multinomial draws: shard after
-shard draws its counts by source with probabilities in proportion to the slots
-that remain, never beyond them, so every shard resembles the mixture and the
-totals are the targets. A slot's number within its source is mapped through the
+Shards. Slots are dealt to output shards by multinomial draws: the shards are
+halved again and again, and a half draws its counts by source with probabilities
+in proportion to the slots that remain, never beyond them, so every shard
+resembles the mixture and the totals are the targets. A draw's seed is its place
+in the halving, so a task draws for its own shards only. A slot's number within its source is mapped through the
 source's pseudorandom permutation of block numbers (a Feistel network with cycle
 walking), once through all blocks before any comes again, and blocks are joined
 to slots by number.
 
 Scale. Word counts, block numbers and the join are distributed; running sums are
-taken in two levels, so a hot source is spread. Only one row for each source
-reaches the driver (MOST_SOURCES at most), and the drawn counts, one row for each
-shard and source, leave it.
+taken in two levels, so a hot source is spread; slots are drawn and permuted by
+tasks of TASK_SHARDS shards. Only one row for each source reaches the driver
+(more than MOST_SOURCES are an error).
 """
 
 from __future__ import annotations
@@ -27,9 +28,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +41,8 @@ from scrivane.llm._kit import saved, table
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 256
 CAP = 3
-#: Slots of a shard, about, and most shards.
-SHARD_SLOTS, MOST_SHARDS = 4096, 4096
+#: Slots of a shard, about, and shards whose slots one task draws.
+SHARD_SLOTS, TASK_SHARDS = 4096, 16
 MOST_SOURCES = 100_000
 #: Documents whose running sums are taken in one task, about.
 BUCKET_ROWS = 4096
@@ -109,20 +112,54 @@ def _plan(sources: list[tuple[str | None, int]], block: int, cap: float, seed: i
     return out
 
 
-def draw_counts(slots: list[int], shard_slots: int = SHARD_SLOTS, most: int = MOST_SHARDS, seed: int = 5) -> np.ndarray:
-    """Slots of each source (column) in each output shard (row), by multinomial draws from what remains."""
-    left = np.array(slots, np.int64)
-    shards = int(min(most, max(1, -(-left.sum() // shard_slots))))
-    rng = np.random.default_rng(seed)
-    out = np.zeros((shards, len(slots)), np.int64)
-    for shard in range(shards):
-        need = -(-int(left.sum()) // (shards - shard))
+def shards_for(slots: list[int], shard_slots: int | None = None) -> int:
+    return max(1, -(-sum(slots) // (shard_slots or SHARD_SLOTS)))
+
+
+def draw_counts(slots: list[int], shards: int, from_: int, to: int, seed: int = 5) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For the shards from ``from_`` up to ``to``: the shard, and of each source its first slot and number of slots there."""
+
+    def walk(a: int, b: int, left: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if b - a == 1:
+            yield a, first, left
+            return
+        mid, rng = (a + b) // 2, np.random.default_rng([seed, a, b])
+        need, got, rest = int(left.sum()) * (mid - a) // (b - a), np.zeros_like(left), left.copy()
         while need:
-            got = np.minimum(rng.multinomial(need, left / left.sum()), left)
-            out[shard] += got
-            left -= got
-            need -= int(got.sum())
-    return out
+            more = np.minimum(rng.multinomial(need, rest / rest.sum()), rest)
+            got, rest, need = got + more, rest - more, need - int(more.sum())
+        if from_ < mid:
+            yield from walk(a, mid, got, first)
+        if to > mid:
+            yield from walk(mid, b, rest, first + got)
+
+    yield from walk(0, shards, np.array(slots, np.int64), np.zeros(len(slots), np.int64))
+
+
+def _slots(spark, plan: list[dict], block: int, seed: int) -> DataFrame:
+    """shard, _s, slot, _block and room (words that it takes of the block) of every slot."""
+    names = ["" if p["source"] is None else "=" + p["source"] for p in plan]
+    slots = [p["slots"] for p in plan]
+    shards = shards_for(slots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy()
+            for shard, first, n in draw_counts(slots, shards, int(ids[0]), int(ids[-1]) + 1, seed):
+                for i in np.flatnonzero(n).tolist():
+                    p = plan[i]
+                    for lo in range(int(first[i]), int(first[i] + n[i]), 65536):
+                        slot = np.arange(lo, min(lo + 65536, int(first[i] + n[i])))
+                        at = np.zeros(len(slot), np.int64)
+                        for epoch in range(int(slot[0]) // p["blocks"], int(slot[-1]) // p["blocks"] + 1):
+                            mine = slot // p["blocks"] == epoch
+                            at[mine] = permuted(slot[mine] % p["blocks"], p["blocks"], _round_keys(p["source"], epoch, seed))
+                        room = np.where(slot == p["slots"] - 1, p["last"], block)
+                        yield pa.record_batch([pa.array(np.full(len(slot), shard, np.int64)), pa.array([names[i]] * len(slot), pa.string()), *map(pa.array, (slot, at, room))], names=["shard", "_s", "slot", "_block", "room"])
+
+    return spark.range(0, shards if plan else 0, 1, max(1, -(-shards // TASK_SHARDS))).mapInArrow(run, "shard long, _s string, slot long, _block long, room long")
 
 
 def _pieces(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
@@ -168,22 +205,7 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     by = {r["_s"]: r["source_size"] for r in sizes.collect()}
     known = [(s[1:], by[s]) for s in sorted(by) if s] + ([(None, by[""])] if "" in by else [])
     plan = _plan(known, block, cap, seed)
-    counts = draw_counts([p["slots"] for p in plan], seed=seed) if plan else np.zeros((0, 0), np.int64)
-    first = np.cumsum(counts, axis=0) - counts
-    drawn = pd.DataFrame([(int(j), "" if p["source"] is None else "=" + p["source"], int(first[j, i]), int(counts[j, i]), p["blocks"], p["slots"], p["last"]) for i, p in enumerate(plan) for j in np.flatnonzero(counts[:, i])], columns=["shard", "_s", "first", "n", "blocks", "slots", "last"])
-    schema = "shard int, _s string, first long, n long, blocks long, slots long, last long"
-    dealt = spark.createDataFrame(drawn, schema) if len(drawn) else spark.createDataFrame([], schema)
-
-    @F.pandas_udf("long")
-    def block_number(s: pd.Series, slot: pd.Series, blocks: pd.Series) -> pd.Series:
-        out = np.zeros(len(s), np.int64)
-        at = pd.DataFrame({"s": s, "e": slot // blocks, "b": blocks})
-        for (name, epoch, n), rows in at.groupby(["s", "e", "b"]).indices.items():
-            out[rows] = permuted(slot.to_numpy()[rows] % n, int(n), _round_keys(name[1:] if name else None, int(epoch), seed))
-        return pd.Series(out)
-
-    slots = dealt.repartition("shard", "_s").select("shard", "_s", "blocks", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"), "slots", "last")
-    slots = slots.select("shard", "_s", "slot", block_number("_s", "slot", "blocks").alias("_block"), F.when(F.col("slot") == F.col("slots") - 1, F.col("last")).otherwise(F.lit(block)).alias("room"))
+    slots = _slots(spark, plan, block, seed)
     # Slots grow with the table although the plan sees the small table that they come from, so they must not be broadcast.
     # A document lies in the blocks from its first word's to its last word's.
     end = F.col("_at") + F.col("size")
