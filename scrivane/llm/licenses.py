@@ -13,9 +13,12 @@ Jaccard similarity of at least 1/2 with the template, and one that holds the
 least containment of 0.8 about 0.4; a band misses it with probability 0.6, all 24
 bands with 5e-6.
 
-A band can only collide where the window holds the template's minimum shingle,
-so windows without any shingle of the template are never made: one pass over the
-hashed shingles finds those that occur in a template at all.
+Retrieval is by (band, minimum): the templates' minima are a table of bands and
+the shingles that are minimal in them. A window's minimum in a band can equal a
+template's only if the window holds that very shingle, so one pass over the hashed
+shingles marks where such minima stand, and windows are made around marks only,
+from the neighbouring hashes and not from the whole text. A window is a
+candidate if no other of its shingles is smaller in one of the mark's bands.
 """
 
 from __future__ import annotations
@@ -44,6 +47,17 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("GPL-2.0-only", "it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"),
+    ("GPL-2.0-or-later", "either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1-or-later", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("AGPL-3.0-only", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 
@@ -67,10 +81,6 @@ def _shingles(words: str):
     return F.expr(f"CASE WHEN size({words}) >= {SHINGLE} THEN transform(sequence(0, size({words}) - {SHINGLE}), i -> xxhash64({', '.join(i)})) ELSE array() END")
 
 
-def _signature(shingles: str) -> str:
-    return f"transform(sequence(0, {BANDS - 1}), b -> array_min(transform({shingles}, h -> xxhash64(h, b))))"
-
-
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """License notices in every whole text.
 
@@ -89,21 +99,25 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     if any(len(w) < SHINGLE for w in words):
         raise ValueError(f"a template needs {SHINGLE} words")
     rows = [(i, name, _stride(len(w)), len(w) + _stride(len(w)) - 1, w) for i, ((name, _), w) in enumerate(zip(templates, words, strict=True))]
-    known = spark.createDataFrame(rows, "template int, license string, stride int, width int, words array<string>").withColumn("tset", F.array_distinct(_shingles("words")))
-    known = known.withColumn("tsig", F.expr(_signature("tset"))).drop("words")
-    anchors = sorted({h for r in known.select("tset").collect() for h in r["tset"]})
+    known = spark.createDataFrame(rows, "template int, license string, stride int, width int, words array<string>").withColumn("tset", F.array_distinct(_shingles("words"))).drop("words")
+    # Of each template and band the minimum and the shingle that gives it, gathered by shingle.
+    least_ = F.expr(f"transform(sequence(0, {BANDS - 1}), b -> array_min(transform(tset, h -> named_struct('low', xxhash64(h, b), 'a', h, 'b', b))))")
+    minima = known.withColumn("_m", F.explode(least_)).groupBy("template", "license", "stride", "width", "tset", F.col("_m.a").alias("_a")).agg(F.collect_list(F.struct("_m.b", "_m.low")).alias("bands"))
+    anchors = sorted(r["_a"] for r in minima.select("_a").distinct().collect())
     # The row numbers also keep the optimiser from moving the filter below the projections, where it
     # would split the text anew for every shingle.
     split = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), _words(text_col).alias("_w"))
     hashed = split.select("_row", "_id", _shingles("_w").alias("_h"))
     places = F.filter(F.transform("_h", lambda h, i: F.when(h.isin(anchors), i)), lambda i: i.isNotNull())
     marked = hashed.select("_row", "_id", "_h", places.alias("_at"), F.monotonically_increasing_id().alias("_fence")).where(F.size("_at") > 0)
-    hits = marked.select("_row", "_id", "_h", F.explode("_at").alias("_p")).withColumn("_a", F.col("_h")[F.col("_p")])
-    met = hits.join(F.broadcast(known.withColumn("_a", F.explode("tset"))), "_a")
-    lo = F.greatest(F.lit(0), F.ceil((F.col("_p") - (F.col("width") - SHINGLE)) / F.col("stride")).cast("int"))
-    windows = met.withColumn("_k", F.explode(F.sequence(lo, F.floor(F.col("_p") / F.col("stride")).cast("int"))))
-    windows = windows.withColumn("_win", F.slice("_h", F.col("_k") * F.col("stride") + 1, F.col("width") - SHINGLE + 1)).drop("_h")
-    found = windows.withColumn("_sig", F.expr(_signature("_win"))).where(F.exists(F.zip_with("_sig", "tsig", lambda a, b: a == b), lambda x: x))
+    reach = max(r[3] for r in rows) if rows else 1
+    near = F.transform("_at", lambda p: F.struct(p.alias("p"), F.greatest(F.lit(0), p - reach).alias("lo"), F.slice("_h", F.greatest(F.lit(0), p - reach) + 1, 2 * reach + 1).alias("h")))
+    hits = marked.select("_row", "_id", F.explode(near).alias("_n")).select("_row", "_id", "_n.*").withColumn("_a", F.element_at("h", F.col("p") - F.col("lo") + 1))
+    met = hits.join(F.broadcast(minima), "_a")
+    lo = F.greatest(F.lit(0), F.ceil((F.col("p") - (F.col("width") - SHINGLE)) / F.col("stride")).cast("int"))
+    windows = met.withColumn("_k", F.explode(F.sequence(lo, F.floor(F.col("p") / F.col("stride")).cast("int"))))
+    windows = windows.withColumn("_win", F.slice("h", F.col("_k") * F.col("stride") - F.col("lo") + 1, F.col("width") - SHINGLE + 1)).drop("h", "p", "lo")
+    found = windows.where(F.expr("exists(bands, m -> array_min(transform(_win, h -> xxhash64(h, m.b))) = m.low)"))
     verified = found.withColumn("_c", F.size(F.array_intersect("_win", "tset")) / F.size("tset")).where(F.col("_c") >= least)
     best = verified.groupBy("_row", "template").agg(F.first("_id").alias("_id"), F.first("license").alias("license"), F.max("_c").alias("containment"), F.min(F.col("_k") * F.col("stride")).cast("long").alias("first_word"), F.count_distinct("_k").alias("n_windows"))
     return best.select(F.col("_id").alias(id_col), "license", "template", "containment", "first_word", "n_windows")
