@@ -1,19 +1,26 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Terminals. Words map to the classes insult, threat, target, negation and report.
-Insult terminals are word beginnings (or whole short words) that labelled toxic
-documents hold significantly more often than others, weighted by their
-log-odds; the other classes start from the fixed word lists below.
-
-Grammar. One small transducer for each class is run over a clause: insult and
-threat emit their word's weight, negation marks what follows within NEGATION_REACH
-words, report marks what follows in the clause, target marks the clause. Their
-composition is one table. It turns a clause into weights of kinds such as
-"insult aimed at somebody" or "reported insult"; a clause without an insult or
-threat gives nothing, and what a word counts for depends on its clause.
+Terminals. Words map to the classes insult, threat, intent, target, negation and
+report; quotation marks are a class of their own. Insult terminals are word
+beginnings (or whole short words) that labelled toxic documents hold
+significantly more often than others, in several texts that are no copies of each
+other, weighted by their log-odds. The other classes are the fixed word lists
+below; a threat's weight is its log-odds on the labelled rows, drawn towards
+THREAT_WEIGHT where they show few of it. Contractions are negations (don't, n'est).
+
+Grammar. One small transducer for each class is run over a clause: insult emits
+its word's weight; threat emits its weight, and BARE of it without an intent
+before it; negation marks what follows within NEGATION_REACH words; report marks
+what follows in the clause, also after a colon; quotation marks mark what they
+hold within a line; target marks the clause. Their composition is one table. It
+turns a clause into weights of kinds such as "insult aimed at somebody" or
+"reported insult"; a clause without an insult or threat gives nothing, and what a
+word counts for depends on its clause.
 
 A document's score is a logistic function of its sums of each kind, fitted on
-the labelled rows, so how much a negated or reported insult counts is learned.
+the labelled rows. What all kinds have in common is fitted by one weight of the
+kinds in the ratios of PRIOR, and a kind of its own departs from these as far as
+the rows show, so kinds that the rows lack keep their ratio.
 """
 
 from __future__ import annotations
@@ -33,19 +40,24 @@ from scrivane.llm import _text as X
 from scrivane.llm._kit import crc_of_id, table, thinned
 from scrivane.llm.jaccard import DEN, NUM, least_overlap, node_of, shingle_sets
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
+OTHER, INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT, QUOTE, END = range(9)
 KINDS = ("insult", "aimed insult", "negated insult", "reported insult", "threat", "aimed threat", "negated threat", "reported threat")
+#: What a weight of each kind counts for where the labelled rows do not show it.
+PRIOR = np.array([1.0, 1.25, 0.3, 0.3, 1.0, 1.25, 0.3, 0.3])
 NEGATION_REACH = 3
+THREAT_WEIGHT, BARE = 3.0, 0.25
 #: Labelled documents that the terminals and weights are fitted on, about.
 SAMPLE = {1: 2000, 0: 6000}
 SHORTEST, LONGEST_STEM = 4, 8
 #: Least log-odds of a terminal; its G statistic must also exceed what chance gives the best of all candidates.
 LEAST_ODDS = 2.5
 
+#: Fixed word lists.
 WORDS = {
     THREAT: "kill hurt destroy beat burn shoot stab strangle töten umbringen schlagen vernichten verbrennen tuer frapper détruire brûler matar golpear destruir quemar",
+    INTENT: "will shall gonna going must werde werden wird wirst soll vais va vas allons voy vamos",
     TARGET: "you your yours yourself u they them those people du dich dir dein deine ihr euch euer sie leute tu te toi ton ta vous votre vos ils gens tú usted ustedes tuyo vosotros ellos gente",
-    NEGATION: "not no never none isn't aren't wasn't don't won't nobody nicht kein keine nie niemals ne pas jamais aucun aucune nunca jamás ningún ninguna",
+    NEGATION: "not no never none nobody nicht kein keine nie niemals ne pas jamais aucun aucune nunca jamás ningún ninguna",
     REPORT: "said says say wrote writes quoted quotes reported claims claimed called sagte sagt schrieb behauptet zitierte nannte dit disait écrit affirme cité appelé dijo dice escribió afirma citó llamó",
 }
 
@@ -53,19 +65,32 @@ _LETTERS = np.ones(256, bool)
 _LETTERS[0x61:0x7B] = False
 _LETTERS[0x80:] = False
 _BREAK = np.zeros(256, bool)
-_BREAK[list(b".!?;:\n")] = True
+_BREAK[list(b".!?;\n")] = True
+_APOSTROPHE, _QUOTATION = ord("'"), ord('"')
+#: Typographic marks, by their bytes.
+_MARKS = ((b"\xe2\x80\x99", _APOSTROPHE), (b"\xe2\x80\x9c", _QUOTATION), (b"\xe2\x80\x9d", _QUOTATION), (b"\xe2\x80\x9e", _QUOTATION), (b"\xc2\xab", _QUOTATION), (b"\xc2\xbb", _QUOTATION))
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
 
 Step = Callable[[int, int], tuple[int, tuple[str, ...]]]
 
 
-def _emitter(symbol: int, name: str) -> Step:
-    return lambda state, s: (0, (name,) if s == symbol else ())
+def _insult(state: int, s: int) -> tuple[int, tuple[str, ...]]:
+    return 0, ("insult",) if s == INSULT else ()
+
+
+def _threat(state: int, s: int) -> tuple[int, tuple[str, ...]]:
+    return int(state or s == INTENT), () if s != THREAT else ("threat",) if state else ("threat", "bare")
+
+
+def _quote(state: int, s: int) -> tuple[int, tuple[str, ...]]:
+    return int(state != (s == QUOTE)), ("reported",) if state and s in (INSULT, THREAT) else ()
 
 
 def _negation(state: int, s: int) -> tuple[int, tuple[str, ...]]:
     if s == NEGATION:
         return NEGATION_REACH, ()
+    if s == QUOTE:
+        return state, ()
     return max(0, state - 1), ("negated",) if state and s in (INSULT, THREAT) else ()
 
 
@@ -92,7 +117,7 @@ def compose(machines: list[Step]) -> dict[tuple[int, int], tuple[int, frozenset[
     return out
 
 
-GRAMMAR = compose([_emitter(INSULT, "insult"), _emitter(THREAT, "threat"), _negation, _report, _target])
+GRAMMAR = compose([_insult, _threat, _negation, _report, _quote, _target])
 
 
 def clause_weights(symbols: list[int], weights: list[float], gaps: list[int]) -> np.ndarray:
@@ -102,8 +127,9 @@ def clause_weights(symbols: list[int], weights: list[float], gaps: list[int]) ->
         for _ in range(min(gap, NEGATION_REACH)):
             state, _ = GRAMMAR[state, OTHER]
         state, marks = GRAMMAR[state, s]
-        if marks:
+        if s in (INSULT, THREAT):
             at = 0 if "insult" in marks else 4
+            w = w * BARE if "bare" in marks else w
             out[at + (3 if "reported" in marks else 2 if "negated" in marks else 0)] += w
     if "aimed" in GRAMMAR[state, END][1]:
         out[[1, 5]] += out[[0, 4]]
@@ -114,16 +140,16 @@ def clause_weights(symbols: list[int], weights: list[float], gaps: list[int]) ->
 class Lexicon:
     """Terminals as sorted hash tables: word beginnings by their length, and whole words."""
 
-    def __init__(self, stems: dict[bytes, float], words: dict[bytes, float]):
+    def __init__(self, stems: dict[bytes, float], words: dict[bytes, float], threats: dict[bytes, float] | None = None):
         def build(entries: list[tuple[bytes, int, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             rows = sorted((_hash(t), c, w) for t, c, w in entries)
             return np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows])
 
         fixed = {t.encode(): c for c, ws in WORDS.items() for t in ws.split()}
-        self.whole = build([(t, c, 1.0) for t, c in fixed.items() if t not in words] + [(t, INSULT, w) for t, w in words.items()])
+        self.whole = build([(t, c, (threats or {}).get(t, THREAT_WEIGHT)) for t, c in fixed.items() if t not in words] + [(t, INSULT, w) for t, w in words.items()])
         self.stems = {n: build([(t, INSULT, w) for t, w in stems.items() if len(t) == n]) for n in sorted({len(t) for t in stems})}
 
-    def find(self, b: np.ndarray, w: X.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def find(self, b: np.ndarray, offs: np.ndarray, w: X.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Class and weight of every word of a slice of lower-cased bytes; a stem wins over a whole word."""
         sums = X.prefix_sums(b)
         cls, weight = np.zeros(len(w.start), np.int64), np.zeros(len(w.start))
@@ -137,6 +163,15 @@ class Lexicon:
             hit = keys[at] == h
             better = hit & ((cls[fits] != INSULT) | (weights[at] > weight[fits]))
             cls[fits[better]], weight[fits[better]] = classes[at[better]], weights[at[better]]
+        # The t of isn't and the n of n'est are negations, the t of t'es is a target.
+        one = np.flatnonzero(w.end - w.start == 1)
+        padded = np.concatenate([np.zeros(4, b.dtype), b, np.zeros(1, b.dtype)])
+        at, letter = w.start[one], b[w.start[one]]
+        doc = np.searchsorted(offs, at, "right") - 1
+        before, after = (padded[at + 3] == _APOSTROPHE) & (at > offs[doc]), (padded[at + 5] == _APOSTROPHE) & (at + 1 < offs[doc + 1])
+        base = np.where(padded[at + 2] == _APOSTROPHE, padded[at], padded[at + 2])
+        cls[one[(letter == ord("t")) & before & (base == ord("n")) | (letter == ord("n")) & after]] = NEGATION
+        cls[one[(letter == ord("t")) & ~before & after]] = TARGET
         return cls, weight
 
 
@@ -145,25 +180,60 @@ def _hash(t: bytes) -> int:
     return int(X.span_hashes(X.prefix_sums(a), np.array([0]), np.array([len(a)]))[0])
 
 
+def _marked(raw: np.ndarray) -> np.ndarray:
+    """Lower-cased bytes; typographic apostrophes and quotation marks become plain ones, repeated to keep the length."""
+    b = X.lowered(raw)
+    for mark, plain in _MARKS:
+        if len(b) >= len(mark):
+            hit = b[: len(b) - len(mark) + 1] == mark[0]
+            for i in range(1, len(mark)):
+                hit &= b[i : len(b) - len(mark) + 1 + i] == mark[i]
+            at = np.flatnonzero(hit)
+            # A quotation mark counts once.
+            b[at] = plain
+            for i in range(1, len(mark)):
+                b[at + i] = plain if plain == _APOSTROPHE else 0x20
+    return b
+
+
 def document_weights(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     """For each text its sums of weights by KINDS and, last, its number of words."""
     parts = []
     for _, _, raw, offs in X.slices(texts):
-        b = X.lowered(raw)
+        b = _marked(raw)
         w = X.Words(b, offs, _LETTERS)
-        cls, weight = lexicon.find(b, w)
+        cls, weight = lexicon.find(b, offs, w)
         out = np.zeros((len(offs) - 1, len(KINDS) + 1))
         out[:, -1] = w.count
-        events = np.flatnonzero(cls)
-        doc = np.searchsorted(w.first, events, "right") - 1
-        clause = np.searchsorted(np.flatnonzero(_BREAK[b]), w.start[events]) + doc
-        starts = np.flatnonzero(np.diff(clause, prepend=-1))
-        stops = np.append(starts[1:], len(events))[: len(starts)]
-        hot = (cls[events] == INSULT) | (cls[events] == THREAT)
-        for s, e in zip(starts.tolist(), stops.tolist(), strict=True):
-            if hot[s:e].any():
-                i = events[s:e]
-                out[doc[s], :-1] += clause_weights(cls[i].tolist(), weight[i].tolist(), [0, *(np.diff(i) - 1).tolist()])
+        known = np.flatnonzero(cls)
+        # Quotation marks pair within a line of a document; a last one without a partner is none.
+        line_ends = np.union1d(np.flatnonzero(b == 10), offs[1:-1])
+        quotes = np.flatnonzero(b == _QUOTATION)
+        line = np.searchsorted(line_ends, quotes, "right")
+        starts = np.flatnonzero(np.diff(line, prepend=-1))
+        per_line = np.diff(np.append(starts, len(quotes)))
+        quotes = np.delete(quotes, (starts + per_line - 1)[per_line % 2 == 1])
+        # Words and quotation marks in order: byte, class, weight, words before it and up to it.
+        place = np.concatenate([w.start[known], quotes])
+        before = np.concatenate([known, np.searchsorted(w.start, quotes)])
+        symbol = np.concatenate([cls[known], np.full(len(quotes), QUOTE)])
+        order = np.argsort(place, kind="stable")
+        place, before, symbol = place[order], before[order], symbol[order]
+        value = np.concatenate([weight[known], np.zeros(len(quotes))])[order]
+        upto = before + (symbol != QUOTE)
+        doc = np.searchsorted(offs, place, "right") - 1
+        clause_ends = np.union1d(np.flatnonzero(_BREAK[b]), offs[1:-1])
+        clause = np.searchsorted(clause_ends, place, "right")
+        hot = (symbol == INSULT) | (symbol == THREAT)
+        for c in np.unique(clause[hot]).tolist():
+            s, e = np.searchsorted(clause, [c, c + 1])
+            gaps = [0, *(before[s + 1 : e] - upto[s : e - 1]).tolist()]
+            symbols, values = symbol[s:e].tolist(), value[s:e].tolist()
+            from_ = clause_ends[c - 1] if c else 0
+            opened = np.searchsorted(quotes, from_) - np.searchsorted(quotes, line_ends[i - 1] if (i := np.searchsorted(line_ends, from_, "right")) else 0)
+            if opened % 2:
+                symbols, values, gaps = [QUOTE, *symbols], [0.0, *values], [0, *gaps]
+            out[doc[s], :-1] += clause_weights(symbols, values, gaps)
         parts.append(out)
     return np.concatenate(parts) if parts else np.zeros((0, len(KINDS) + 1))
 
@@ -206,23 +276,46 @@ def _families(texts: pa.Array) -> list[int]:
     return [root(i) for i in range(len(sets))]
 
 
-def _terminals(texts: pa.Array, toxic: np.ndarray) -> tuple[dict[bytes, float], dict[bytes, float]]:
-    """Word beginnings and whole short words that toxic documents hold significantly more often."""
+def _threats(texts: pa.Array, toxic: np.ndarray, families: list[int]) -> dict[bytes, float]:
+    """Weights of the threat terminals: log-odds, drawn towards THREAT_WEIGHT by as much as ten texts."""
+    words = {t.encode() for t in WORDS[THREAT].split()}
+    yes, no = Counter(), Counter()
+    held: dict[int, set[bytes]] = {}
+    toxic_families = iter(families)
+    for i, y in enumerate(toxic):
+        found = words.intersection(_WORD.findall(_marked(np.frombuffer((texts[i].as_py() or "").encode(), np.uint8)).tobytes()))
+        if y:
+            held.setdefault(next(toxic_families), set()).update(found)
+        else:
+            no.update(found)
+    for found in held.values():
+        yes.update(found)
+    n1, n0, out = len(held), int((1 - toxic).sum()), {}
+    for t in words:
+        n = yes[t] + no[t]
+        odds = math.log((yes[t] + 0.5) / (n1 + 1)) - math.log((no[t] + 0.5) / (n0 + 1))
+        out[t] = max(0.0, (n * odds + 10 * THREAT_WEIGHT) / (n + 10)) if n else THREAT_WEIGHT
+    return out
+
+
+def _terminals(texts: pa.Array, toxic: np.ndarray) -> tuple[dict[bytes, float], dict[bytes, float], dict[bytes, float]]:
+    """Word beginnings and whole short words that toxic documents hold significantly more often, and the threats' weights."""
 
     def candidates(text: str | None) -> set[bytes]:
         found = set()
-        for t in set(_WORD.findall(X.lowered(np.frombuffer((text or "").encode(), np.uint8)).tobytes())):
+        for t in set(_WORD.findall(_marked(np.frombuffer((text or "").encode(), np.uint8)).tobytes())):
             found.add(t + b"$" if len(t) < LONGEST_STEM else t[:LONGEST_STEM])
             found.update(t[:n] for n in range(SHORTEST, min(len(t), LONGEST_STEM) + 1))
         return found
 
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     if not n1 or not n0:
-        return {}, {}
+        return {}, {}, {}
     yes, no = Counter(), Counter()
     rows = texts.take(pa.array(np.flatnonzero(toxic == 1)))
     families: dict[int, set[bytes]] = {}
-    for family, text in zip(_families(rows), rows, strict=True):
+    of_row = _families(rows)
+    for family, text in zip(of_row, rows, strict=True):
         families.setdefault(family, set()).update(candidates(text.as_py()))
     for found in families.values():
         yes.update(found)
@@ -248,27 +341,30 @@ def _terminals(texts: pa.Array, toxic: np.ndarray) -> tuple[dict[bytes, float],
         if any(bare.startswith(s) or s.startswith(bare) for s in (*stems, *words)):
             continue
         (words if t.endswith(b"$") else stems)[bare] = odds(t)
-    return stems, words
+    return stems, words, _threats(texts, toxic, of_row)
 
 
 class Model(NamedTuple):
     stems: dict[bytes, float]
     words: dict[bytes, float]
+    threats: dict[bytes, float]
     coef: np.ndarray
 
 
 def _inputs(sums: np.ndarray) -> np.ndarray:
-    n = sums[:, -1:]
+    """Two inputs of the kinds in the ratios of PRIOR, two of each kind, and a constant."""
+    n = np.maximum(sums[:, -1:], 20)
     kinds = sums[:, :-1]
-    return np.concatenate([np.log1p(kinds), np.log1p(100 * kinds / np.maximum(n, 20)), np.ones_like(n)], 1)
+    together = kinds @ PRIOR[:, None]
+    return np.concatenate([np.log1p(together), np.log1p(100 * together / n), np.log1p(kinds), np.log1p(100 * kinds / n), np.ones_like(n)], 1)
 
 
 def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray) -> Model:
-    stems, words = _terminals(texts, toxic)
-    x = _inputs(document_weights(texts, Lexicon(stems, words)))
+    stems, words, threats = _terminals(texts, toxic)
+    x = _inputs(document_weights(texts, Lexicon(stems, words, threats)))
     coef, k = np.zeros(x.shape[1]), weight / max(weight.sum(), 1e-9)
-    penalty = np.full(x.shape[1], 1e-4)
-    penalty[-1] = 1e-9
+    penalty = np.full(x.shape[1], 1e-3)
+    penalty[:2], penalty[-1] = 1e-4, 1e-9
     share = float(np.clip((k * toxic).sum(), 1e-3, 1 - 1e-3)) if len(toxic) else 1e-3
     coef[-1] = math.log(share / (1 - share))
     for _ in range(40 if len(toxic) and 0 < toxic.mean() < 1 else 0):  # Newton's method
@@ -277,7 +373,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray) -> Model:
         h = (x * (k * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(h, g)
         coef = coef - step * min(1.0, 4.0 / (np.abs(step).max() + 1e-12))
-    return Model(stems, words, coef)
+    return Model(stems, words, threats, coef)
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: dict[int, int] | None = None) -> Model:
@@ -299,14 +395,14 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
         t = pa.Table.from_batches(list(batches), pa.schema([("_t", pa.string()), ("_y", pa.int32()), ("_k", pa.float64()), ("_id", pa.int64())]))
         t = t.sort_by([("_id", "ascending"), ("_t", "ascending")])
         m = fit(t["_t"].cast(pa.large_string()).combine_chunks(), t["_y"].to_numpy(), t["_k"].to_numpy())
-        for text, kind, v in [*((s, "stem", v) for s, v in m.stems.items()), *((s, "word", v) for s, v in m.words.items()), *((b"%d" % i, "coef", v) for i, v in enumerate(m.coef))]:
+        for text, kind, v in [*((s, kind, v) for kind, found in (("stem", m.stems), ("word", m.words), ("threat", m.threats)) for s, v in found.items()), *((b"%d" % i, "coef", v) for i, v in enumerate(m.coef))]:
             yield pa.record_batch([pa.array([text], pa.binary()), pa.array([kind]), pa.array([float(v)])], names=["t", "kind", "v"])
 
-    got = rows.withColumn("_id", F.col("_id").cast("long")).repartition(1).mapInArrow(one, "t binary, kind string, v double").collect()
+    got = rows.withColumn("_id", F.pmod(F.xxhash64("_id"), F.lit(1 << 62))).repartition(1).mapInArrow(one, "t binary, kind string, v double").collect()
     if not got:  # an empty sample may run no task
         return fit(pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0))
-    by = {k: {bytes(r["t"]): r["v"] for r in got if r["kind"] == k} for k in ("stem", "word", "coef")}
-    return Model(by["stem"], by["word"], np.array([by["coef"][b"%d" % i] for i in range(len(by["coef"]))]))
+    by = {k: {bytes(r["t"]): r["v"] for r in got if r["kind"] == k} for k in ("stem", "word", "threat", "coef")}
+    return Model(by["stem"], by["word"], by["threat"], np.array([by["coef"][b"%d" % i] for i in range(len(by["coef"]))]))
 
 
 def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,12 +413,12 @@ def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", tex
     one without matches. Other columns are not read; equal rows get equal
     results; no row is dropped.
     """
-    stems, words, coef = model
+    stems, words, threats, coef = model
     kind = dict(docs.select(id_col).dtypes)[id_col]
     names = [id_col, "score", "predicted", *(k.replace(" ", "_") for k in KINDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(stems, words)
+        lexicon = Lexicon(stems, words, threats)
         for batch in batches:
             sums = document_weights(batch.column(1), lexicon)
             score = 1 / (1 + np.exp(-np.clip(_inputs(sums) @ coef, -35, 35)))
