@@ -1,9 +1,10 @@
 """Quality rules: exact text statistics and a calibrated hashed n-gram logistic regression.
 
 The statistics are counted over each whole text. The model averages one learned
-weight per hashed word and one per hashed run of CHAR_N bytes over the text, is
-trained on labelled rows, calibrated by Platt scaling on rows it was not trained
-on, and compared with a fixed threshold. Scoring runs over Arrow batches.
+weight per hashed word, one per hashed pair of neighbouring words and one per
+hashed run of CHAR_N code points over the text, is trained on labelled rows,
+calibrated by Platt scaling on rows it was not trained on, and compared with a
+fixed threshold. Scoring runs over Arrow batches.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from scrivane.llm import _text as X
 from scrivane.llm._kit import table, thinned
 
-DIM_BITS = 16
-CHAR_N = 4
+#: Weights of words, of pairs of neighbouring words and of runs of CHAR_N code points: 2**DIM_BITS of each part.
+PARTS, DIM_BITS, CHAR_N = 3, 16, 4
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 THRESHOLD = 0.5
@@ -79,29 +80,26 @@ def text_stats(b: np.ndarray, offs: np.ndarray, w: X.Words, sums: np.ndarray, ha
     return {"n_words": w.count.astype(np.int64), "word_chars": chars[w.first[1:]] - chars[w.first[:-1]], "n_symbols": _per_doc(SYMBOLS[b], offs), "n_dup_lines": dup.astype(np.int64), "n_repeat_words": _per_doc(covered, w.first)}
 
 
-def _features(b: np.ndarray, offs: np.ndarray, w: X.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the words' weights, and of the weights of the runs of CHAR_N bytes by their first byte."""
-    mask = (1 << DIM_BITS) - 1
-    words = (hashes >> X.U(20)).astype(np.int64) & mask
-    if len(b) < CHAR_N:
-        return words, np.zeros(0, np.int64)
-    c = b.astype(np.uint32)
-    run = c[: len(b) - CHAR_N + 1].copy()
-    for i in range(1, CHAR_N):
-        run = run * np.uint32(0x01000193) ^ c[i : len(b) - CHAR_N + 1 + i]
-    run = (run ^ (run >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-    return words, ((run >> np.uint32(9)) & np.uint32(mask)).astype(np.int64) + (1 << DIM_BITS)
-
-
-def _mean_weight(weights: np.ndarray, b: np.ndarray, offs: np.ndarray, w: X.Words, hashes: np.ndarray) -> np.ndarray:
-    words, runs = _features(b, offs, w, hashes)
-    a = np.zeros(len(words) + 1)
-    np.cumsum(weights[words], out=a[1:])
-    c = np.zeros(len(runs) + 1)
-    np.cumsum(weights[runs], out=c[1:])
-    last = np.clip(np.maximum(offs[1:] - CHAR_N + 1, offs[:-1]), 0, len(runs))
-    begin = np.minimum(offs[:-1], last)
-    return (a[w.first[1:]] - a[w.first[:-1]]) / np.maximum(w.count, 1) + (c[last] - c[begin]) / np.maximum(last - begin, 1)
+def _features(b: np.ndarray, offs: np.ndarray, w: X.Words, sums: np.ndarray, hashes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For words, word pairs and runs of CHAR_N code points: their weights' indices, and where each document's begin and end."""
+    mask = X.U((1 << DIM_BITS) - 1)
+    index = lambda h, part: ((h >> X.U(20)) & mask).astype(np.int64) + (part << DIM_BITS)
+    chars = np.append(np.flatnonzero((b & 0xC0) != 0x80), len(b))
+    first = np.searchsorted(chars[:-1], offs)
+    runs = X.span_hashes(sums, chars[:-CHAR_N], chars[CHAR_N:]) if len(chars) > CHAR_N else np.zeros(0, np.uint64)
+    stop = lambda at, n: np.maximum(at[:-1], at[1:] - n + 1)
+    return [(index(hashes, 0), w.first[:-1], w.first[1:]), (index(X.windows(hashes, 2), 1), w.first[:-1], stop(w.first, 2)), (index(runs, 2), first[:-1], stop(first, CHAR_N))]
+
+
+def _mean_weight(weights: np.ndarray, b: np.ndarray, offs: np.ndarray, w: X.Words, sums: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(offs) - 1)
+    for at, begin, end in _features(b, offs, w, sums, hashes):
+        total = np.zeros(len(at) + 1)
+        np.cumsum(weights[at], out=total[1:])
+        # A document too short for a run has none, and its place can be beyond the last run.
+        begin, end = np.minimum(begin, len(at)), np.minimum(end, len(at))
+        out += (total[end] - total[begin]) / np.maximum(end - begin, 1)
+    return out
 
 
 def _counts(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -109,12 +107,11 @@ def _counts(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     for _, _, b, offs in X.slices(texts):
         w = X.Words(b, offs)
-        words, runs = _features(b, offs, w, X.span_hashes(X.prefix_sums(b), w.start, w.end))
+        sums = X.prefix_sums(b)
+        found = _features(b, offs, w, sums, X.span_hashes(sums, w.start, w.end))
         for d in range(len(offs) - 1):
-            mine, chars = words[w.first[d] : w.first[d + 1]], runs[offs[d] : max(offs[d], offs[d + 1] - CHAR_N + 1)]
-            i, n = np.unique(mine, return_counts=True)
-            j, m = np.unique(chars, return_counts=True)
-            out.append((np.concatenate([i, j]), np.concatenate([n / max(len(mine), 1), m / max(len(chars), 1)])))
+            parts = [np.unique(at[begin[d] : end[d]], return_counts=True) + (max(end[d] - begin[d], 1),) for at, begin, end in found]
+            out.append((np.concatenate([i for i, _, _ in parts]), np.concatenate([n / total for _, n, total in parts])))
     return out
 
 
@@ -132,7 +129,7 @@ def fit(texts: pa.Array, labels: np.ndarray, weight: np.ndarray, order: np.ndarr
     feats = _counts(texts)
     y = labels.astype(np.float64)
     if not len(y) or y.min() == y.max():
-        return np.zeros(2 << DIM_BITS, np.float32), 0.0, 12.0 if not len(y) or y[0] else -12.0
+        return np.zeros(PARTS << DIM_BITS, np.float32), 0.0, 12.0 if not len(y) or y[0] else -12.0
     held = order % 5 == 0
     size = np.array([len(i) for i, _ in feats])
     row = np.repeat(np.arange(len(feats)), size)
@@ -141,7 +138,7 @@ def fit(texts: pa.Array, labels: np.ndarray, weight: np.ndarray, order: np.ndarr
     seen = ~held[row]
     # The hashed weights are learned with both classes at equal weight.
     balance = np.where(y > 0, 0.5 / max(1, (y[~held] > 0).sum()), 0.5 / max(1, (y[~held] == 0).sum())) * ~held
-    w, grad2, bias, bias2 = np.zeros(2 << DIM_BITS), np.full(2 << DIM_BITS, 1e-8), 0.0, 1e-8
+    w, grad2, bias, bias2 = np.zeros(PARTS << DIM_BITS), np.full(PARTS << DIM_BITS, 1e-8), 0.0, 1e-8
     for _ in range(rounds):
         z = np.bincount(row, val * w[idx], len(feats)) + bias
         g = (_sigmoid(z) - y) * balance
@@ -175,7 +172,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     """Fit the model on about ``per_class`` labelled rows of each class, chosen by a hash of their id.
 
     The sample is fitted in one executor task, which holds its texts; only the
-    weights (2 * 2**DIM_BITS floats) reach the driver. Repeated labels of an id
+    weights (PARTS * 2**DIM_BITS floats) reach the driver. Repeated labels of an id
     count once, the smaller label; ids that match no document and null labels
     are left out. Without labels of both classes the model is a constant.
     """
@@ -205,7 +202,7 @@ def judged(texts: pa.Array, model: tuple[np.ndarray, float, float], threshold: f
         sums = X.prefix_sums(b)
         hashes = X.span_hashes(sums, w.start, w.end)
         s = text_stats(b, offs, w, sums, hashes)
-        s["quality"] = _sigmoid(slope * _mean_weight(weights, b, offs, w, hashes) + shift)
+        s["quality"] = _sigmoid(slope * _mean_weight(weights, b, offs, w, sums, hashes) + shift)
         parts.append(s)
     s = {k: np.concatenate([np.zeros(0, np.float64 if k == "quality" else np.int64), *(p[k] for p in parts)]) for k in (*STATS, "quality")}
     s = {k: v if k == "quality" else v.astype(np.int64) for k, v in s.items()}
