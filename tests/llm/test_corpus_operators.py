@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import WORD, base_stats, jaccard_brute
+from brute import WORD, base_stats, clause_brute, jaccard_brute
 from pyspark.sql import functions as F
 
 from scrivane.llm import embeddings, jaccard, language, licenses, mixing, packing, quality, sharding, toxicity, urls
@@ -155,6 +155,37 @@ def test_quality_statistics_and_accuracy(spark, tables):
     assert sum(y == k for y, k in judged) >= 0.9 * len(judged)
 
 
+def test_quality_weights_are_means_over_grams():
+    """The vectorised score of each text is the sum of three plain means: over words, pairs of words and runs of code points."""
+    rng = np.random.default_rng(14)
+    weights = rng.standard_normal(quality.PARTS << quality.DIM_BITS).astype(np.float32)
+    texts = ["héllo wörld foo bar", "", "a", "a b", " x\ty ", "日本語テキスト です", "ab", *(" ".join(rng.choice(["ñu", "oak", "e", "日本"], 30)) for _ in range(5))]
+    mask = (1 << quality.DIM_BITS) - 1
+
+    def mean(hashes, part):
+        return float(np.mean([weights[((int(h) >> 20) & mask) + (part << quality.DIM_BITS)] for h in hashes])) if len(hashes) else 0.0
+
+    want = []
+    for t in texts:
+        h = np.array([quality.X.hash_text(x) for x in WORD.findall(t)], np.uint64)
+        runs = [quality.X.hash_text(t[i : i + quality.CHAR_N]) for i in range(len(t) - quality.CHAR_N + 1)]
+        want.append(mean(h, 0) + mean(quality.X.windows(h, 2), 1) + mean(runs, 2))
+    got = quality.judged(pa.array(texts, pa.large_string()), (weights, 1.0, 0.0))["quality"]
+    assert np.allclose(got, 1 / (1 + np.exp(-np.array(want))), atol=1e-5)
+
+
+def test_quality_probabilities_are_calibrated():
+    """Rows whose label is drawn with a known chance: the mean probability is the share of good rows, in all and by thirds."""
+    rng = np.random.default_rng(15)
+    share = rng.random(3000)
+    texts = pa.array([" ".join("good" if x else "bad" for x in rng.random(40) < s) for s in share], pa.large_string())
+    y = (rng.random(3000) < share).astype(int)
+    model = quality.fit(texts, y, np.ones(3000), np.arange(3000))
+    p = quality.judged(texts, model)["quality"]
+    thirds = np.array_split(np.argsort(share), 3)
+    assert abs(p.mean() - y.mean()) < 0.05 and all(abs(p[t].mean() - y[t].mean()) < 0.1 for t in thirds)
+
+
 def test_quality_awkward(spark):
     model = quality.train_quality(awkward(spark), spark.createDataFrame([(6, 1, 0), (6, 1, 0), (9, 0, 0), (77, 1, 1), (None, 1, 1), (4, None, None)], LABELS))
     got = quality.score_quality(awkward(spark), model).collect()
@@ -196,6 +227,51 @@ def test_language_sets_of_all_sizes(spark, tables):
     assert all(got[k][0] == set(names[:k]) and abs(got[k][1] - 1) < 0.01 for k in range(1, 5))
 
 
+def em_plain(p, allowed):
+    """Proportions and log-likelihood of the allowed languages for one document's words, one by one."""
+    pi = [1 / len(allowed)] * len(allowed)
+    for _ in range(language.ROUNDS):
+        sums = [0.0] * len(allowed)
+        for row in p:
+            r = [row[j] * x for j, x in zip(allowed, pi, strict=True)]
+            sums = [s + x / sum(r) for s, x in zip(sums, r, strict=True)]
+        pi = [s / len(p) for s in sums]
+    return pi, sum(math.log(sum(row[j] * x for j, x in zip(allowed, pi, strict=True))) for row in p)
+
+
+@pytest.mark.parametrize("cells", [1 << 21, 64])
+def test_language_sets_equal_plain_em(monkeypatch, cells):
+    """The proportions, and the set of the best penalised likelihood among all sizes, by loops over words; in one chunk and in many."""
+    monkeypatch.setattr(language, "CELLS", cells)
+    rng = np.random.default_rng(31)
+    alphabets = ["abcdef", "efghij", "ijklmn", "mnopqr"]
+    word = lambda k: "".join(rng.choice(list(alphabets[k]), int(rng.integers(2, 8))))
+    model = language.fit(pa.array([" ".join(word(k) for _ in range(300)) for k in range(4)], pa.large_string()), ["l0", "l1", "l2", "l3"])
+    texts = [" ".join(word(int(k)) for k in rng.choice(kinds, n)) for kinds, n in (([0], 40), ([0, 1], 60), ([0, 2, 3], 90), ([0, 1, 2, 3], 200), ([3], 1))]
+    b = np.frombuffer("".join(texts).encode(), np.uint8)
+    offs = np.cumsum([0, *(len(t) for t in texts)])
+    w = language.X.Words(b, offs)
+    best, full = language.mixtures(b, offs, w, model[1])
+    grams, ok = language._grams(b)
+    ok = language._whole(ok, offs)
+    for d in range(len(texts)):
+        p = []
+        for i in range(w.first[d], w.first[d + 1]):
+            stop = w.start[i + 1] if i + 1 < w.first[d + 1] else offs[d + 1]
+            ll = sum(model[1][grams[x]].astype(float) for x in range(w.start[i], stop) if ok[x]) + np.zeros(4)
+            p.append(np.maximum(np.exp(ll - ll.max()), 1e-12).tolist())
+        pi, _ = em_plain(p, [0, 1, 2, 3])
+        assert np.allclose(full[d], pi, atol=1e-4)
+        order = sorted(range(4), key=lambda j: -pi[j])
+        single = max(range(4), key=lambda j: sum(math.log(r[j]) for r in p))
+        fits = [(sum(math.log(r[single]) for r in p), {single: 1.0})]
+        for k in range(2, 5):
+            part, ll = em_plain(p, sorted(order[:k]))
+            fits.append((ll - language.PENALTY * math.log(len(p) + 2) * (k - 1), dict(zip(sorted(order[:k]), part, strict=True))))
+        chosen = max(fits, key=lambda f: f[0])[1]
+        assert np.allclose(best[d], [chosen.get(j, 0.0) for j in range(4)], atol=1e-4)
+
+
 def test_language_awkward(spark):
     model = language.train_language(awkward(spark))
     got = [(r["doc_id"], r["lang_pred"], r["score"]) for r in language.identify_language(awkward(spark), model).collect()]
@@ -225,10 +301,47 @@ def test_grammar_tells_clauses_apart():
     kind = lambda symbols, gaps: t.KINDS[int(t.clause_weights(symbols, [1.0] * len(symbols), gaps).argmax())]
     assert kind([t.INSULT], [0]) == "insult" and kind([t.TARGET, t.INSULT], [0, 1]) == "aimed insult" and kind([t.INSULT, t.TARGET], [0, 4]) == "aimed insult"
     assert kind([t.NEGATION, t.INSULT], [0, 2]) == "negated insult" and kind([t.NEGATION, t.INSULT], [0, 3]) == "insult"
-    assert kind([t.REPORT, t.INSULT], [0, 30]) == "reported insult" and kind([t.THREAT, t.TARGET], [0, 0]) == "aimed threat" and kind([t.NEGATION, t.THREAT], [0, 0]) == "negated threat"
+    assert kind([t.REPORT, t.INSULT], [0, 30]) == "reported insult" and kind([t.INTENT, t.THREAT, t.TARGET], [0, 0, 0]) == "aimed threat"
+    assert kind([t.QUOTE, t.INSULT, t.QUOTE], [0, 0, 0]) == "reported insult" and kind([t.QUOTE, t.QUOTE, t.INSULT], [0, 1, 0]) == "insult" and t.clause_weights([t.THREAT], [1.0], [0])[4] == t.BARE
+    assert kind([t.NEGATION, t.THREAT], [0, 0]) == "negated threat"
     assert not t.clause_weights([t.TARGET, t.NEGATION], [1.0, 1.0], [0, 0]).any()
 
 
+SENTENCES = {
+    "An idiot wrote the manual.": "insult", "What an idiot he is.": "insult", "You are an idiot!": "aimed insult", "You aren't an idiot.": "negated insult", "You aren\u2019t an idiot.": "negated insult",
+    "She said: you are an idiot.": "reported insult", "She said you are an idiot": "reported insult", '"What an idiot!" was heard.': "reported insult", "\u201cYou idiot\u201d, they shouted": "reported insult", "Tu n'es pas un idiot": "negated insult", "T'es un idiot": "aimed insult",
+    "He will kill time.": "threat", "I will hurt you.": "aimed threat", "I won't hurt you.": "negated threat", "She said he will hurt them.": "reported threat", 'It\'s 5" long; you idiot': "aimed insult",
+}
+
+
+def test_every_kind_fires_on_sentences():
+    lexicon = toxicity.Lexicon({b"idiot": 2.0}, {})
+    got = toxicity.document_weights(pa.array(list(SENTENCES), pa.large_string()), lexicon)
+    for text, row in zip(SENTENCES, got, strict=True):
+        assert [toxicity.KINDS[i] for i in np.flatnonzero(row[:-1])] == [SENTENCES[text]], text
+    assert set(SENTENCES.values()) == set(toxicity.KINDS)
+
+
+def test_grammar_equals_a_plain_parser():
+    names = {toxicity.INSULT: "insult", toxicity.THREAT: "threat", toxicity.INTENT: "intent", toxicity.TARGET: "target", toxicity.NEGATION: "negation", toxicity.REPORT: "report"}
+    classes = {w: names[c] for c, ws in toxicity.WORDS.items() for w in ws.split()} | {"blorf": "insult", "grump": "insult"}
+    weights = {w: toxicity.THREAT_WEIGHT for w in toxicity.WORDS[toxicity.THREAT].split()} | {"blorf": 2.0, "grump": 3.5}
+    rng = np.random.default_rng(4)
+    pieces = ["blorf", "grump", "kill", "hurt", "will", "you", "them", "not", "nie", "said", "dit", "isn't", "don\u2019t", "n'est", "t'es", "tree", "house", "sky", "blue", "ran"]
+    ends = [" ", " ", " ", " ", " ", ", ", ": ", ". ", "! ", "; ", "\n", ' "', '" ', " \u201c", "\u201d "]
+    texts = ["".join(str(rng.choice(pieces)) + str(rng.choice(ends)) for _ in range(int(rng.integers(0, 60)))) for _ in range(400)]
+    got = toxicity.document_weights(pa.array(texts, pa.large_string()), toxicity.Lexicon({}, {b"blorf": 2.0, b"grump": 3.5}))[:, :-1]
+    want = np.array([clause_brute(t, classes, weights) for t in texts])
+    assert (want > 0).all(0).sum() == 0 and (want > 0).any(0).all() and np.allclose(got, want)
+
+
+def test_toxicity_with_text_ids(spark):
+    docs = spark.createDataFrame([(f"d{i}", "nice words here " * 5 + ("blorf" if i % 4 == 0 else "") + f" x{i}") for i in range(80)], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", int(i % 4 == 0)) for i in range(80)], "doc_id string, toxic int")
+    got = toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, labels)).collect()
+    assert {r["doc_id"] for r in got if r["predicted"]} == {f"d{i}" for i in range(0, 80, 4)}
+
+
 def test_toxicity_learns_terminals_and_scores_held_out(spark):
     rng = np.random.default_rng(2)
     plain = ["".join(rng.choice(list("abdeghmnorst"), 6)) for _ in range(300)]
@@ -377,8 +490,41 @@ def test_permutation(n):
 
 
 def test_draws_meet_the_totals():
-    c = mixing.draw_counts([1000, 10, 0, 5000], shard_slots=256)
-    assert c.sum(0).tolist() == [1000, 10, 0, 5000] and c.sum(1).max() - c.sum(1).min() <= 1 and abs(c[:, 0] - 1000 / len(c)).max() < 60
+    slots, shards = [1000, 10, 0, 5000], 24
+    got = list(mixing.draw_counts(slots, shards, 0, shards))
+    c = np.array([n for _, _, n in got])
+    assert [j for j, _, _ in got] == list(range(shards)) and c.sum(0).tolist() == slots and c.sum(1).max() - c.sum(1).min() <= 1 and abs(c[:, 0] - 1000 / shards).max() < 60
+    assert (np.array([f for _, f, _ in got]) == np.cumsum(c, 0) - c).all()
+    # Any part of the shards draws the same.
+    some = list(mixing.draw_counts(slots, shards, 5, 9))
+    assert [j for j, _, _ in some] == [5, 6, 7, 8] and all((a[1] == b[1]).all() and (a[2] == b[2]).all() for a, b in zip(some, got[5:9], strict=True))
+
+
+def targets_brute(sizes, cap=3.0):
+    """The level at which the sources' weights fill up, by bisection."""
+    w, total = [1 + i % 3 for i in range(len(sizes))], float(sum(sizes))
+    lo, hi = 0.0, total + 1
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(cap * s, mid * x) for s, x in zip(sizes, w, strict=True)) < total else (lo, mid)
+    return [min(cap * s, hi * x) for s, x in zip(sizes, w, strict=True)]
+
+
+def test_targets_equal_bisection():
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 3, 10, 400):
+        sizes = [int(x) for x in rng.choice([0, 1, 5, 50, 3000, 10**9], n)]
+        if sum(sizes):
+            assert np.allclose(mixing.fill_targets(sizes), targets_brute(sizes), rtol=1e-9, atol=1e-6)
+
+
+def test_mixing_of_5000_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 512)
+    rows = [(i, "w " * (1 + i % 40) * (400 if i % 5000 == 7 else 1), f"s{i % 5000}") for i in range(10_000)]
+    taken, runs = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), carry=("source",))
+    got = taken.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("w"), F.max(F.col("taken") - 3 * F.col("size")).alias("over")).collect()
+    assert len(got) == 5000 and all(abs(r["t"] - r["w"]) <= 1 and r["over"] <= 0 for r in got)
+    assert runs.select("shard").distinct().count() > 8
 
 
 @pytest.mark.parametrize(("block", "bucket"), [(256, 4096), (7, 16)])
@@ -454,14 +600,29 @@ def test_embedding_links(spark, monkeypatch, block):
     assert embeddings.embedding_classes(spark.createDataFrame([], "vec_id long, embedding array<float>")).isEmpty()
 
 
-def test_bounds_keep_close_pairs():
+@pytest.mark.parametrize("dim", [3, 33, 64])
+def test_codes_and_factors_bound_the_cosine(dim):
     rng = np.random.default_rng(1)
-    base = rng.standard_normal((200, 64))
-    x = np.concatenate([base, base + 0.15 * rng.standard_normal((200, 64))])
+    base = rng.standard_normal((200, dim))
+    x = np.concatenate([base, base + 0.1 * rng.standard_normal((200, dim))])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    p, q, exact = embeddings.close_pairs(x, x, 0, 0.95, True)
-    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.95, 1)), strict=True)}
-    assert set(zip(p, q, strict=True)) == want and exact < 0.02 * 400 * 399 / 2
+    stored = embeddings.encoded(x)
+    assert stored[0].shape[1] == -(-dim // 8) and stored[2].shape[1] == -(-dim // 2)
+    need, near = embeddings.undecided(stored, stored, dim, 0.95), x @ x.T >= 0.95
+    assert not (near & ~need).any()
+    if dim == 64:
+        assert (need & ~near).mean() < 0.03
+        code = (2.0 * np.unpackbits(stored[0], axis=1) - 1) / 8
+        levels = (np.stack([stored[2] >> 4, stored[2] & 15], 2).reshape(400, -1) - 8.0) * stored[3][:, None]
+        off = (code @ levels.T) / stored[1][:, None] - x @ x.T
+        assert abs(off[~np.eye(400, dtype=bool)].mean()) < 0.01
+
+
+def test_embeddings_with_repeated_ids_and_clashing_names(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [2.0, 0.01], 0), (2, [0.0, 1.0], 0), (None, [0.0, 3.0], 0), (2, None, 0)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, node int").select("*", *(F.lit(0).alias(c) for c in ("t", "key", "i", "low", "copies", "raw", "_id")))
+    got = sorted(((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in embeddings.embedding_classes(v).collect()))
+    assert got == [(0, 1, 2, False), (1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True), (2, 1, 2, True)]
 
 
 # URLs.
@@ -515,3 +676,31 @@ def test_licenses(spark):
     near = {(r["doc_id"], r["license"]) for r in licenses.scan_licenses(d, least=0.6).collect()}
     assert (8, "GPL-3.0-only") in near
     assert licenses.scan_licenses(empty(spark)).isEmpty()
+
+
+def test_license_bands_miss_nothing(spark):
+    """Edited notices in filler: the bands retrieve every window whose containment is enough, and ties between templates are all reported."""
+    rng = np.random.default_rng(21)
+    words = [f"v{i}" for i in range(900)]
+    templates = [(f"L{i}", " ".join(rng.choice(words, int(rng.integers(5, 60))))) for i in range(30)]
+    templates.append(("twin", templates[0][1]))
+    texts = []
+    for i in range(600):
+        w = templates[i % 31][1].split(" ")
+        for at in rng.integers(0, len(w), int(rng.integers(0, 3))):
+            w[at] = "edit"
+        texts.append((i, " ".join([*rng.choice(words, int(rng.integers(0, 80))), *w, *rng.choice(words, int(rng.integers(0, 80)))])))
+
+    def shingles(w):
+        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
+    want = set()
+    for i, text in texts:
+        s = shingles(text.split(" "))
+        for t, (_, notice) in enumerate(templates):
+            w = notice.split(" ")
+            mine, stride = set(shingles(w)), max(2, len(w) // 2)
+            if any(len(mine & set(s[k : k + len(w) + stride - 5])) / len(mine) >= 0.8 for k in range(0, max(1, len(s)), stride)):
+                want.add((i, t))
+    got = {(r["doc_id"], r["template"]) for r in licenses.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string"), templates=tuple(templates)).collect()}
+    assert got == want and {(i, 30) for i, t in want if t == 0} <= want and len(want) > 400
