@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the code points that count as white space, as a regular expression class.
 SPACE = r"[\s\x1c-\x1f\x85   -     　]"
+_SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Inline payloads, and runs of escaped blanks.
 PAYLOAD = r"[A-Za-z0-9+/]{50,}={0,2}"
 BLANKS = r"(?i)(&nbsp;){5,}"
@@ -14,7 +15,7 @@ BLANKS = r"(?i)(&nbsp;){5,}"
 
 def strip(c: Column) -> Column:
     """Without white space of any script at either end."""
-    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def clean(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,12 @@ TIERS = ("s3", "file")
 
 
 def hits_and_misses(work: DataFrame, cache: DataFrame, key: str = "cache_key") -> tuple[DataFrame, DataFrame]:
-    """Work with its cached value, and work without one. An entry that is no JSON or is empty counts as missing."""
-    good = cache.where(F.try_parse_json("value").isNotNull() & ~F.col("value").isin("", "{}", "[]", "null")).select(key, "value").dropDuplicates([key])
+    """Work with its cached value, and work without one. An entry that is no JSON or is empty counts as missing.
+
+    Of several entries of a key the last one counts (by ``updated_at`` where there is one, then by value).
+    """
+    when = [F.col("updated_at")] if "updated_at" in cache.columns else []
+    good = cache.where(F.try_parse_json("value").isNotNull() & ~F.col("value").isin("", "{}", "[]", "null")).groupBy(key).agg(F.max_by("value", F.struct(*when, "value")).alias("value"))
     return work.join(good, key), work.join(good, key, "left_anti")
 
 
@@ -73,6 +78,10 @@ def images_complete(images: DataFrame, expected: DataFrame, key: str = "file_has
     return expected.join(counts, key, "left").select(key, (F.coalesce("_n", F.lit(0)) >= F.col("expected")).alias("complete"))
 
 
+#: Buckets up to which a read names them to the scan.
+MOST_BUCKETS = 256
+
+
 class CacheTable:
     """A cache as Parquet, partitioned by the first digits of its keys; later entries of a key win."""
 
@@ -81,24 +90,90 @@ class CacheTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def _files(self, path: str):
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop, hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def _raw(self) -> DataFrame:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        at, files = self._files(self.path)
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path) if files.exists(at) else self.spark.createDataFrame([], self.SCHEMA)
+
+    @staticmethod
+    def _bucket():
+        return F.substring("cache_key", 1, 2).alias("bucket")
 
     def read(self, keys: DataFrame | None = None) -> DataFrame:
-        """Entries by key and tier; with ``keys`` only theirs. Removed entries (null values) are left out."""
-        rows = self._raw() if keys is None else self._raw().join(keys.select("cache_key").distinct(), "cache_key", "left_semi")
-        return upsert(rows, ["cache_key", "tier"], ["updated_at"]).where("value is not null").select("cache_key", "tier", "value", "updated_at")
+        """Entries by key and tier; with ``keys`` only theirs, from their buckets' files only. Removed entries (null values) are left out."""
+        rows = self._raw()
+        if keys is not None:
+            wanted = keys.where("cache_key is not null").select("cache_key", self._bucket()).distinct()
+            buckets = [r[0] for r in wanted.select("bucket").distinct().limit(MOST_BUCKETS + 1).collect()]
+            if len(buckets) <= MOST_BUCKETS:
+                rows = rows.where(F.col("bucket").isin(buckets))
+            rows = rows.join(wanted, ["bucket", "cache_key"], "left_semi")
+        return upsert(rows.drop("bucket"), ["cache_key", "tier"], ["updated_at"]).where("value is not null").select("cache_key", "tier", "value", "updated_at")
 
     def write(self, entries: DataFrame, tier: str = "file") -> None:
-        """Append entries (cache_key, value); null keys are skipped."""
-        rows = entries.where("cache_key is not null").select("cache_key", F.lit(tier).alias("tier"), "value", F.current_timestamp().alias("updated_at"), F.substring("cache_key", 1, 2).alias("bucket"))
-        rows.write.mode("append").partitionBy("bucket").parquet(self.path)
+        """Append entries (cache_key, value), one file for a bucket at most; null keys are skipped."""
+        rows = entries.where("cache_key is not null").select("cache_key", F.lit(tier).alias("tier"), "value", F.current_timestamp().alias("updated_at"), self._bucket())
+        rows.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(self.path)
 
     def invalidate(self, keys: DataFrame, tier: str = "file") -> None:
         self.write(keys.select("cache_key").distinct().withColumn("value", F.lit(None).cast("string")), tier)
 
     def clear(self) -> None:
         self.spark.createDataFrame([], self.SCHEMA).write.mode("overwrite").partitionBy("bucket").parquet(self.path)
+
+    def compact(self) -> None:
+        """Rewrite the table with the last entry of each key and tier only, and swap it in; nothing else may write meanwhile."""
+        new, old = self.path.rstrip("/") + ".new", self.path.rstrip("/") + ".old"
+        self.read().withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(new)
+        (at, files), (made, _), (before, _) = self._files(self.path), self._files(new), self._files(old)
+        files.delete(before, True)
+        if files.exists(at):
+            files.rename(at, before)
+        files.rename(made, at)
+        files.delete(before, True)
+
+
+class TieredCache:
+    """Two tables in a row: the object store's (may be missing) and the files'."""
+
+    def __init__(self, files: CacheTable, store: CacheTable | None = None):
+        self.tiers = [(t, table) for t, table in (("s3", store), ("file", files)) if table is not None]
+
+    def get(self, requests: DataFrame, *, request: str = "request_id", keys: str = "keys", bypass: str | None = None) -> DataFrame:
+        """As lookup() over both tables; what only the object store had is written to the files."""
+        asked = requests.select(F.explode(keys).alias("cache_key")).distinct()
+        held = reduce(DataFrame.unionByName, (table.read(asked).select("cache_key", F.lit(t).alias("tier"), "value") for t, table in self.tiers))
+        found = lookup(requests, held, request=request, keys=keys, bypass=bypass)
+        if len(self.tiers) > 1:
+            self.tiers[-1][1].write(backfill(found, held).select("cache_key", "value"))
+        return found
+
+    def set(self, entries: DataFrame) -> None:
+        """Store entries (cache_key, value) in the files first, then in the object store."""
+        for t, table in reversed(self.tiers):
+            table.write(entries, t)
+
+    def invalidate(self, keys: DataFrame) -> None:
+        for t, table in reversed(self.tiers):
+            table.invalidate(keys, t)
+
+    def clear(self) -> None:
+        for _, table in reversed(self.tiers):
+            table.clear()
+
+
+def get_or_compute(work: DataFrame, cache: CacheTable, compute: Callable[[DataFrame], DataFrame], *, bypass: bool = False) -> DataFrame:
+    """``work`` (with a cache_key) and the ``value`` of each row's key: the stored one, else what ``compute`` makes.
+
+    ``compute`` gets the rows without an entry (all, with ``bypass``) and returns
+    cache_key and value. Its values are stored before anything reads them, so each
+    is made once; a null value is a failure, which is not stored and stays null.
+    Rows without a key are not computed.
+    """
+    keyed = work.where("cache_key is not null")
+    misses = keyed if bypass else keyed.join(cache.read(keyed).select("cache_key"), "cache_key", "left_anti")
+    cache.write(compute(misses.dropDuplicates(["cache_key"])).where("value is not null").select("cache_key", "value"))
+    return work.join(cache.read(keyed).select("cache_key", "value"), "cache_key", "left")

@@ -8,6 +8,7 @@ that stage. Each Python worker makes one client.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -17,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scrivane.functions.pixels import media_type_of
 from scrivane.functions.requests import is_reasoning_name, response_parameters, token_limit
 
 #: Fixed value: concurrent calls of a worker.
@@ -101,14 +103,14 @@ class Provider:
         out: list[dict[str, Any]] = []
         several = len(request.images) > 1
         for i, raw in enumerate(request.images, 1):
-            data = base64.b64encode(raw).decode()
+            data, media = base64.b64encode(raw).decode(), media_type_of(raw)
             if self.kind in ("anthropic", "bedrock"):
                 out += [{"type": "text", "text": f"Image {i}:"}] * several
-                out.append({"type": "image", "source": {"type": "base64", "media_type": "image/jpeg", "data": data}})
+                out.append({"type": "image", "source": {"type": "base64", "media_type": media, "data": data}})
             elif "responses" in self.kind:
-                out.append({"type": "input_image", "image_url": f"data:image/jpeg;base64,{data}", "detail": self.options.get("detail", "high")})
+                out.append({"type": "input_image", "image_url": f"data:{media};base64,{data}", "detail": self.options.get("detail", "high")})
             else:
-                out.append({"type": "image_url", "image_url": {"url": f"data:image/jpeg;base64,{data}", "detail": self.options.get("detail", "high")}})
+                out.append({"type": "image_url", "image_url": {"url": f"data:{media};base64,{data}", "detail": self.options.get("detail", "high")}})
         return [*out, {"type": "input_text" if "responses" in self.kind else "text", "text": request.prompt}]
 
     def parameters(self, request: Request) -> dict[str, Any]:
@@ -171,6 +173,7 @@ class _Hosted:
         return Answer(text or "", used, filtered)
 
 
+#: Fixed values in provider_from: setting names, default models and addresses.
 def provider_from(settings: dict[str, str]) -> Provider:
     """The provider that ``settings`` names, else the first of those with a key: gemini, openai, azure, anthropic."""
     get = lambda *names: next((settings[n] for n in names if settings.get(n)), None)
@@ -190,6 +193,13 @@ def provider_from(settings: dict[str, str]) -> Provider:
     raise ValueError("no provider is named and no API key is set")
 
 
+def is_configured(settings: dict[str, str]) -> bool:
+    """Whether ``settings`` name a known provider, or name none and hold a provider's key."""
+    if settings.get("USE_VISION"):
+        return settings["USE_VISION"] in ("gemini", "openai", "azure-openai", "claude", "anthropic_bedrock")
+    return any(settings.get(k) for k in ("GEMINI_API_KEY", "OPENAI_VISION_API_KEY", "OPENAI_API_KEY", "AZURE_OPENAI_API_KEY", "ANTHROPIC_API_KEY"))
+
+
 def call_with_retry(model: Model, request: Request, attempts: int) -> dict[str, Any]:
     """One answer as a row. A filtered answer is asked again once, with the fallback prompt; failures are tried again and end as an error."""
     tries, error = 0, None
@@ -249,6 +259,37 @@ class Transcriber(Protocol):
     def transcribe(self, audio: bytes, language: str | None) -> str: ...
 
 
+@dataclass
+class Speech:
+    """Settings of a hosted speech service (``openai`` or ``azure``); connect() makes its Transcriber in the worker."""
+
+    kind: str = "openai"
+    model: str = "whisper-1"
+    api_key: str | None = None
+    base_url: str | None = None
+    api_version: str = "2024-11-01-preview"
+
+    def connect(self) -> Transcriber:
+        return _HostedSpeech(self)
+
+
+class _HostedSpeech:
+    def __init__(self, speech: Speech):
+        import openai
+
+        s, self.name = speech, speech.model
+        if s.kind == "azure":
+            self.client = openai.AzureOpenAI(api_key=s.api_key, azure_endpoint=s.base_url, api_version=s.api_version)
+        else:
+            self.client = openai.OpenAI(api_key=s.api_key)
+
+    def transcribe(self, audio: bytes, language: str | None) -> str:
+        asked = {"model": self.name, "response_format": "verbose_json", "timestamp_granularities": ["segment"], "file": ("audio.mp3", audio)}
+        r = self.client.audio.transcriptions.create(**asked | ({"language": language} if language else {}))
+        parts = [{"start": float(s.start), "end": float(s.end), "text": str(s.text)} for s in r.segments or []]
+        return json.dumps({"segments": parts, "language": getattr(r, "language", "") or "", "duration": float(getattr(r, "duration", 0) or 0), "text": getattr(r, "text", "") or ""})
+
+
 def map_transcriber(videos: DataFrame, factory: Callable[[], Transcriber], *, key: str, audio: str, language: str | None = None) -> DataFrame:
     """The key with ``response`` (JSON; parse it with speech_response) and ``error``; a failure leaves a null response."""
     kind = dict(videos.dtypes)[key]

@@ -505,24 +505,43 @@ def image_labels(spark, sf_dir):
     return R.labelled_images(_table(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id", "turn")
 
 
-@query()
+_PAGE_PROMPT_SQL = f"""CASE WHEN text IS NULL OR regexp_full_match(text, '\\s*') THEN '{PROMPT}' ELSE '{PROMPT}' || chr(10) || chr(10)
+ || 'Text content extracted from this page by using PyMuPDF, use this for reference and improve accuracy:' || chr(10) || '<text_content>' || chr(10) || text || chr(10) || '</text_content>' END"""
+_STUB_SQL = "'stub:' || substr(sha256({}), 1, 12)"
+
+
+@query(f"""SELECT doc_id, {_STUB_SQL.format('prompt')} AS result, CAST(NULL AS VARCHAR) AS error, CAST(1 AS INT) AS tries, CAST(n AS BIGINT) AS input_tokens, CAST(1 AS BIGINT) AS output_tokens, CAST(n + 1 AS BIGINT) AS total_tokens
+FROM (SELECT doc_id, prompt, {_WORDS_SQL.format('prompt')} AS n FROM (SELECT doc_id, {_PAGE_PROMPT_SQL} AS prompt FROM documents))""")
 def model_map_stub(spark, sf_dir):
-    """The batched model operator with the stub in place of a model."""
+    """The batched model operator with the stub in place of a model; its answer is a digest of the prompt."""
     d = _table(spark, sf_dir, "documents")
     rows = d.select("doc_id", P.page_prompt(F.lit(PROMPT), F.col("text")).alias("prompt"))
     return X.map_model(rows, X.StubModel, keys=["doc_id"])
 
 
-@query()
+@query(f"""SELECT file_hash, count(*) AS n_pages, CAST(count(*) AS BIGINT) AS total_words, string_agg(r, chr(10) ORDER BY turn, r) AS content
+FROM (SELECT sha256(CAST(conv_id AS VARCHAR)) AS file_hash, turn, {_STUB_SQL.format(_PAGE_PROMPT_SQL)} AS r FROM conversations) GROUP BY file_hash""")
 def document_pipeline_stub(spark, sf_dir):
-    """Pages to documents with cache, model stub, cleaning and assembly."""
+    """Pages to documents with model stub, cleaning and assembly."""
     from scrivane.plans.pipelines import process_pages
 
     pages = _pages(spark, sf_dir).withColumnsRenamed({"conv_id": "file_hash", "page_content": "text"}).withColumn("file_hash", F.sha2(F.col("file_hash").cast("string").cast("binary"), 256))
     return process_pages(pages, X.StubModel, PROMPT).select("file_hash", "n_pages", "total_words", "content")
 
 
-@query()
+@query(f"""WITH {_CHUNKS_SQL}, g AS (SELECT user_id, event_id AS seg_idx, CAST(epoch(date_trunc('second', ts)) % 86400 AS DOUBLE) AS a,
+ CAST(epoch(date_trunc('second', ts)) % 86400 AS DOUBLE) + coalesce(abs(value), 0) AS z, event_type FROM events),
+x AS (SELECT c.user_id, k, chr(10) || '--- Video Audio Transcription ---' || chr(10)
+ || string_agg(printf('[%02d:%05.2f] %s', CAST(floor(a / 60) AS BIGINT), a % 60, event_type), chr(10) ORDER BY seg_idx) || chr(10) || '---' || chr(10) AS context
+ FROM c JOIN g ON g.user_id = c.user_id AND a < least((k + 1) * 60, duration) AND z > k * 60 GROUP BY c.user_id, k),
+r AS (SELECT c.*, context, CAST(floor((least((k + 1) * 60, duration) - k * 60) * 0.5) AS INT) AS frames, {_CLOCK.format('(k * 60)')} AS s, {_CLOCK.format('least((k + 1) * 60, duration)')} AS e, {_CLOCK.format('duration')} AS t
+ FROM c LEFT JOIN x USING (user_id, k)),
+q AS (SELECT *, '--- Video Analysis: Chunk ' || (k + 1) || '/' || total_chunks || ' ---' || chr(10) || 'Time range: ' || s || ' to ' || e || ' (total video duration: ' || t || ')' || chr(10)
+ || 'Frames: ' || frames || ' frames captured at 0.5 fps (1 frame every 2.0 seconds)' || chr(10) || coalesce(context, '') || chr(10) || 'Describe the scene' || {_NOTE} AS prompt FROM r),
+m AS (SELECT *, {_STUB_SQL.format('prompt')} AS made FROM q)
+SELECT user_id, CAST(count(*) AS INT) AS n_chunks, CAST(0 AS BIGINT) AS failed_chunks, CASE WHEN count(*) = 1 THEN any_value(made) ELSE
+ {_STUB_SQL.format("'The following are analysis results from ' || count(*) || ' consecutive chunks of a video (total duration: ' || any_value(t) || '), processed at 0.5 fps.' || chr(10) || chr(10) || string_agg('--- Chunk ' || (k + 1) || '/' || total_chunks || ' [' || s || ' - ' || e || '] ---' || chr(10) || made || chr(10) || chr(10), '' ORDER BY k) || 'Based on all the chunk analyses above, provide a comprehensive and unified response to:' || chr(10) || 'Describe the scene'")} END AS answer,
+ CAST(NULL AS VARCHAR) AS error FROM m GROUP BY user_id""")
 def video_pipeline_stub(spark, sf_dir):
     """Videos by chunks with transcripts, model stub and synthesis."""
     from scrivane.plans.pipelines import process_videos
@@ -530,6 +549,32 @@ def video_pipeline_stub(spark, sf_dir):
     return process_videos(_videos(spark, sf_dir), _segments(spark, sf_dir), X.StubModel, "Describe the scene", key="user_id")
 
 
+@query("""WITH p AS (SELECT p_partkey AS k, 1 + p_partkey % 61 AS w, 1 + p_partkey * 3 % 37 AS h, least(1.0, 24 / CAST(greatest(1 + p_partkey % 61, 1 + p_partkey * 3 % 37) AS DOUBLE)) AS f, p_partkey % 256 AS a FROM part)
+SELECT k AS p_partkey, CASE WHEN k % 50 <> 0 THEN CAST(greatest(1, trunc(w * f)) AS INT) ELSE -1 END AS width, CASE WHEN k % 50 <> 0 THEN CAST(greatest(1, trunc(h * f)) AS INT) ELSE -1 END AS height,
+ CASE WHEN k % 50 <> 0 THEN CAST((k * 5 % 256 * a + 255 * (255 - a) + 127) // 255 AS INT) ELSE -1 END AS red, CASE WHEN k % 50 <> 0 THEN CAST((k * 11 % 256 * a + 255 * (255 - a) + 127) // 255 AS INT) ELSE -1 END AS blue, k % 50 = 0 AS failed FROM p""")
+def prepared_images(spark, sf_dir):
+    """Image files made of parts, each of one translucent colour: decoded, laid on white, fitted and encoded; every fiftieth file is broken and gets -1."""
+    import numpy as np
+    import pandas as pd
+
+    from scrivane.functions import pixels as W
+    from scrivane.sources.images import prepare_images
+
+    def made(parts):
+        for part in parts:
+            of = lambda k: W.encode_png(np.full((1 + k * 3 % 37, 1 + k % 61, 4), (k * 5 % 256, 0, k * 11 % 256, k % 256), np.uint8), 1) if k % 50 else b"broken"
+            yield pd.DataFrame({"path": part["p_partkey"].astype(str), "file_hash": "", "content": [of(int(k)) for k in part["p_partkey"]]})
+
+    def seen(parts):
+        for part in parts:
+            first = [(-1, -1, -1) if x is None else W.decode_png(bytes(x))[-1, -1].tolist() for x in part["image"]]
+            colour = lambda i: np.array([f[i] for f in first], np.int32)
+            yield pd.DataFrame({"p_partkey": part["path"].astype("int64"), "width": part["width"].fillna(-1).astype("int32"), "height": part["height"].fillna(-1).astype("int32"), "red": colour(0), "blue": colour(2), "failed": part["error"].notna()})
+
+    files = _table(spark, sf_dir, "part").select("p_partkey").repartition(8).mapInPandas(made, "path string, file_hash string, content binary")
+    return prepare_images(files, side=24).mapInPandas(seen, "p_partkey long, width int, height int, red int, blue int, failed boolean")
+
+
 @query(f"""SELECT source, count(*) AS documents, CAST(sum({_WORDS_SQL.format('cleaned')}) AS BIGINT) AS words, count(DISTINCT key) AS cache_keys
 FROM (SELECT source, {_CLEAN_SQL} AS cleaned, sha256(text) || '_' || sha256('{PROMPT}') AS key FROM documents) GROUP BY source""")
 def flagship(spark, sf_dir):

@@ -14,7 +14,8 @@ from scrivane.functions import transcript as S
 from scrivane.operators import cache as C
 from scrivane.operators import model as X
 from scrivane.operators import timeline as L
-from scrivane.sources.files import FrameDecoder, decode_frames
+from scrivane.sources.files import AudioExtractor, FrameDecoder, decode_frames, extract_audio
+from scrivane.sources.images import ImageCodec, PngCodec, prepare_images
 
 #: Fixed values of a video job: seconds of a video, frames a second, seconds of a chunk.
 MOST_SECONDS, FRAME_RATE, CHUNK_SECONDS = 300, 0.5, 60
@@ -89,3 +90,53 @@ def process_videos(videos: DataFrame, segments: DataFrame, factory: Callable[[],
     folded = folded.withColumn("answer", F.when(F.col("n_chunks") == 0, "").otherwise(F.col("answer")))
     made = X.map_model(folded, factory, keys=[key, "n_chunks", "failed_chunks", "chunk_error"], known="answer")
     return made.select(key, "n_chunks", "failed_chunks", F.when(F.col("n_chunks") > 0, F.col("result")).alias("answer"), F.coalesce("error", "chunk_error").alias("error"))
+
+
+def process_images(files: DataFrame, factory: Callable[[], X.Model], prompt: str = P.DEFAULT_PROMPT, cache: C.CacheTable | None = None, codec: Callable[[], ImageCodec] = PngCodec) -> DataFrame:
+    """Image files (path, file_hash, content) to documents of one page each; files that cannot be decoded are in ``failed_pages``.
+
+    Transparency is laid on white and the longer side is a page's at most. A file
+    that repeats is asked about once.
+    """
+    made = prepare_images(files, codec).dropDuplicates(["file_hash"])
+    fine = process_pages(made.where("error is null").select("file_hash", "page_number", "text", "image"), factory, prompt, cache)
+    broken = made.where("error is not null").select("file_hash", F.lit(1).cast("long").alias("failed_pages"))
+    return fine.unionByName(broken, allowMissingColumns=True)
+
+
+def transcribe_videos(videos: DataFrame, cache: C.CacheTable, extractor: Callable[[], AudioExtractor], transcriber: Callable[[], X.Transcriber], *, model: str = "whisper-1", language: str | None = None) -> DataFrame:
+    """Videos (file_hash, path, content) with ``transcript``: the stored one, else one made now and stored; null where that fails.
+
+    The key is the file's, the model's and the language's, so a transcript serves
+    every prompt.
+    """
+    work = videos.withColumn("cache_key", K.transcript_key(F.col("file_hash"), F.lit(model), F.lit(language)))
+
+    def compute(misses: DataFrame) -> DataFrame:
+        spoken = X.map_transcriber(extract_audio(misses, extractor, key="cache_key"), transcriber, key="cache_key", audio="audio", language=language)
+        return spoken.select("cache_key", F.when(F.col("response").isNotNull(), S.to_json(S.speech_response(F.col("response")))).alias("value"))
+
+    return C.get_or_compute(work, cache, compute).withColumn("transcript", S.parse(F.col("value"))).drop("value", "cache_key")
+
+
+def transcript_segments(transcribed: DataFrame, key: str) -> DataFrame:
+    """The segments of each transcript, as process_videos takes them."""
+    parts = transcribed.select(key, F.posexplode("transcript.segments").alias("seg_idx", "s"))
+    return parts.select(key, "seg_idx", "s.start", "s.end", "s.text")
+
+
+def answer_videos(videos: DataFrame, segments: DataFrame, cache: C.CacheTable, factory: Callable[[], X.Model], prompt: str, *, key: str = "file_hash", rate: float = FRAME_RATE, transcription_model: str | None = None, bypass: bool = False, **options) -> DataFrame:
+    """Videos with ``answer``: the stored one of the same file, prompt, rate and transcription, else process_videos', stored first.
+
+    ``key`` is the file's hash. An answer with failed chunks is stored like any
+    other; a video without an answer is not.
+    """
+    work = videos.withColumn("cache_key", K.video_key(F.col(key), F.lit(prompt), rate, transcription_model))
+
+    def compute(misses: DataFrame) -> DataFrame:
+        made = process_videos(misses, segments, factory, prompt, key=key, rate=rate, **options)
+        value = F.when(F.col("answer").isNotNull(), F.to_json(F.struct(F.col("answer").alias("result"))))
+        return misses.select(key, "cache_key").join(made.select(key, value.alias("value")), key).select("cache_key", "value")
+
+    found = C.get_or_compute(work, cache, compute, bypass=bypass)
+    return found.withColumn("answer", F.get_json_object("value", "$.result")).drop("value", "cache_key")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
+import shutil
+import subprocess
 import tempfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -12,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivane.functions.keys import content_hash
-from scrivane.functions.media import FRAME_SIDE, extension, media_type
+from scrivane.functions.media import AUDIO_SOURCE_FORMATS, FRAME_SIDE, extension, media_type
 from scrivane.operators.pages import markdown
 
 
@@ -209,10 +213,102 @@ class VideoDecoder:
             return {"frame_count": int(n), "fps": fps, "duration": n / fps if fps > 0 else 0.0, "width": int(video.get(cv.CAP_PROP_FRAME_WIDTH)), "height": int(video.get(cv.CAP_PROP_FRAME_HEIGHT))}
 
 
-def write_markdown(documents: DataFrame, path: str, name: str = "file_name") -> None:
-    """One markdown file for each document under ``path``/file=<stem>, written by Spark and so to any store."""
+def _writer(uri: str):
+    """The file system and path of a folder, made where it is missing."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(uri if "://" in uri else "file://" + os.path.abspath(uri))
+    store.create_dir(at, recursive=True)
+    return store, at
+
+
+def write_markdown(documents: DataFrame, path: str, name: str = "file_name") -> DataFrame:
+    """Write ``<stem>.md`` for each document under ``path``, a folder or address that all workers reach; returns file_name, path and error.
+
+    Documents that share a stem are an error of theirs and not written, so none overwrites another.
+    """
     stem = F.regexp_replace(F.col(name), r"\.[^.]*$", "")
-    documents.select(markdown(F.col("pages")).alias("value"), stem.alias("file")).write.mode("overwrite").option("lineSep", "\n").partitionBy("file").text(path)
+    rows = documents.select(F.col(name).alias("file_name"), stem.alias("stem"), markdown(F.col("pages")).alias("text"))
+    shared = rows.groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = _writer(path)
+        for part in parts:
+            out = []
+            for file, key, text, n in zip(part["file_name"], part["stem"], part["text"], part["n"], strict=True):
+                at, error = f"{base}/{key}.md", "several documents of this name" if n > 1 else None
+                try:
+                    if error is None:
+                        with store.open_output_stream(at) as f:
+                            f.write(text.encode())
+                except Exception as e:  # noqa: BLE001  the row carries it
+                    error = f"{type(e).__name__}: {e}"
+                out.append((file, at if error is None else None, error))
+            yield pd.DataFrame(out, columns=["file_name", "path", "error"])
+
+    done = rows.join(shared, "stem").mapInPandas(run, "file_name string, path string, error string")
+    return documents.sparkSession.createDataFrame(done.collect(), done.schema)  # writes now, once; one short row for each file
+
+
+def delete_object(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder of any store that Spark writes to; False where it was missing or could not be deleted."""
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True))
+    except Exception:  # noqa: BLE001  a failed deletion is no error
+        return False
+
+
+def clear_page_images(spark: SparkSession, base: str, file_hash: str) -> bool:
+    """Drop the stored page images of one file after it was processed; False where there were none."""
+    if not re.fullmatch(r"[\w-]+", file_hash):
+        raise ValueError("a file hash has letters and digits only")
+    return delete_object(spark, f"{base.rstrip('/')}/{file_hash}")
+
+
+class AudioExtractor(Protocol):
+    """Takes the audio track out of a video's bytes; raises where there is none."""
+
+    def audio(self, content: bytes) -> bytes: ...
+
+
+class FfmpegAudio:
+    """The audio track as MP3, by the ffmpeg program on the workers, which this environment lacks."""
+
+    def __init__(self, program: str = "ffmpeg"):
+        if shutil.which(program) is None:
+            raise RuntimeError(f"{program} is not installed")
+        self.program = program
+
+    def audio(self, content: bytes) -> bytes:
+        with tempfile.NamedTemporaryFile(suffix=".video") as f:
+            f.write(content)
+            f.flush()
+            made = subprocess.run([self.program, "-v", "error", "-i", f.name, "-vn", "-f", "mp3", "pipe:1"], capture_output=True)
+        if made.returncode or not made.stdout:
+            raise ValueError(made.stderr.decode("utf-8", "replace").strip()[-300:] or "no audio track")
+        return made.stdout
+
+
+def extract_audio(videos: DataFrame, factory: Callable[[], AudioExtractor], *, key: str, path: str = "path", content: str = "content") -> DataFrame:
+    """The key with ``audio`` and ``audio_error``: of another format, without a track, or undecodable."""
+    kind = dict(videos.dtypes)[key]
+    fits = extension(F.col(path)).isin(*AUDIO_SOURCE_FORMATS)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = factory()
+        for part in parts:
+            out = []
+            for k, raw, ok in zip(part[key], part[content], part["_fits"], strict=True):
+                try:
+                    if not ok:
+                        raise ValueError("unsupported video format")
+                    out.append((k, made.audio(bytes(raw)), None))
+                except Exception as e:  # noqa: BLE001  the row carries it
+                    out.append((k, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=[key, "audio", "audio_error"])
+
+    return videos.select(key, content, fits.alias("_fits")).mapInPandas(run, f"`{key}` {kind}, audio binary, audio_error string")
 
 
 def write_json(records: DataFrame, path: str) -> None:

@@ -31,7 +31,6 @@ def ingest(files: DataFrame, cache: CacheTable, process: Callable[[DataFrame], D
     def batch(df: DataFrame, _: int) -> None:
         keyed = df.withColumn("cache_key", cache_key(F.col("file_hash"), F.lit(prompt))).dropDuplicates(["cache_key"])
         misses = keyed.join(cache.read(keyed).select("cache_key"), "cache_key", "left_anti")
-        if not misses.isEmpty():
-            cache.write(process(misses))
+        cache.write(process(misses))  # in one pass: a check for rows would read the files twice
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

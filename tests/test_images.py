@@ -1,0 +1,150 @@
+"""Pixels and image files: PNG both ways, flattening, resampling, the scan and the pipeline."""
+
+import struct
+import sys
+import types
+import zlib
+from contextlib import nullcontext
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from scrivane.functions import pixels as P
+from scrivane.operators import model as X
+from scrivane.plans.pipelines import process_images
+from scrivane.sources import files as IO
+from scrivane.sources import images as I
+
+
+def picture(high, wide, channels, seed=0):
+    return np.random.default_rng(seed).integers(0, 256, (high, wide, channels), dtype=np.uint8)
+
+
+def filtered_png(pixels, how):
+    """A PNG whose rows all have one filter, by the standard's definition, byte by byte."""
+    high, wide, step = pixels.shape
+    body, above = b"", [0] * (wide * step)
+    for row in pixels.reshape(high, -1).tolist():
+        out = []
+        for x, v in enumerate(row):
+            a, b, c = (row[x - step], above[x], above[x - step]) if x >= step else (0, above[x], 0)
+            paeth = min((a, b, c), key=lambda q: (abs(a + b - c - q), (a, b, c).index(q)))
+            out.append((v - (0, a, b, (a + b) // 2, paeth)[how]) % 256)
+        body, above = body + bytes([how, *out]), row
+    chunk = lambda n, d: struct.pack(">I", len(d)) + n + d + struct.pack(">I", zlib.crc32(n + d))
+    head = struct.pack(">IIBBBBB", wide, high, 8, {1: 0, 2: 4, 3: 2, 4: 6}[step], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("channels", [1, 2, 3, 4])
+@pytest.mark.parametrize("how", [0, 1, 2, 3, 4])
+def test_png_filters(channels, how):
+    p = picture(7, 11, channels, how)
+    assert (P.decode_png(filtered_png(p, how)) == p).all() and (P.decode_png(P.encode_png(p)) == p).all()
+
+
+def test_png_faults():
+    good = P.encode_png(picture(3, 3, 3))
+    for bad in (b"", b"GIF89a", good[:20], good[:40]):
+        with pytest.raises((ValueError, struct.error, zlib.error)):
+            P.decode_png(bad)
+
+
+def test_spark_decodes_what_is_encoded(spark, tmp_path):
+    """Spark's own decoder is the independent reader; the scan turns its BGR back."""
+    made = {"grey": picture(5, 9, 1), "rgb": picture(6, 4, 3), "rgba": picture(4, 4, 4)}
+    for name, p in made.items():
+        (tmp_path / f"{name}.png").write_bytes(P.encode_png(p))
+    (tmp_path / "broken.png").write_bytes(b"\x89PNG broken")
+    got = {r["path"].rsplit("/", 1)[1]: r for r in I.prepare_pixels(I.scan_pixels(spark, str(tmp_path))).collect()}
+    assert got["broken.png"]["image"] is None and got["broken.png"]["error"]
+    for name, p in made.items():
+        r = got[f"{name}.png"]
+        assert (r["width"], r["height"], r["media_type"]) == (p.shape[1], p.shape[0], "image/png") and (P.decode_png(bytes(r["image"])) == P.flattened(p)).all()
+
+
+def test_flattening():
+    p = np.array([[[10, 20, 30, 255], [10, 20, 30, 0], [0, 0, 0, 51]]], np.uint8)
+    assert P.flattened(p).tolist() == [[[10, 20, 30], [255, 255, 255], [204, 204, 204]]]
+    assert P.flattened(np.array([[[100, 0], [100, 255]]], np.uint8)).tolist() == [[[255] * 3, [100] * 3]]
+    assert P.flattened(picture(2, 2, 1)).shape == (2, 2, 1)
+
+
+@pytest.mark.parametrize(("wide", "high", "side", "want"), [(100, 50, 200, (100, 50)), (4000, 2000, 2000, (2000, 1000)), (3001, 2000, 2000, (1999, 1332)), (1, 9000, 768, (1, 768)), (200, 100, 64, (64, 32))])
+def test_sizes(wide, high, side, want):
+    assert P.fitted_size(wide, high, side) == want
+
+
+def test_resampling_keeps_constants_means_and_edges():
+    assert (P.resized(np.full((90, 60, 3), 137, np.uint8), 31) == 137).all()
+    p = picture(96, 64, 3)
+    small = P.resized(p, 24)
+    assert small.shape == (24, 16, 3) and abs(small.mean() - p.mean()) < 2
+    half = np.zeros((40, 40, 1), np.uint8)
+    half[:, 20:] = 255
+    out = P.resized(half, 20)[:, :, 0]
+    assert (out[:, :7] < 3).all() and (out[:, 13:] > 252).all()
+    ramp = np.repeat(np.arange(0, 240, 2, dtype=np.uint8)[None, :, None], 5, 0)
+    assert np.allclose(P.resized(ramp, 60)[:, 4:-4, 0].astype(float), np.arange(60)[4:-4] * 4 + 1, atol=1)
+
+
+def test_media_types():
+    assert [P.media_type_of(x) for x in (P.encode_png(picture(1, 1, 1)), b"\xff\xd8\xff", b"RIFF0000WEBP", b"GIF89a", b"")] == ["image/png", "image/jpeg", "image/webp", "image/gif", "image/jpeg"]
+    url = X.Provider("chat", "m", "k").content(X.Request("p", [P.encode_png(picture(1, 1, 1))]))[0]["image_url"]["url"]
+    assert url.startswith("data:image/png;base64,")
+    assert X.Provider("anthropic", "m", "k").content(X.Request("p", [b"\xff\xd8"]))[0]["source"]["media_type"] == "image/jpeg"
+
+
+def folder(tmp_path):
+    (tmp_path / "big.PNG").write_bytes(P.encode_png(picture(30, 2400, 4)))
+    (tmp_path / "copy.png").write_bytes((tmp_path / "big.PNG").read_bytes())
+    (tmp_path / "broken.png").write_bytes(b"no image")
+    (tmp_path / "x.pdf").write_bytes(b"pdf")
+    return str(tmp_path)
+
+
+def test_image_pipeline(spark, tmp_path):
+    files = IO.with_hash(IO.scan_folder(spark, folder(tmp_path))).where("media_type = 'image'")
+    made = {r["path"].rsplit("/", 1)[1]: r for r in I.prepare_images(files).collect()}
+    assert set(made) == {"big.PNG", "copy.png", "broken.png"} and (made["big.PNG"]["width"], made["big.PNG"]["height"]) == (2000, 25) and made["broken.png"]["error"] == "ValueError: no PNG"
+
+    class Seeing(X.StubModel):
+        def call(self, request):
+            assert not request.prompt.count("text_content")
+            return X.Answer(str(P.decode_png(request.images[0]).shape))
+
+    got = {r["file_hash"]: r for r in process_images(files, Seeing, "p").collect()}
+    assert len(got) == 2
+    assert {(r["content"], r["failed_pages"]) for r in got.values()} == {("(25, 2000, 3)", 0), (None, 1)}
+    assert process_images(files.where("1 = 0"), Seeing, "p").isEmpty()
+
+
+def test_library_codec(monkeypatch):
+    """The adapter's conversions, against a stand-in of the library."""
+
+    class Image:
+        def __init__(self, array, mode):
+            self.array, self.mode = array, mode
+
+        def convert(self, mode):
+            assert mode == "RGB" and self.mode == "P"
+            return Image(np.repeat(self.array[:, :, None], 3, 2), "RGB")
+
+        def __array__(self, dtype=None, copy=None):
+            return self.array
+
+        def save(self, out, format, quality):  # noqa: A002
+            out.write(b"\xff\xd8" + bytes([quality, self.array.ndim]))
+
+    stand_in = types.SimpleNamespace(open=lambda f: nullcontext(Image(picture(2, 3, 1)[:, :, 0], f.read().decode())), fromarray=lambda a: Image(a, "?"))
+    monkeypatch.setitem(sys.modules, "PIL", types.SimpleNamespace(Image=stand_in))
+    codec = I.PillowCodec()
+    assert codec.decode(b"L").shape == (2, 3, 1) and codec.decode(b"P").shape == (2, 3, 3)
+    assert codec.encode(picture(2, 2, 3)) == b"\xff\xd8\x5f\x03" and codec.encode(picture(2, 2, 1)) == b"\xff\xd8\x5f\x02"
+
+
+def test_hash_is_of_the_file(spark, tmp_path):
+    files = IO.with_hash(IO.scan_folder(spark, folder(tmp_path))).where("media_type = 'image'")
+    hashes = {r["path"].rsplit("/", 1)[1]: r["file_hash"] for r in I.prepare_images(files).select("path", "file_hash").collect()}
+    assert hashes["big.PNG"] == hashes["copy.png"] == files.where(F.col("path").endswith("big.PNG")).head()["file_hash"]

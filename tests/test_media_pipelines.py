@@ -1,0 +1,255 @@
+"""Caches, speech and video pipelines, sinks, and model adapters against stand-ins of their libraries."""
+
+import json
+import sys
+import types
+
+import pytest
+from pyspark.sql import functions as F
+
+from scrivane.functions import text as T
+from scrivane.operators import cache as C
+from scrivane.operators import model as X
+from scrivane.operators import pages as G
+from scrivane.operators import timeline as L
+from scrivane.plans.pipelines import answer_videos, transcribe_videos, transcript_segments
+from scrivane.sources import files as IO
+
+NS = types.SimpleNamespace
+
+
+def entries(spark, rows):
+    return spark.createDataFrame(rows, "cache_key string, value string")
+
+
+# Caches.
+
+
+def test_cache_reads_the_wanted_buckets_only(spark, tmp_path):
+    cache = C.CacheTable(spark, str(tmp_path / "c"))
+    assert cache.read().isEmpty()
+    cache.write(entries(spark, [("aa1", "1"), ("bb1", "2"), ("cc1", "3"), (None, "4")]))
+    cache.write(entries(spark, [("aa1", "5")]))
+    wanted = entries(spark, [("aa1", ""), ("zz", ""), (None, "")])
+    got = cache.read(wanted)
+    assert [(r["cache_key"], r["value"]) for r in got.collect()] == [("aa1", "5")]
+    plan = got._jdf.queryExecution().toString()
+    assert "bucket" in plan.split("PartitionFilters")[1].split("]")[0] and "aa" in plan.split("PartitionFilters")[1].split("]")[0]
+    cache.compact()
+    assert sorted((r["cache_key"], r["value"]) for r in cache.read().collect()) == [("aa1", "5"), ("bb1", "2"), ("cc1", "3")]
+    assert cache._raw().count() == 3 and not (tmp_path / "c.old").exists() and not (tmp_path / "c.new").exists()
+
+
+def test_tiers_together(spark, tmp_path):
+    files, store = C.CacheTable(spark, str(tmp_path / "f")), C.CacheTable(spark, str(tmp_path / "s"))
+    both = C.TieredCache(files, store)
+    both.set(entries(spark, [("k1", "v1")]))
+    store.write(entries(spark, [("k2", "v2")]), "s3")
+    asked = spark.createDataFrame([(1, ["k1"]), (2, ["nope", "k2"]), (3, ["nope"])], "request_id int, keys array<string>")
+    got = {r["request_id"]: (r["value"], r["hit_tier"]) for r in both.get(asked).collect()}
+    assert got == {1: ("v1", "s3"), 2: ("v2", "s3"), 3: (None, None)}
+    assert {r["cache_key"] for r in files.read().collect()} == {"k1", "k2"}
+    both.invalidate(entries(spark, [("k2", "")]))
+    assert {r["value"] for r in both.get(asked).collect()} == {"v1", None}
+    both.clear()
+    assert files.read().isEmpty() and store.read().isEmpty()
+    alone = C.TieredCache(files)
+    alone.set(entries(spark, [("k1", "w")]))
+    assert [r["value"] for r in alone.get(asked.where("request_id = 1")).collect()] == ["w"]
+
+
+def test_last_entry_of_a_key_counts(spark):
+    cache = spark.createDataFrame([("k", '{"v": 1}', 5), ("k", '{"v": 2}', 3), ("k", "{broken", 9)], "cache_key string, value string, updated_at int")
+    hits, _ = C.hits_and_misses(spark.createDataFrame([("k",)], "cache_key string"), cache)
+    assert [r["value"] for r in hits.collect()] == ['{"v": 1}']
+
+
+def test_get_or_compute_makes_each_value_once(spark, tmp_path):
+    cache, asked = C.CacheTable(spark, str(tmp_path / "c")), []
+    work = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "bad"), (5, None)], "n int, cache_key string")
+
+    def compute(misses):
+        asked.append(sorted(r["cache_key"] for r in misses.collect()))
+        return misses.select("cache_key", F.when(F.col("cache_key") != "bad", F.concat(F.lit("v"), "cache_key", F.lit(len(asked)))).alias("value"))
+
+    want = {1: "va1", 2: "va1", 3: "vb1", 4: None, 5: None}
+    assert {r["n"]: r["value"] for r in C.get_or_compute(work, cache, compute).collect()} == want
+    assert {r["n"]: r["value"] for r in C.get_or_compute(work, cache, compute).collect()} == want
+    assert asked == [["a", "b", "bad"], ["bad"]]
+    assert {r["value"] for r in C.get_or_compute(work, cache, compute, bypass=True).collect()} == {"va3", "vb3", None}
+
+
+# Speech and videos.
+
+
+def speech_parts():
+    """Stand-ins, made in a function so that workers get them by value."""
+
+    class Tracks:
+        def audio(self, content):
+            if content == b"silent":
+                raise ValueError("no audio track")
+            return b"mp3:" + content
+
+    class Words:
+        name = "words"
+
+        def transcribe(self, audio, language):
+            if audio == b"mp3:deaf":
+                raise RuntimeError("no speech")
+            return json.dumps({"segments": [{"start": 0.0, "end": 2.5, "text": f" {audio.decode()} "}, {"start": 3.0, "end": 4.0, "text": "  "}], "language": language or "xx", "duration": 4.0, "text": "t "})
+
+    return Tracks, Words
+
+
+def test_transcripts_are_made_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+    Tracks, Words = speech_parts()
+
+    class Counting(Words):
+        def transcribe(self, audio, language):
+            calls.add(1)
+            return super().transcribe(audio, language)
+
+    cache = C.CacheTable(spark, str(tmp_path / "c"))
+    rows = [("h1", "a.mp4", b"one"), ("h2", "b.MOV", b"silent"), ("h3", "c.mkv", b"deaf"), ("h4", "d.pdf", b"no video"), (None, "e.mp4", b"none")]
+    videos = spark.createDataFrame(rows, "file_hash string, path string, content binary")
+    for _ in range(2):
+        got = {r["path"]: r["transcript"] for r in transcribe_videos(videos, cache, Tracks, Counting, language="en").collect()}
+        assert got["a.mp4"]["segments"][0]["text"] == "mp3:one" and got["a.mp4"]["language"] == "en" and got["a.mp4"]["full_text"] == "t" and len(got["a.mp4"]["segments"]) == 1
+        assert got["b.MOV"] is got["c.mkv"] is got["d.pdf"] is got["e.mp4"] is None
+    assert calls.value == 1 + 1 + 1  # one, and the failing one twice
+    made = transcript_segments(transcribe_videos(videos, cache, Tracks, Counting, language="en"), "file_hash").collect()
+    assert [tuple(r) for r in made] == [("h1", 0, 0.0, 2.5, "mp3:one")]
+    errors = {r["path"]: r["audio_error"] for r in IO.extract_audio(videos, Tracks, key="path").collect()}
+    assert errors == {"a.mp4": None, "b.MOV": "ValueError: no audio track", "c.mkv": None, "d.pdf": "ValueError: unsupported video format", "e.mp4": None}
+
+
+def test_audio_program_must_be_there():
+    with pytest.raises(RuntimeError):
+        IO.FfmpegAudio("no-such-program")
+
+
+def test_video_answers_are_made_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counting(X.StubModel):
+        def call(self, request):
+            calls.add(1)
+            return super().call(request)
+
+    cache = C.CacheTable(spark, str(tmp_path / "c"))
+    videos = spark.createDataFrame([("a", 30.0, 25.0), ("b", 150.0, 25.0)], "file_hash string, duration double, fps double")
+    segments = spark.createDataFrame([("b", 0, 50.0, 70.0, "t")], "file_hash string, seg_idx int, start double, end double, text string")
+    first = {r["file_hash"]: r["answer"] for r in answer_videos(videos, segments, cache, Counting, "P").collect()}
+    assert calls.value == 5 and all(v.startswith("stub:") for v in first.values())
+    assert {r["file_hash"]: r["answer"] for r in answer_videos(videos, segments, cache, Counting, "P").collect()} == first and calls.value == 5
+    answer_videos(videos.limit(1), segments, cache, Counting, "other prompt").collect()
+    assert calls.value > 5
+    now = calls.value
+    answer_videos(videos, segments, cache, Counting, "P", bypass=True).collect()
+    assert calls.value == now + 5
+
+
+def test_segments_beyond_the_video_are_folded_into_its_last_chunk(spark):
+    chunks = L.chunk_plan(spark.createDataFrame([("v", 120.5)], "k string, duration double"), 60.0)
+    segments = spark.createDataFrame([("v", 0, 120.2, 1e9), ("v", 1, 30.0, 1e12), ("w", 2, 0.0, 5.0)], "k string, seg_idx int, start double, end double")
+    got = {(r["chunk_idx"], r["seg_idx"]) for r in L.overlap_join(chunks, segments, "k", 60.0).collect()}
+    assert got == {(r["chunk_idx"], r["seg_idx"]) for r in L.overlap_join_nested(chunks, segments, "k").collect()}
+
+
+def test_fold_counts_all_chunks(spark):
+    rows = [("v", i, 60.0 * i, 60.0 * i + 60, 300.0, f"r{i}", None if i == 4 else "broken") for i in range(5)]
+    got = L.fold(spark.createDataFrame(rows, "k string, chunk_idx int, start_sec double, end_sec double, duration double, result string, error string"), "k", "Q", 0.5).head()
+    assert got["answer"] is None and "--- Chunk 5/5 [" in got["prompt"] and got["failed_chunks"] == 4 and got["n_chunks"] == 1
+
+
+# Sinks and texts.
+
+
+def test_markdown_files_by_name(spark, tmp_path):
+    pages = spark.createDataFrame([("x.y.pdf", 2, "b"), ("x.y.pdf", 1, "a"), ("z.pdf", 1, "é"), ("z.png", 1, "other")], "file_name string, page_number int, page_content string")
+    got = {r["file_name"]: (r["path"], r["error"]) for r in IO.write_markdown(G.assemble(pages, "file_name"), str(tmp_path / "md")).collect()}
+    assert (tmp_path / "md" / "x.y.md").read_text() == "\n===== Page: 1 =====\n\na\n\n\n===== Page: 2 =====\n\nb\n\n"
+    assert got["x.y.pdf"][1] is None and got["z.pdf"] == got["z.png"] == (None, "several documents of this name")
+
+
+def test_deleting(spark, tmp_path):
+    (tmp_path / "img" / "h1").mkdir(parents=True)
+    (tmp_path / "img" / "h1" / "p.png").write_bytes(b"x")
+    assert IO.clear_page_images(spark, str(tmp_path / "img"), "h1") and not (tmp_path / "img" / "h1").exists()
+    assert not IO.clear_page_images(spark, str(tmp_path / "img"), "h1") and not IO.delete_object(spark, "nosuch://a/b")
+    with pytest.raises(ValueError):
+        IO.clear_page_images(spark, str(tmp_path / "img"), "../img")
+
+
+def test_strip_equals_python(spark):
+    odd = [" a b ", "　x ", "\x1c\x85y z ", "", "\t\n", "a" + " " * 5000 + "b", None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in odd], "t string").select(T.strip(F.col("t"))).collect()]
+    assert got == [None if x is None else x.strip() for x in odd]
+
+
+# Model and speech libraries, as stand-ins that keep what they were called with.
+
+
+@pytest.fixture
+def libraries(monkeypatch):
+    kept = []
+
+    def recorder(**out):
+        def create(**args):
+            kept.append(args)
+            return NS(**out)
+
+        return create
+
+    def openai_client(kind):
+        def make(**args):
+            kept.append({"client": kind, **args})
+            usage = NS(prompt_tokens=3, completion_tokens=2, total_tokens=5, input_tokens=3, output_tokens=2)
+            choice = NS(message=NS(content="chat"), finish_reason="stop")
+            speech = recorder(segments=[NS(start=0, end=1.5, text=" hi ")], language="en", duration=1.5, text="hi")
+            return NS(chat=NS(completions=NS(create=recorder(choices=[choice], usage=usage))), responses=NS(create=recorder(output_text="resp", usage=usage, id="r1")), audio=NS(transcriptions=NS(create=speech)))
+
+        return make
+
+    message = recorder(content=[NS(text="msg")], usage=NS(input_tokens=7, output_tokens=1))
+    anthropic = NS(Anthropic=lambda **a: kept.append({"client": "anthropic", **a}) or NS(messages=NS(create=message)), AnthropicBedrock=lambda **a: kept.append({"client": "bedrock", **a}) or NS(messages=NS(create=message)))
+    monkeypatch.setitem(sys.modules, "anthropic", anthropic)
+    monkeypatch.setitem(sys.modules, "openai", NS(OpenAI=openai_client("openai"), AzureOpenAI=openai_client("azure")))
+    return kept
+
+
+@pytest.mark.parametrize(
+    ("kind", "client", "text", "total"),
+    [("anthropic", "anthropic", "msg", 8), ("bedrock", "bedrock", "msg", 8), ("chat", "openai", "chat", 5), ("gemini", "openai", "chat", 5), ("azure", "azure", "chat", 5), ("responses", "openai", "resp", 5), ("azure_responses", "azure", "resp", 5)],
+)
+def test_hosted_calls(libraries, kind, client, text, total):
+    p = X.Provider(kind, "m", "key", "https://host" if kind != "anthropic" else None, "v1")
+    made = X.call_with_retry(p.connect(), X.Request("look", [b"\xff\xd8a", b"\xff\xd8b"]), 2)
+    assert (made["result"], made["error"], made["total_tokens"], made["tries"]) == (text, None, total, 1)
+    assert libraries[0]["client"] == client and (client != "azure" or (libraries[0]["azure_endpoint"], libraries[0]["api_version"]) == ("https://host", "v1"))
+    sent = libraries[1]
+    turn = (sent.get("input") or sent.get("messages"))[0]
+    assert sent["model"] == "m" and turn["role"] == "user" and turn["content"][-1]["text"] == "look" and len([c for c in turn["content"] if "image" in c["type"]]) == 2
+
+
+def test_content_filter_asks_once_more(monkeypatch):
+    answers = [NS(choices=[NS(message=NS(content=None), finish_reason="content_filter")], usage=None), NS(choices=[NS(message=NS(content="fine"), finish_reason="stop")], usage=None)]
+    sent = []
+    client = NS(chat=NS(completions=NS(create=lambda **a: sent.append(a) or answers[len(sent) - 1])))
+    monkeypatch.setitem(sys.modules, "openai", NS(OpenAI=lambda **a: client))
+    made = X.call_with_retry(X.Provider("chat", "m", "k").connect(), X.Request("p"), 1)
+    assert made["result"] == "fine" and sent[1]["messages"][0]["content"][-1]["text"] == X.FALLBACK_PROMPT
+
+
+def test_hosted_speech(libraries):
+    got = json.loads(X.Speech("openai", api_key="k").connect().transcribe(b"sound", None))
+    assert got == {"segments": [{"start": 0.0, "end": 1.5, "text": " hi "}], "language": "en", "duration": 1.5, "text": "hi"}
+    assert "language" not in libraries[1] and libraries[1]["model"] == "whisper-1" and libraries[1]["file"][1] == b"sound" and libraries[1]["timestamp_granularities"] == ["segment"]
+    X.Speech("azure", api_key="k", base_url="https://host").connect().transcribe(b"sound", "de")
+    assert libraries[2]["client"] == "azure" and libraries[3]["language"] == "de"
+
+
+def test_configured():
+    assert X.is_configured({"USE_VISION": "claude"}) and X.is_configured({"GEMINI_API_KEY": "k"}) and not X.is_configured({}) and not X.is_configured({"USE_VISION": "other", "GEMINI_API_KEY": "k"})

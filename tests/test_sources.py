@@ -2,7 +2,6 @@ from pyspark.sql import functions as F
 
 from scrivane.operators import cache as C
 from scrivane.operators import model as X
-from scrivane.operators import pages as G
 from scrivane.plans.pipelines import process_pages
 from scrivane.sources import files as IO
 from scrivane.streaming.ingest import ingest, new_files
@@ -35,13 +34,6 @@ def test_probe_never_raises(spark, tmp_path):
     assert got == {"a.PDF": ("success", "2"), "broken.pdf": ("error", None)}
 
 
-def test_markdown_files(spark, tmp_path):
-    pages = spark.createDataFrame([("x.y.pdf", 2, "b"), ("x.y.pdf", 1, "a")], "file_name string, page_number int, page_content string")
-    IO.write_markdown(G.assemble(pages, "file_name"), str(tmp_path / "md"))
-    text = "".join(p.read_text() for p in (tmp_path / "md" / "file=x.y").glob("*.txt"))
-    assert text == "\n===== Page: 1 =====\n\na\n\n\n===== Page: 2 =====\n\nb\n\n\n"
-
-
 def test_stream_processes_each_file_once(spark, tmp_path):
     path, cache, calls = folder(tmp_path), C.CacheTable(spark, str(tmp_path / "cache")), spark.sparkContext.accumulator(0)
 
