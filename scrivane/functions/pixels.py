@@ -9,12 +9,12 @@ import numpy as np
 
 #: Channels by a PNG's colour type.
 _CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
-_PNG = b"\x89PNG\r\n\x1a\n"
+PNG_START = b"\x89PNG\r\n\x1a\n"
 
 
 def media_type_of(data: bytes) -> str:
     """The media type that the first bytes of an encoded image tell; JPEG where they tell none."""
-    if data[:8] == _PNG:
+    if data[:8] == PNG_START:
         return "image/png"
     if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
         return "image/webp"
@@ -28,7 +28,7 @@ def encode_png(pixels: np.ndarray, level: int = 6) -> bytes:
     rows = np.zeros((high, 1 + wide * channels), np.uint8)
     rows[:, 1:] = pixels.reshape(high, -1)
     chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
-    return _PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", wide, high, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes(), level)) + chunk(b"IEND", b"")
+    return PNG_START + chunk(b"IHDR", struct.pack(">IIBBBBB", wide, high, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes(), level)) + chunk(b"IEND", b"")
 
 
 def _unfiltered(rows: np.ndarray, step: int) -> np.ndarray:
@@ -61,7 +61,7 @@ def _unfiltered(rows: np.ndarray, step: int) -> np.ndarray:
 
 def decode_png(data: bytes) -> np.ndarray:
     """Pixels of a PNG of eight bits a channel without interlacing; a palette is resolved, with its transparency."""
-    if data[:8] != _PNG:
+    if data[:8] != PNG_START:
         raise ValueError("no PNG")
     at, body, palette, clear, head = 8, [], None, b"", None
     while at + 8 <= len(data):

@@ -213,7 +213,7 @@ class VideoDecoder:
             return {"frame_count": int(n), "fps": fps, "duration": n / fps if fps > 0 else 0.0, "width": int(video.get(cv.CAP_PROP_FRAME_WIDTH)), "height": int(video.get(cv.CAP_PROP_FRAME_HEIGHT))}
 
 
-def _writer(uri: str):
+def folder_writer(uri: str):
     """The file system and path of a folder, made where it is missing."""
     from pyarrow import fs
 
@@ -232,7 +232,7 @@ def write_markdown(documents: DataFrame, path: str, name: str = "file_name") ->
     shared = rows.groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, base = _writer(path)
+        store, base = folder_writer(path)
         for part in parts:
             out = []
             for file, key, text, n in zip(part["file_name"], part["stem"], part["text"], part["n"], strict=True):

@@ -148,3 +148,20 @@ def test_hash_is_of_the_file(spark, tmp_path):
     files = IO.with_hash(IO.scan_folder(spark, folder(tmp_path))).where("media_type = 'image'")
     hashes = {r["path"].rsplit("/", 1)[1]: r["file_hash"] for r in I.prepare_images(files).select("path", "file_hash").collect()}
     assert hashes["big.PNG"] == hashes["copy.png"] == files.where(F.col("path").endswith("big.PNG")).head()["file_hash"]
+
+
+def test_page_images_are_rastered_once_and_repaired(spark, tmp_path):
+    base, made = str(tmp_path / "img"), []
+    pages = spark.createDataFrame([("f1", "p1_a", 1), ("f1", "p2_b", 2), ("f2", "p1_a", 1), ("f2", "p2_bad", 2)], "file_hash string, page_hash string, page_number int")
+    image = P.encode_png(picture(3, 5, 3))
+
+    def raster(missing):
+        made.append(sorted((r["file_hash"], r["page_hash"]) for r in missing.collect()))
+        return missing.withColumn("image", F.when(F.col("page_hash") != "p2_bad", F.lit(image)))
+
+    for _ in range(2):
+        got = {(r["file_hash"], r["page_hash"]): r["image"] for r in I.page_images(spark, pages, base, raster).collect()}
+        assert len(got) == 4 and got["f2", "p2_bad"] is None and bytes(got["f1", "p2_b"]) == image
+    (tmp_path / "img" / "f1" / "p1_a.png").write_bytes(image[:-5])
+    assert all(r["image"] is not None for r in I.page_images(spark, pages.where("file_hash = 'f1'"), base, raster).collect())
+    assert [len(m) for m in made] == [4, 1, 1] and made[2] == [("f1", "p1_a")]

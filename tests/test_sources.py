@@ -50,3 +50,21 @@ def test_stream_processes_each_file_once(spark, tmp_path):
     for _ in range(2):
         ingest(new_files(spark, path, "*.PDF"), cache, process, "p", str(tmp_path / "check")).awaitTermination()
     assert cache.read().count() == 1 and calls.value == 2
+
+
+def test_objects_json_and_counts(spark, tmp_path):
+    base = tmp_path / "store"
+    (base / "images").mkdir(parents=True)
+    (base / "images" / "p.png").write_bytes(b"x")
+    (base / "a.pdf").write_bytes(b"12345")
+    (base / "b.PDF").write_bytes(b"1")
+    got = {r["key"].rsplit("/", 1)[1]: r["size"] for r in IO.list_objects(spark, str(base)).collect()}
+    assert got == {"a.pdf": 5, "b.PDF": 1}
+    counts = {r["extension"]: r["files"] for r in IO.file_extension_counts(IO.scan_folder(spark, folder(tmp_path))).collect()}
+    assert counts == {"pdf": 2, "png": 1, "txt": 1}
+    IO.write_json(spark.createDataFrame([("f", [1, 2])], "file_name string, pages array<int>"), str(tmp_path / "json"))
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "json")).select("file_name", "pages").collect()] == [("f", [1, 2])]
+    hashed = IO.with_hash(IO.scan_folder(spark, str(base))).where("file_name = 'a.pdf'").head()["file_hash"]
+    import hashlib
+
+    assert hashed == hashlib.sha256(b"12345").hexdigest()
