@@ -67,3 +67,39 @@ def test_contract(spark, sf, name):
     if "held_out" in types:
         mod, rest = (5, 0) if name.startswith("op2") else (3, 1)
         assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % mod == rest) for r in rows)
+
+
+def written(spark, tmp_path, docs):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 1), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, _row int, comp string, shard int, kept string, _t int"
+
+
+def test_awkward_tables_through_the_whole_pipeline(spark, tmp_path):
+    """Null and repeated ids, null texts, repeated rows, a long text, unknown sources and clashing names."""
+    words = ["the", "a", "stone", "river", "green", "hill", "walks", "sings", "under", "over", "cloud", "lamp", "early", "window", "paper"]
+    text = lambda seed, n: " ".join(words[(seed * 7 + i * i + i * seed) % len(words)] + str((i * seed) % 11) for i in range(n))
+    extra = (1, "c", 2, "k", 3)
+    rows = [(1, text(3, 80), "en", "a", 0), (1, text(3, 80), "en", "a", 0), (1, text(5, 90), "en", None, 0), (None, text(8, 120), None, "a", 0), (None, text(8, 120), "en", "b", 0), (None, None, "en", "a", 0), (2, "", "en", "a", 0), (3, text(13, 40_000), "en", "b", 0), (4, "short", "en", None, 0)]
+    sf = written(spark, tmp_path, spark.createDataFrame([(*r, *extra) for r in rows], DOCS))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns = docs.columns
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = spark.createDataFrame(stage(spark, docs, sf).collect(), stage(spark, docs, sf).schema)
+        assert name == "packing" or docs.columns == columns
+        sizes.append(docs.count())
+    assert sizes[0] >= sizes[1] >= sizes[2] > 0 and sizes[3] > 0
+    assert corpus_pipeline.run(spark, sf).count() == sizes[-1]
+
+
+def test_an_empty_table_through_the_whole_pipeline(spark, tmp_path):
+    sf = written(spark, tmp_path, spark.createDataFrame([], DOCS))
+    made = corpus_pipeline.run(spark, sf)
+    assert made.isEmpty() and {"doc_id", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(made.columns)
+    for name, query in Q.queries().items():
+        if name not in ("op6_embedding_classes", "op7_url_filters"):
+            assert query(spark, sf).isEmpty(), name
