@@ -15,7 +15,7 @@ of two. The order decides only how long the merged lists are: any order gives
 the same links.
 
 Classes. Equal sets are one node from the start. Before pairs of a list are
-compared one by one, a first round compares each list's members with one hub
+compared one by one, a first round compares each longer list's members with one hub
 only, the node whose lists are longest together, which in a group of copies is
 the original or close to it. Members that links already connect are not compared
 again, so a group of near copies costs its size rather than its square. Pairs of
@@ -48,8 +48,10 @@ BLOCK = 4096
 DEPTH_STEP = 50
 #: Members of a hub that are probed in one group.
 PROBES = 256
-#: Pairs that a worker looks at or holds at once, about.
-CELLS = 1 << 18
+#: Members from which a list takes part in the star round; the few pairs of shorter ones are left to the merge.
+STAR_LEAST = 8
+#: Pairs that a worker looks at at once, about, and members up to which lists are compared together.
+CELLS, SMALL = 1 << 18, 8
 SHORT = X.U(0xA0761D6478BD642F)
 
 
@@ -189,13 +191,8 @@ def _starts(cols: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _batch(columns: tuple[list, ...], names: str) -> pa.RecordBatch:
-    """A batch of long columns and, where the values are bytes, binary ones."""
-    return pa.record_batch([pa.array(c, pa.binary() if isinstance(c[0], bytes) else pa.int64()) for c in columns], names=names.split())
-
-
 def _shared_lists(postings: DataFrame, levels: np.ndarray) -> DataFrame:
-    """The postings of lists with two nodes or more (or of lists in parts)."""
+    """The postings of lists with two nodes or more (or of lists in parts), and whether there are ``many`` of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in _runs(batches, 2):
@@ -203,11 +200,12 @@ def _shared_lists(postings: DataFrame, levels: np.ndarray) -> DataFrame:
             size = np.diff(np.append(starts, len(cols[0])))
             level = levels[(cols[0][starts].view(np.uint64) >> X.U(64 - COUNT_BITS)).astype(np.int64)]
             keep = np.repeat((size > 1) | (level > 7), size)
+            many = np.repeat((size >= STAR_LEAST) | (level > 7), size)
             if keep.any():
-                yield pa.record_batch([pa.array(cols[i][keep]) for i in (0, 2, 3, 4)], names=["token", "node", "n", "pos"])
+                yield pa.record_batch([*(pa.array(cols[i][keep]) for i in (0, 2, 3, 4)), pa.array(many[keep])], names=["token", "node", "n", "pos", "many"])
 
     dealt = postings.repartition(spread(postings), "token", "part").sortWithinPartitions("token", "part")
-    return dealt.mapInArrow(run, "token long, node long, n long, pos long")
+    return dealt.mapInArrow(run, "token long, node long, n long, pos long, many boolean")
 
 
 def _fits(nx, px, ny, py):
@@ -260,40 +258,42 @@ def _merged_pairs(lists: DataFrame) -> DataFrame:
     units = units.select("token", F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v"), "i", "node", "n", "pos", "comp")
     units = units.repartition(spread(lists), "token", "u", "v").sortWithinPartitions("token", "u", "v", "node")
 
+    def runs_of(p: np.ndarray, s: np.ndarray, unit: np.ndarray, node: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        """The pairs of rows p and s as sorted runs of partners by unit and query, which is the larger set."""
+        swap = (n[p] < n[s]) | (n[p] == n[s]) & (node[p] < node[s])
+        p, s = np.where(swap, s, p), np.where(swap, p, s)
+        order = np.lexsort((node[s], p, unit))
+        p, s, unit = p[order], s[order], unit[order]
+        first = _starts([unit, p])
+        ends = pa.array(np.append(first, len(p)).astype(np.int32))
+        lists = (pa.ListArray.from_arrays(ends, pa.array(c[s])) for c in (node, n))
+        return pa.record_batch([pa.array(node[p[first]]), pa.array(n[p[first]]), *lists], names=["x", "nx", "ys", "ns"])
+
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in _runs(batches, 3):
-            starts = _starts(cols[:3])
-            out, held = ([], [], [], []), 0
-            for lo, hi in zip(starts, [*starts[1:], len(cols[0])], strict=True):
-                if hi - lo < 2:
-                    continue
-                _, u, v, i, node, n, pos, comp = (c[lo:hi] for c in cols)
-                a, b = (np.flatnonzero(i == u[0]), np.flatnonzero(i == v[0])) if u[0] != v[0] else (np.arange(hi - lo), np.arange(hi - lo))
+        for token, u, v, i, node, n, pos, comp in _runs(batches, 3):
+            starts = _starts([token, u, v])
+            size = np.diff(np.append(starts, len(u)))
+            unit = np.repeat(np.arange(len(starts)), size)
+            # Small lists all at once: rows some places apart in one list.
+            small = np.repeat((size <= SMALL) & (u[starts] == v[starts]), size)
+            found = [(a := np.flatnonzero((unit[d:] == unit[:-d]) & small[d:]), a + d) for d in range(1, min(SMALL, len(u)))]
+            p, q = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
+            ok = (comp[p] != comp[q]) & _fits(n[p], pos[p], n[q], pos[q])
+            if ok.any():
+                yield runs_of(p[ok], q[ok], unit[p[ok]], node, n)
+            for at in np.flatnonzero(~small[starts] & (size > 1)).tolist():
+                rows = np.arange(starts[at], starts[at] + size[at])
+                one = u[rows[0]] == v[rows[0]]
+                a, b = (rows, rows) if one else (rows[i[rows] == u[rows[0]]], rows[i[rows] == v[rows[0]]])
                 step = max(1, CELLS // max(1, len(b)))
                 for from_ in range(0, len(a), step):
                     q = a[from_ : from_ + step]
                     ok = (comp[q][:, None] != comp[b]) & _fits(n[q][:, None], pos[q][:, None], n[b], pos[b])
-                    if u[0] == v[0]:
-                        ok &= node[q][:, None] < node[b]
+                    if one:
+                        ok &= q[:, None] < b
                     r, c = np.nonzero(ok)
-                    if not len(r):
-                        continue
-                    p, s = q[r], b[c]
-                    # The larger set is the query.
-                    swap = (n[p] < n[s]) | (n[p] == n[s]) & (node[p] < node[s])
-                    p, s = np.where(swap, s, p), np.where(swap, p, s)
-                    order = np.lexsort((node[s], p))
-                    p, s = p[order], s[order]
-                    first = _starts([p])
-                    for f, t in zip(first, [*first[1:], len(p)], strict=True):
-                        for to, x in zip(out, (node[p[f]], n[p[f]], node[s[f:t]].tobytes(), n[s[f:t]].tobytes()), strict=True):
-                            to.append(x)
-                    held += len(p)
-                    if held > CELLS:
-                        yield _batch(out, "x nx ys ns")
-                        out, held = ([], [], [], []), 0
-            if held:
-                yield _batch(out, "x nx ys ns")
+                    if len(r):
+                        yield runs_of(q[r], b[c], np.zeros(len(r), np.int64), node, n)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in _runs(batches, 1):
@@ -302,15 +302,15 @@ def _merged_pairs(lists: DataFrame) -> DataFrame:
             for lo, hi in zip(starts, [*starts[1:], len(cols[0])], strict=True):
                 n, m = int(cols[1][lo]), {}
                 for ys_, ns in zip(cols[2][lo:hi], cols[3][lo:hi], strict=True):
-                    m.update(zip(np.frombuffer(ys_, np.int64).tolist(), np.frombuffer(ns, np.int64).tolist(), strict=True))
-                merged = heapq.merge(*(np.frombuffer(r, np.int64).tolist() for r in cols[2][lo:hi]))
+                    m.update(zip(ys_.tolist(), ns.tolist(), strict=True))
+                merged = heapq.merge(*(r.tolist() for r in cols[2][lo:hi]))
                 found = [y for y, hits in groupby(merged) if sum(1 for _ in hits) >= least_hits(n, m[y])]
                 xs += [cols[0][lo]] * len(found)
                 ys += found
             if xs:
                 yield pa.record_batch([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
 
-    runs = units.mapInArrow(pairs, "x long, nx long, ys binary, ns binary")
+    runs = units.mapInArrow(pairs, "x long, nx long, ys array<long>, ns array<long>")
     return runs.repartition(spread(lists), "x").sortWithinPartitions("x").mapInArrow(merge, "x long, y long")
 
 
@@ -370,10 +370,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple
     first = saved(per_node.agg(F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_key")).alias("_first"), F.count(F.lit(1)).alias("copies")))
     nodes = sketches.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("short").alias("short"))
     lists = saved(_shared_lists(_postings(nodes, levels), levels))
-    stars = _linked(_star_pairs(_weighted(lists).withColumn("comp", F.col("node"))), docs, first, id_col, text_col, shingle)
+    stars = _linked(_star_pairs(_weighted(lists.where("many").drop("many")).withColumn("comp", F.col("node"))), docs, first, id_col, text_col, shingle)
     labels = components(stars, "x", "y")
     # Lists within one class are done.
-    now = lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    now = lists.drop("many").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = now.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("token")
     open_ = saved(now.join(mixed, "token", "left_semi"))
     dropped(lists)
