@@ -54,6 +54,16 @@ def dropped(*frames: DataFrame) -> None:
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of an Arrow batch between Spark and its Python workers, by default and in the pipeline.
+_BATCH, DEFAULT_BATCH, LEAN_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 8 << 20
+
+
+def lean_batches(spark: SparkSession) -> None:
+    """Let batches of long texts stay small in this session, unless it has a size of its own: a worker holds some batches at once, and so does the JVM."""
+    if spark.conf.get(_BATCH).rstrip("b") == str(DEFAULT_BATCH):
+        spark.conf.set(_BATCH, str(LEAN_BATCH))
+
+
 def spread(df: DataFrame) -> int:
     """Number of shuffle partitions of the session, as an int."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -26,6 +26,8 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 THRESHOLD = 0.5
 #: Labelled rows of each class that the model is fitted on, about.
 SAMPLE_PER_CLASS = 3000
+#: Features that the fit works on at once, about.
+CELLS = 1 << 19
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -102,17 +104,33 @@ def _mean_weight(weights: np.ndarray, b: np.ndarray, offs: np.ndarray, w: X.Word
     return out
 
 
-def _counts(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sparse mean-frequency features of each text."""
-    out = []
+def _counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse mean-frequency features: how many each text has, and all their indices and values, in few bytes."""
+    sizes, index, value = [], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
     for _, _, b, offs in X.slices(texts):
         w = X.Words(b, offs)
         sums = X.prefix_sums(b)
         found = _features(b, offs, w, sums, X.span_hashes(sums, w.start, w.end))
         for d in range(len(offs) - 1):
-            parts = [np.unique(at[begin[d] : end[d]], return_counts=True) + (max(end[d] - begin[d], 1),) for at, begin, end in found]
-            out.append((np.concatenate([i for i, _, _ in parts]), np.concatenate([n / total for _, n, total in parts])))
-    return out
+            size = 0
+            for at, begin, end in found:
+                i, n = np.unique(at[begin[d] : end[d]], return_counts=True)
+                index.append(i.astype(np.int32))
+                value.append((n / max(end[d] - begin[d], 1)).astype(np.float32))
+                size += len(i)
+            sizes.append(size)
+    return np.array(sizes, np.int64), np.concatenate(index), np.concatenate(value)
+
+
+def _blocks(sizes: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """Rows, their features, and each feature's row within the block; about CELLS features at once."""
+    ends = np.cumsum(sizes)
+    lo = 0
+    while lo < len(sizes):
+        before = int(ends[lo] - sizes[lo])
+        hi = max(lo + 1, int(np.searchsorted(ends, before + CELLS, "right")))
+        yield slice(lo, hi), slice(before, int(ends[hi - 1])), np.repeat(np.arange(hi - lo), sizes[lo:hi])
+        lo = hi
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -126,28 +144,28 @@ def fit(texts: pa.Array, labels: np.ndarray, weight: np.ndarray, order: np.ndarr
     calibrated probabilities keep the corpus's share of each class. Every fifth
     row, by ``order``, is held out of the weights and used for the calibration.
     """
-    feats = _counts(texts)
     y = labels.astype(np.float64)
     if not len(y) or y.min() == y.max():
         return np.zeros(PARTS << DIM_BITS, np.float32), 0.0, 12.0 if not len(y) or y[0] else -12.0
+    sizes, idx, val = _counts(texts)
     held = order % 5 == 0
-    size = np.array([len(i) for i, _ in feats])
-    row = np.repeat(np.arange(len(feats)), size)
-    idx = np.concatenate([i for i, _ in feats])
-    val = np.concatenate([v for _, v in feats])
-    seen = ~held[row]
     # The hashed weights are learned with both classes at equal weight.
     balance = np.where(y > 0, 0.5 / max(1, (y[~held] > 0).sum()), 0.5 / max(1, (y[~held] == 0).sum())) * ~held
     w, grad2, bias, bias2 = np.zeros(PARTS << DIM_BITS), np.full(PARTS << DIM_BITS, 1e-8), 0.0, 1e-8
-    for _ in range(rounds):
-        z = np.bincount(row, val * w[idx], len(feats)) + bias
-        g = (_sigmoid(z) - y) * balance
-        d = np.bincount(idx[seen], (val * g[row])[seen], len(w)) + 1e-7 * w
-        grad2 += d * d
-        w -= 2.0 * d / np.sqrt(grad2)
-        bias2 += g.sum() ** 2
-        bias -= 0.3 * g.sum() / np.sqrt(bias2)
-    z = np.bincount(row, val * w[idx], len(feats))
+    z = np.zeros(len(y))
+    for round_ in range(rounds + 1):
+        d, total = 1e-7 * w, 0.0
+        for rows, at, row in _blocks(sizes):
+            z[rows] = np.bincount(row, val[at] * w[idx[at]], rows.stop - rows.start) + bias
+            if round_ < rounds:
+                g = (_sigmoid(z[rows]) - y[rows]) * balance[rows]
+                d += np.bincount(idx[at], val[at] * g[row], len(w))
+                total += g.sum()
+        if round_ < rounds:
+            grad2 += d * d
+            w -= 2.0 * d / np.sqrt(grad2)
+            bias2 += total**2
+            bias -= 0.3 * total / np.sqrt(bias2)
     use = held if len(np.unique(y[held])) == 2 else np.ones(len(y), bool)
     z, y, k = z[use], y[use], weight[use] / weight[use].sum()
     # Platt's targets keep the slope finite when the classes are separable.
