@@ -2,7 +2,8 @@
 
 Each stage takes what its predecessor kept and returns documents with the same
 columns; the last returns the packed pieces. run() writes every stage's result
-to the cluster's shared folder, so a stage is computed once.
+to the cluster's shared folder, so a stage is computed once. The stages set the
+session's Arrow batches to 8 MB, unless it has a size of its own.
 """
 
 from __future__ import annotations
@@ -10,31 +11,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from scrivane.llm import jaccard, language, mixing, packing, quality
-from scrivane.llm._kit import saved, table
+from scrivane.llm._kit import lean_batches, saved, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the quality model, which is trained on the labels."""
+    lean_batches(spark)
     return quality.keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with one main language."""
+    lean_batches(spark)
     return language.keep_language(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
+    lean_batches(spark)
     return jaccard.keep_one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' words at the sources' target weights, whole documents or runs of their words."""
+    lean_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
+    lean_batches(spark)
     return packing.pack_documents(docs)
 
 
