@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrivane.llm import _text as X
-from scrivane.llm._graph import components, lowest_of_class
+from scrivane.llm._graph import SALTS, components, lowest_of_class
 from scrivane.llm._kit import dropped, released, saved, spread, table
 
 SHINGLE = 5
@@ -228,18 +228,25 @@ def least_hits(n: int, m: int) -> int:
     return least_overlap(n, m) - max(long_lists(n), long_lists(m))
 
 
+def _by_list(rows: DataFrame, per_list: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``per_list`` by token; both have ``many``, and the members of such lists are spread over SALTS parts."""
+    salted = rows.withColumn("_salt", F.when(F.col("many"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    copies = per_list.withColumn("_salt", F.explode(F.when(F.col("many"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("many")
+    return salted.join(copies, ["token", "_salt"], how).drop("_salt")
+
+
 def _weighted(lists: DataFrame) -> DataFrame:
     """The lists with ``w``: how many entries the lists of a node hold together; the original of a group of copies has most."""
-    sizes = lists.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
-    weights = lists.join(sizes, "token").groupBy("node").agg(F.sum("size").alias("w"))
+    sizes = lists.groupBy("token", "many").agg(F.count(F.lit(1)).alias("size"))
+    weights = _by_list(lists, sizes).groupBy("node").agg(F.sum("size").alias("w"))
     return lists.join(weights, "node")
 
 
 def _star_pairs(lists: DataFrame) -> DataFrame:
     """(x, y) of a list's hub, its node of the largest weight, and its members of other classes that may link."""
-    hub = lists.groupBy("token").agg(F.max(F.struct("w", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("pos").alias("px"))).alias("hub")).select("token", "hub.x", "hub.cx", "hub.nx", "hub.px")
+    hub = lists.groupBy("token", "many").agg(F.max(F.struct("w", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("pos").alias("px"))).alias("hub")).select("token", "many", "hub.x", "hub.cx", "hub.nx", "hub.px")
     big, total = "greatest(n, nx)", f"ceil({NUM} * (n + nx) / {NUM + DEN})"
-    near = lists.join(hub, "token").where("comp <> cx").where(f"{NUM} * {big} <= {DEN} * least(n, nx)").where(f"least(px, pos) + least(nx - px, n - pos) >= {total}")
+    near = _by_list(lists, hub).where("comp <> cx").where(f"{NUM} * {big} <= {DEN} * least(n, nx)").where(f"least(px, pos) + least(nx - px, n - pos) >= {total}")
     hits = near.groupBy("x", F.col("node").alias("y"), "n", "nx").agg(F.count(F.lit(1)).alias("hits"))
     # Hubs of other lists can hide some of a pair's entries, so half of least_hits is asked for; the rest is for the merge.
     return hits.where(f"2 * hits >= {total} - ceil({NUM} * {big} / {DEN}) + 1 + {big} div {DEPTH_STEP}").select("x", "y")
@@ -252,8 +259,8 @@ def _merged_pairs(lists: DataFrame) -> DataFrame:
     unit of work. A unit gives, for each query x, the sorted run of its partners
     in that list; runs of one x are heap-merged.
     """
-    sizes = lists.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
-    blocks = lists.join(sizes.where(F.col("size") > 1), "token").withColumn("nb", F.ceil(F.col("size") / BLOCK)).withColumn("i", F.pmod(F.xxhash64("node"), F.col("nb")))
+    sizes = lists.groupBy("token", "many").agg(F.count(F.lit(1)).alias("size"))
+    blocks = _by_list(lists, sizes.where(F.col("size") > 1)).withColumn("nb", F.ceil(F.col("size") / BLOCK)).withColumn("i", F.pmod(F.xxhash64("node"), F.col("nb")))
     units = blocks.select("token", "i", "node", "n", "pos", "comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("j"))
     units = units.select("token", F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v"), "i", "node", "n", "pos", "comp")
     units = units.repartition(spread(lists), "token", "u", "v").sortWithinPartitions("token", "u", "v", "node")
@@ -370,12 +377,12 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple
     first = saved(per_node.agg(F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_key")).alias("_first"), F.count(F.lit(1)).alias("copies")))
     nodes = sketches.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("short").alias("short"))
     lists = saved(_shared_lists(_postings(nodes, levels), levels))
-    stars = _linked(_star_pairs(_weighted(lists.where("many").drop("many")).withColumn("comp", F.col("node"))), docs, first, id_col, text_col, shingle)
+    stars = _linked(_star_pairs(_weighted(lists.where("many")).withColumn("comp", F.col("node"))), docs, first, id_col, text_col, shingle)
     labels = components(stars, "x", "y")
     # Lists within one class are done.
-    now = lists.drop("many").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = now.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("token")
-    open_ = saved(now.join(mixed, "token", "left_semi"))
+    now = lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = now.groupBy("token", "many").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("token", "many")
+    open_ = saved(_by_list(now, mixed, "left_semi"))
     dropped(lists)
     merged = _linked(_merged_pairs(open_), docs, first, id_col, text_col, shingle)
     labels = components(stars.unionByName(merged), "x", "y")
