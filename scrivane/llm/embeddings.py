@@ -260,7 +260,8 @@ def embedding_classes(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: st
     links = found.groupBy("node").agg(F.sum("n").alias("n"))
     labels = components(found.select("node", "to").distinct(), "node", "to")
     by_node = first.join(lowest_of_class(labels, first, "_first"), "node", "left").join(links, "node", "left")
-    by_node = by_node.select("node", F.coalesce("low", "_first").alias("low"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    # Saved, so that the join below has a plain shuffle on both sides and Spark can split the rows of one node.
+    by_node = saved(by_node.select("node", F.coalesce("low", "_first").alias("low"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     out = all_rows.join(by_node, "node", "left")
     own = F.coalesce("low", "_id")
     return out.select(F.col("_id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.col("_id").eqNullSafe(own).alias("kept"))

@@ -403,7 +403,8 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     component of rows without an id is the smallest id among their partners.
     """
     sketches, classes = _classes(docs, id_col, text_col, shingle)
-    by_node = classes.select("node", F.col("low._id").alias("component_id"), "copies")
+    # Saved, so that the join below has a plain shuffle on both sides and Spark can split the rows of one node.
+    by_node = saved(classes.select("node", F.col("low._id").alias("component_id"), "copies"))
     out = sketches.select("_id", "node", "n").join(by_node, "node", "left")
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
