@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrivane.llm import _text as X
-from scrivane.llm._graph import SALTS, components, lowest_of_class
+from scrivane.llm._graph import SALTS, components, lowest_of_class, with_class
 from scrivane.llm._kit import dropped, released, saved, spread, table
 
 SHINGLE = 5
@@ -327,8 +327,8 @@ def _linked(pairs: DataFrame, docs: DataFrame, first: DataFrame, id_col: str, te
     Sets are made anew from the texts of the pairs' documents. A hub's members
     come in groups of about PROBES, each with a copy of the hub's set.
     """
-    degree = pairs.groupBy("x").agg(F.count(F.lit(1)).alias("_d"))
-    dealt = pairs.join(degree, "x").withColumn("_parts", F.ceil(F.col("_d") / PROBES)).select("x", "y", F.pmod(F.xxhash64("y"), F.col("_parts")).alias("part"))
+    hot = pairs.groupBy("x").agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > PROBES).select(F.col("x").alias("comp"), F.ceil(F.col("_d") / PROBES).alias("_parts"))
+    dealt = with_class(pairs.withColumnRenamed("x", "comp"), hot, "y").select(F.col("comp").alias("x"), "y", F.pmod(F.xxhash64("y"), F.coalesce("_parts", F.lit(1))).alias("part"))
     dealt = saved(dealt)
     wanted = dealt.select(F.col("x").alias("node")).union(dealt.select("y")).distinct()
     where = first.join(wanted, "node").select("_first._key", "node")
