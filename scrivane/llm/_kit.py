@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,24 +19,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def released(df: DataFrame) -> DataFrame:
-    """``df`` so that its own shuffle files go as soon as an action on it ends; the setting of the session stays as it is."""
-    conf = df.sparkSession.conf
-    was = conf.get(_CLEANUP)
-    conf.set(_CLEANUP, "true")
+@contextmanager
+def _releasing(spark: SparkSession) -> Iterator[None]:
+    """Sets _CLEANUP for a while; the setting of the session stays as it is."""
+    was = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
     try:
-        return df.select("*")
+        yield
     finally:
-        conf.set(_CLEANUP, was)
+        spark.conf.set(_CLEANUP, was)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` through the cluster's shared checkpoint folder, and let go of the shuffle files behind it.
+def released(df: DataFrame) -> DataFrame:
+    """``df`` so that its own shuffle files go as soon as an action on it ends."""
+    with _releasing(df.sparkSession):
+        return df.select("*")
+
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session
-    without that setting (tests, a laptop) gets a temporary folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, made from its ``spark.checkpoint.dir``.
+
+    Only a local session without that setting (tests, a laptop) gets a temporary folder.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = sc.getConf().get("spark.checkpoint.dir", "")
         if not where:
@@ -41,9 +49,23 @@ def saved(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             where = tempfile.mkdtemp(prefix="scrivane-")
         sc.setCheckpointDir(where)
+    return sc.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` through the cluster's shared checkpoint folder, and let go of the shuffle files behind it."""
+    shared_folder(df.sparkSession)
     return released(df).checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet into the shared checkpoint folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    with _releasing(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def dropped(*frames: DataFrame) -> None:
     """Delete the checkpoints of ``frames``, results of saved() that nothing reads any more."""
     for df in frames:

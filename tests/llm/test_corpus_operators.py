@@ -70,8 +70,10 @@ def edited(base, rng, words, n):
     return " ".join(w)
 
 
-def test_jaccard_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("probes", [2, jaccard.PROBES])
+def test_jaccard_equals_brute_force(spark, monkeypatch, probes):
     monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "PROBES", probes)
     rng = np.random.default_rng(11)
     words = [f"w{i}" for i in range(400)]
     passage = " ".join(rng.choice(words, 60))
