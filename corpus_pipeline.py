@@ -2,8 +2,9 @@
 
 Each stage takes what its predecessor kept and returns documents with the same
 columns; the last returns the packed pieces. run() writes every stage's result
-to the cluster's shared folder, so a stage is computed once. The stages set the
-session's Arrow batches to 8 MB, unless it has a size of its own.
+as Parquet to the cluster's shared folder and rereads it, so a stage is computed
+once. The stages set the session's Arrow batches to 8 MB, unless it has a size of
+its own.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from scrivane.llm import jaccard, language, mixing, packing, quality
-from scrivane.llm._kit import lean_batches, saved, table
+from scrivane.llm._kit import lean_batches, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,5 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = saved(docs)
+            docs = stored(docs)
     return docs
