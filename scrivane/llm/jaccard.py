@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from scrivane.llm import _text as X
 from scrivane.llm._graph import SALTS, components, lowest_of_class, with_class
-from scrivane.llm._kit import dropped, released, saved, spread, table
+from scrivane.llm._kit import dropped, lean_batches, released, saved, spread, table
 
 SHINGLE = 5
 #: The similarity as a fraction.
@@ -430,4 +430,5 @@ def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    lean_batches(spark)
     return jaccard_classes(table(spark, sf_dir, "documents")).drop("copies")
