@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivane.llm import embeddings, jaccard, language, licenses, mixing, packing, quality, sharding, toxicity, urls
+from scrivane.llm import embeddings, jaccard, language, licenses, mixing, negatives, packing, quality, records, sharding, spelling, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,9 +23,12 @@ def queries() -> dict[str, Query]:
         sharding.op8_interleaved_shards,
         licenses.op9_license_scan,
         jaccard.op10_jaccard_join,
+        records.op11_token_records,
+        spelling.op12_spelling_variants,
+        negatives.op13_hard_negatives,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**urls.SQL, **licenses.SQL}
+    return {**urls.SQL, **licenses.SQL, **negatives.SQL}
