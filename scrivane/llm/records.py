@@ -15,8 +15,9 @@ record fit. A file is written under the name of its attempt and renamed when it
 whole; the manifest comes last and names the files of the committed job only, so
 what a lost or repeated task leaves behind is never read.
 
-``df.write.format("token_records")`` takes (key string, ids binary) and writes one
-file for each partition, in the order of the rows; ``spark.read.format(...)`` deals
+``df.write.format("token_records")`` takes key (string) and ids (binary), or key and
+text, which it encodes by its options ``tokenizer`` and ``end``, and writes one file
+for each partition, in the order of the rows; ``spark.read.format(...)`` deals
 ranges of records to tasks by the index and gives key, file, number, start (tokens
 of all records before it) and ids as unsigned 32-bit numbers. A record can be read
 alone by read_record(). The index is what a shuffled reader needs.
@@ -30,6 +31,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -111,8 +113,8 @@ class Range(InputPartition):
 class RecordWriter(DataSourceArrowWriter):
     """Writes a new folder, or with ``overwrite`` replaces one; readers see the old records until the new ones are committed."""
 
-    def __init__(self, path: str, overwrite: bool):
-        self.path, self.before = path, []
+    def __init__(self, path: str, overwrite: bool, tokenizer: str | None, end: int):
+        self.path, self.tokenizer, self.end, self.before = path, tokenizer, end, []
         try:
             self.before = manifest(path)
         except ValueError:
@@ -124,13 +126,14 @@ class RecordWriter(DataSourceArrowWriter):
         file, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         store, at = _store(self.path)
         store.create_dir(at, recursive=True)
+        encode, end = _encoder(self.tokenizer).encode if self.tokenizer else None, np.array([self.end], "<u4").tobytes()
         names = (f"part-{file:06d}-{attempt}.rec", f"part-{file:06d}-{attempt}.idx")
         offset, records, tokens = len(MAGIC), 0, 0
         with store.open_output_stream(f"{at}/_{names[0]}") as data, store.open_output_stream(f"{at}/_{names[1]}") as index:
             data.write(MAGIC)
             for batch in iterator:
-                for key, ids in zip(batch.column("key"), batch.column("ids"), strict=True):
-                    found = np.frombuffer(ids.as_py() or b"", "<u4")
+                for key, value in zip(batch.column("key"), batch.column("text" if encode else "ids"), strict=True):
+                    found = np.frombuffer(encode(value.as_py()) + end if encode else value.as_py() or b"", "<u4")
                     record = framed(payload(key.as_py(), found))
                     data.write(record)
                     index.write(ENTRY.pack(offset, tokens))
@@ -213,7 +216,7 @@ class RecordReader(DataSourceReader):
 
 
 class TokenRecords(DataSource):
-    """The data source ``token_records``; see the module. Options: ``path``, and ``range``, the records that a task reads."""
+    """The data source ``token_records``; see the module. Options: ``path``; to read, ``range``, the records that a task reads; to write texts, ``tokenizer``, a tokenizers file, and ``end``, the id after each text."""
 
     @classmethod
     def name(cls) -> str:
@@ -226,7 +229,10 @@ class TokenRecords(DataSource):
         return RecordReader(self.options["path"], int(self.options.get("range", RANGE)))
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return RecordWriter(self.options["path"], overwrite)
+        coded = "ids" not in schema.names
+        if {*schema.names} != {"key", "text" if coded else "ids"}:
+            raise ValueError("rows of key and ids, or of key and text, are needed")
+        return RecordWriter(self.options["path"], overwrite, self.options["tokenizer"] if coded else None, int(self.options.get("end", 2)))
 
 
 def read_record(path: str, file: int, number: int) -> tuple[str | None, np.ndarray]:
@@ -243,66 +249,76 @@ def read_record(path: str, file: int, number: int) -> tuple[str | None, np.ndarr
         return parsed(unframed(f, f"{m['data']}, record {number}"))
 
 
+class _Known(dict):
+    """Ids of stretches; two generations of MOST_HELD each, so that common ones stay."""
+
+    MOST_HELD, LONGEST = 3 << 17, 64
+
+    def __init__(self, ids):
+        self.ids, self.old = ids, {}
+
+    def __missing__(self, stretch: str) -> bytes:
+        found = self.old.get(stretch)
+        if found is None:
+            found = array("I", self.ids(stretch)).tobytes()
+        if len(stretch) <= self.LONGEST:
+            if len(self) >= self.MOST_HELD:
+                self.old = dict(self)
+                self.clear()
+            self[stretch] = found
+        return found
+
+
 class Remembering(Encoder):
-    """The tokenizers library's ids, with a memory of the stretches between white space.
+    """The tokenizers library's ids, with a memory of the stretches that texts are made of.
 
     A byte-level pre-tokeniser with its usual pattern never joins a character and
-    white space after it, so a text's ids are those of its stretches (white space
-    and what follows it) one after another, and each distinct stretch is encoded
-    once. Tokenisers of other kinds, and texts with a special token that has white
-    space in it, are encoded whole.
+    white space after it, letters and a following mark, or a single line feed and the
+    letters after it. So a text's ids are those of its stretches, cut there, one after
+    another, and a stretch is encoded once as long as it is remembered; one of letters
+    alone is a single pre-token and goes straight to the merges. Tokenisers of other
+    kinds, and texts that hold a special token, are encoded whole.
     """
 
-    MOST_HELD, LONGEST = 1 << 18, 64
-    _stretch = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+    _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+    #: ASCII but letters and the apostrophe, which can begin a contraction.
+    _AFTER = "\\x00-&(-@\\[-`{-\\x7f"
+    _stretch = re.compile(f"\\n(?=[{_LETTER}])| ?[{_LETTER}]+(?=[{_AFTER}]|\\Z)|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+    _word = re.compile(f" ?[{_LETTER}]+")
 
     def __init__(self, path: str):
         super().__init__(path)
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
-        before = kind.get("pre_tokenizer") or {}
-        self.cuts = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and kind.get("normalizer") is None and kind["model"].get("type") == "BPE" and not kind["model"].get("dropout")
-        self.whole = [t["content"] for t in kind.get("added_tokens") or [] if t.get("lstrip") or t.get("rstrip") or t.get("single_word") or re.search(f"[{_SPACE}]", t["content"])]
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        before, model = kind.get("pre_tokenizer") or {}, kind["model"]
+        self.cuts = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and kind.get("normalizer") is None and model.get("type") == "BPE" and not model.get("dropout") and not model.get("end_of_word_suffix") and not model.get("continuing_subword_prefix")
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # How the library writes each byte of Latin-1's characters in UTF-8.
+        split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.written = {b: split.pre_tokenize_str(chr(b))[0][0] for b in range(128)} | {b: split.pre_tokenize_str(bytes([0xC3, b]).decode())[0][0][1] for b in range(0x80, 0xC0)} | {0xC3: split.pre_tokenize_str("é")[0][0][0]}
+        self.known = _Known(self._ids)
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _ids(self, stretch: str) -> list[int]:
+        if self.cuts and self._word.fullmatch(stretch):
+            return [t.id for t in self.tokenizer.model.tokenize(stretch.encode().decode("latin-1").translate(self.written))]
+        return self.tokenizer.encode(stretch, add_special_tokens=False).ids
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.cuts or any(s in text for s in self.whole):
-            return self._plain([text])[0]
-        return b"".join(self._part(p) for p in self.parts(text))
-
-    def _part(self, text: str) -> bytes:
-        stretches = self._stretch.findall(text)
-        known = self.known
-        new = [s for s in set(stretches) if s not in known]
-        if new:
-            if len(known) + len(new) > self.MOST_HELD:
-                known.clear()
-                new = list(set(stretches))
-            short = [s for s in new if len(s) <= self.LONGEST]
-            known.update(zip(short, self._plain(short), strict=True))
-            long = {s: self._plain([s])[0] for s in new if len(s) > self.LONGEST}
-            if long:
-                return b"".join([known[s] if s in known else long[s] for s in stretches])
-        return b"".join([known[s] for s in stretches])
+        if not self.cuts or any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(b"".join(map(self.known.__getitem__, self._stretch.findall(p))) for p in self.parts(text))
 
 
 _remembering: dict[str, Remembering] = {}
 
 
-def _encoder(path: str | None) -> Remembering:
-    if path is None:
-        import public_tokenizers
-
-        path = public_tokenizers.path("byte_bpe_50k.json")
+def _encoder(path: str) -> Remembering:
     if path not in _remembering:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _remembering[path] = Remembering(path)
@@ -322,15 +338,10 @@ def write_token_records(docs: DataFrame, path: str, *, id_col: str = "doc_id", t
 
     Texts are shuffled once, by ranges of ids; one task writes one file.
     """
-    end = np.array([end_id], "<u4").tobytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(tokenizer)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                yield pa.record_batch([batch.column(0), pa.array([enc.encode(t.as_py()) + end for t in batch.column(1)], pa.binary())], names=["key", "ids"])
+    if tokenizer is None:
+        import public_tokenizers
 
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     spark = docs.sparkSession
     spark.dataSource.register(TokenRecords)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -339,7 +350,7 @@ def write_token_records(docs: DataFrame, path: str, *, id_col: str = "doc_id", t
     # The row's place spreads equal rows over files; which of them comes first does not show.
     placed = rows.withColumns({"h": F.xxhash64("text"), "r": F.monotonically_increasing_id()})
     ordered = placed.repartitionByRange(files, "id", "h", "r").sortWithinPartitions("id", "h", "r")
-    ordered.select(F.col("id").cast("string").alias("key"), "text").mapInArrow(run, "key string, ids binary").write.format(FORMAT).mode("append").save(path)
+    ordered.select(F.col("id").cast("string").alias("key"), "text").write.format(FORMAT).option("tokenizer", tokenizer).option("end", end_id).mode("append").save(path)
 
 
 def read_token_records(spark: SparkSession, path: str, records: int = RANGE) -> DataFrame:
