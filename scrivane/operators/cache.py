@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrivane.operators.snapshots import Conflict, VersionedTable
+
 #: Lookup order of tiers: the object store before local files.
 TIERS = ("s3", "file")
 
@@ -78,62 +80,55 @@ def images_complete(images: DataFrame, expected: DataFrame, key: str = "file_has
     return expected.join(counts, key, "left").select(key, (F.coalesce("_n", F.lit(0)) >= F.col("expected")).alias("complete"))
 
 
-#: Buckets up to which a read names them to the scan.
-MOST_BUCKETS = 256
-
-
 class CacheTable:
-    """A cache as Parquet, partitioned by the first digits of its keys; later entries of a key win."""
-
-    SCHEMA = "cache_key string, tier string, value string, updated_at timestamp, bucket string"
+    """A cache as a versioned table of cache_key, tier, value and updated_at; later entries of a key and tier win.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    Every write publishes a snapshot in one step (see VersionedTable), so a job that
+    dies while it writes or compacts leaves the cache as it was.
+    """
 
-    def _files(self, path: str):
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return hadoop, hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    SCHEMA = "cache_key string, tier string, value string, updated_at timestamp"
 
-    def _raw(self) -> DataFrame:
-        at, files = self._files(self.path)
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path) if files.exists(at) else self.spark.createDataFrame([], self.SCHEMA)
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.table = spark, path, VersionedTable(spark, path, self.SCHEMA, "cache_key")
 
     @staticmethod
-    def _bucket():
-        return F.substring("cache_key", 1, 2).alias("bucket")
-
-    def read(self, keys: DataFrame | None = None) -> DataFrame:
-        """Entries by key and tier; with ``keys`` only theirs, from their buckets' files only. Removed entries (null values) are left out."""
-        rows = self._raw()
-        if keys is not None:
-            wanted = keys.where("cache_key is not null").select("cache_key", self._bucket()).distinct()
-            buckets = [r[0] for r in wanted.select("bucket").distinct().limit(MOST_BUCKETS + 1).collect()]
-            if len(buckets) <= MOST_BUCKETS:
-                rows = rows.where(F.col("bucket").isin(buckets))
-            rows = rows.join(wanted, ["bucket", "cache_key"], "left_semi")
-        return upsert(rows.drop("bucket"), ["cache_key", "tier"], ["updated_at"]).where("value is not null").select("cache_key", "tier", "value", "updated_at")
+    def _last(rows: DataFrame) -> DataFrame:
+        return upsert(rows, ["cache_key", "tier"], ["version", "updated_at", "value"])
+
+    def read(self, keys: DataFrame | None = None, version: int | None = None) -> DataFrame:
+        """Entries by key and tier of the last snapshot or of ``version``; with ``keys`` only theirs, and folders that cannot hold any are not opened. Removed entries (null values) are left out."""
+        wanted = None if keys is None else keys.where("cache_key is not null").select("cache_key").distinct()
+        rows = self.table.rows(self.table.snapshot(version), wanted)
+        return self._last(rows).where("value is not null").select("cache_key", "tier", "value", "updated_at")
 
     def write(self, entries: DataFrame, tier: str = "file") -> None:
-        """Append entries (cache_key, value), one file for a bucket at most; null keys are skipped."""
-        rows = entries.where("cache_key is not null").select("cache_key", F.lit(tier).alias("tier"), "value", F.current_timestamp().alias("updated_at"), self._bucket())
-        rows.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(self.path)
+        """Append entries (cache_key, value); null keys are skipped."""
+        self.table.append(entries.where("cache_key is not null").select("cache_key", F.lit(tier).alias("tier"), "value", F.current_timestamp().alias("updated_at")))
 
     def invalidate(self, keys: DataFrame, tier: str = "file") -> None:
         self.write(keys.select("cache_key").distinct().withColumn("value", F.lit(None).cast("string")), tier)
 
     def clear(self) -> None:
-        self.spark.createDataFrame([], self.SCHEMA).write.mode("overwrite").partitionBy("bucket").parquet(self.path)
+        """Publish a snapshot without entries; older ones stay readable until vacuum()."""
+        while (now := self.table.snapshot()).segments:
+            try:
+                self.table.replace(None, now)
+            except Conflict:
+                continue
 
     def compact(self) -> None:
-        """Rewrite the table with the last entry of each key and tier only, and swap it in; nothing else may write meanwhile."""
-        new, old = self.path.rstrip("/") + ".new", self.path.rstrip("/") + ".old"
-        self.read().withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(new)
-        (at, files), (made, _), (before, _) = self._files(self.path), self._files(new), self._files(old)
-        files.delete(before, True)
-        if files.exists(at):
-            files.rename(at, before)
-        files.rename(made, at)
-        files.delete(before, True)
+        """Put one segment with the last entry of each key and tier in the place of all; entries written meanwhile stay. Where the entries were cleared or compacted meanwhile, nothing is done."""
+        base = self.table.snapshot()
+        if base.segments:
+            last = self._last(self.table.rows(base)).where("value is not null")
+            try:
+                self.table.replace(last.select("cache_key", "tier", "value", "updated_at", "version"), base)
+            except Conflict:
+                return
+
+    def vacuum(self, keep: int = 1, older_than: float = 3600.0) -> list[str]:
+        return self.table.vacuum(keep, older_than)
 
 
 class TieredCache:
