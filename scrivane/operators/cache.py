@@ -169,6 +169,7 @@ def get_or_compute(work: DataFrame, cache: CacheTable, compute: Callable[[DataFr
     Rows without a key are not computed.
     """
     keyed = work.where("cache_key is not null")
-    misses = keyed if bypass else keyed.join(cache.read(keyed).select("cache_key"), "cache_key", "left_anti")
-    cache.write(compute(misses.dropDuplicates(["cache_key"])).where("value is not null").select("cache_key", "value"))
+    one = keyed.dropDuplicates(["cache_key"])
+    misses = one if bypass else one.join(cache.read(keyed).select("cache_key"), "cache_key", "left_anti")
+    cache.write(compute(misses).where("value is not null").select("cache_key", "value"))
     return work.join(cache.read(keyed).select("cache_key", "value"), "cache_key", "left")

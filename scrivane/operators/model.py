@@ -200,6 +200,10 @@ def is_configured(settings: dict[str, str]) -> bool:
     return any(settings.get(k) for k in ("GEMINI_API_KEY", "OPENAI_VISION_API_KEY", "OPENAI_API_KEY", "AZURE_OPENAI_API_KEY", "ANTHROPIC_API_KEY"))
 
 
+def answer_row(result: str | None, error: str | None = None, tries: int = 0, used: tuple[int, int, int] = (0, 0, 0)) -> dict[str, Any]:
+    return {"result": result, "error": error, "tries": tries, "input_tokens": used[0], "output_tokens": used[1], "total_tokens": used[2]}
+
+
 def call_with_retry(model: Model, request: Request, attempts: int) -> dict[str, Any]:
     """One answer as a row. A filtered answer is asked again once, with the fallback prompt; failures are tried again and end as an error."""
     tries, error = 0, None
@@ -212,34 +216,45 @@ def call_with_retry(model: Model, request: Request, attempts: int) -> dict[str,
                 answer = model.call(Request(FALLBACK_PROMPT, request.images))
             u = answer.usage
             i, o = u.get("input_tokens", u.get("prompt_tokens", 0)), u.get("output_tokens", u.get("completion_tokens", 0))
-            return {"result": answer.text, "error": None, "tries": tries, "input_tokens": i, "output_tokens": o, "total_tokens": u.get("total_tokens", i + o)}
+            return answer_row(answer.text, None, tries, (i, o, u.get("total_tokens", i + o)))
         except Exception as e:  # noqa: BLE001  the row carries it
             error = f"{type(e).__name__}: {e}"
-    return {"result": None, "error": error, "tries": tries, "input_tokens": 0, "output_tokens": 0, "total_tokens": 0}
+    return answer_row(None, error, tries)
 
 
 ANSWER = "result string, error string, tries int, input_tokens long, output_tokens long, total_tokens long"
 
 
-def map_model(rows: DataFrame, factory: Callable[[], Model], *, keys: list[str], prompt: str = "prompt", images: str | None = None, known: str | None = None, attempts: int = 2, concurrency: int = CONCURRENCY) -> DataFrame:
+def map_model(rows: DataFrame, factory: Callable[[], Model], *, keys: list[str], prompt: str = "prompt", images: str | list[str] | None = None, load: Callable[[], Callable[..., list[bytes]]] | None = None, known: str | None = None, attempts: int = 2, concurrency: int = CONCURRENCY) -> DataFrame:
     """Call the model for every row; returns the keys with ANSWER's columns, one row each, errors included.
 
-    ``images``: a column of binary, or of an array of binary in order. ``known``: a
-    column whose value, where it is not null, is the answer without a call. Calls of a
-    partition run ``concurrency`` at a time.
+    ``images``: a column of binary, or of an array of binary in order; with ``load``,
+    columns (a path first, as a rule) that it turns into a request's images right
+    before the call, so that no plan carries them. A row whose images cannot be
+    loaded has an error and is not asked about. ``known``: a column whose value,
+    where it is not null, is the answer without a call. Calls of a partition run
+    ``concurrency`` at a time.
     """
-    cols = [*keys, prompt, *([images] if images else []), *([known] if known else [])]
+    shown = [] if images is None else [images] if isinstance(images, str) else list(images)
+    cols = list(dict.fromkeys([*keys, prompt, *shown, *([known] if known else [])]))
     kinds = dict(rows.dtypes)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = factory()
+        model, loader = factory(), load() if load else None
+        given = lambda x: [] if x is None else [bytes(x)] if isinstance(x, bytes | bytearray) else [bytes(b) for b in x]
+
+        def ask(text: str | None, value: str | None, *seen) -> dict[str, Any]:
+            if value is not None and value == value:
+                return answer_row(value)
+            try:
+                pictures = loader(*seen) if loader else given(seen[0]) if seen else []
+            except Exception as e:  # noqa: BLE001  the row carries it
+                return answer_row(None, f"{type(e).__name__}: {e}")
+            return call_with_retry(model, Request(text or "", pictures), attempts)
+
         with ThreadPoolExecutor(concurrency) as pool:
             for part in parts:
-                pictures = [[] if x is None else [bytes(x)] if isinstance(x, bytes | bytearray) else [bytes(b) for b in x] for x in part[images]] if images else [[]] * len(part)
-                requests = [Request(p or "", i) for p, i in zip(part[prompt], pictures, strict=True)]
-                given = [None if v is None or v != v else v for v in part[known]] if known else [None] * len(part)
-                ask = lambda r, v: call_with_retry(model, r, attempts) if v is None else {"result": v, "error": None, "tries": 0, "input_tokens": 0, "output_tokens": 0, "total_tokens": 0}
-                made = list(pool.map(ask, requests, given))
+                made = list(pool.map(ask, part[prompt], part[known] if known else [None] * len(part), *(part[c] for c in shown)))
                 answers = pd.DataFrame(made, columns=[c.split()[0] for c in ANSWER.split(", ")])
                 yield pd.concat([part[keys].reset_index(drop=True), answers], axis=1)
 

@@ -14,16 +14,20 @@ from scrivane.functions import transcript as S
 from scrivane.operators import cache as C
 from scrivane.operators import model as X
 from scrivane.operators import timeline as L
-from scrivane.sources.files import AudioExtractor, FrameDecoder, decode_frames, extract_audio
-from scrivane.sources.images import ImageCodec, PngCodec, prepare_images
+from scrivane.sources.content import Reader, distinct_files, fetch, with_content
+from scrivane.sources.files import AudioExtractor, FrameDecoder, extract_audio, frame_loader
+from scrivane.sources.images import ImageCodec, PngCodec, image_loader
 
 #: Fixed values of a video job: seconds of a video, frames a second, seconds of a chunk.
 MOST_SECONDS, FRAME_RATE, CHUNK_SECONDS = 300, 0.5, 60
 
 
-def process_pages(pages: DataFrame, factory: Callable[[], X.Model], prompt: str = P.DEFAULT_PROMPT, cache: C.CacheTable | None = None) -> DataFrame:
+def process_pages(pages: DataFrame, factory: Callable[[], X.Model], prompt: str = P.DEFAULT_PROMPT, cache: C.CacheTable | None = None, *, images: list[str] | None = None, load: Callable[[], Callable[..., list[bytes]]] | None = None) -> DataFrame:
     """Pages (file_hash, page_number, text, and image where there is one) to assembled documents.
 
+    Images are better not carried: with ``images`` and ``load`` they are made from
+    those columns right before the call (see map_model).
+
     Stored pages of the same file, prompt and page hash are used again; only the
     others go to the model. New answers are written to the cache before anything
     reads them. Pages whose call failed are left out of the document's content
@@ -33,7 +37,7 @@ def process_pages(pages: DataFrame, factory: Callable[[], X.Model], prompt: str
     done = cache.read(base).select("cache_key", F.col("value").alias("result")) if cache else None
     todo = base.join(done.select("cache_key"), "cache_key", "left_anti") if done is not None else base
     keys = ["file_hash", "page_number", "cache_key"]
-    made = X.map_model(todo, factory, keys=keys, images="image" if "image" in pages.columns else None)
+    made = X.map_model(todo, factory, keys=keys, images=images or ("image" if "image" in pages.columns else None), load=load)
     made = made.withColumn("page_content", T.clean(T.strip(F.col("result"))))
     if cache is not None:
         # The call's answers exist once: write them, then read them back.
@@ -55,20 +59,22 @@ def capture_template(documents: DataFrame, factory: Callable[[], X.Model], templ
     return X.map_model(documents.withColumn("prompt", P.template_prompt(F.lit(template), F.col("content"))), factory, keys=[key])
 
 
-def process_videos(videos: DataFrame, segments: DataFrame, factory: Callable[[], X.Model], prompt: str, *, key: str = "video_hash", chunk: float = CHUNK_SECONDS, rate: float = FRAME_RATE, decoder: Callable[[], FrameDecoder] | None = None, content: str = "content") -> DataFrame:
+def process_videos(videos: DataFrame, segments: DataFrame, factory: Callable[[], X.Model], prompt: str, *, key: str = "video_hash", chunk: float = CHUNK_SECONDS, rate: float = FRAME_RATE, decoder: Callable[[], FrameDecoder] | None = None, path: str = "path", reader: Reader = fetch) -> DataFrame:
     """Videos (key, duration, fps) and transcript segments to one answer for each video.
 
     Chunks are independent and run in parallel; each gets the segments that
     overlap it. One chunk's answer is the video's; several are put together by a
-    further call. With a ``decoder`` the chunk's frames are decoded from the
-    video's bytes (column ``content``) and go with its one call; without one the
-    answer comes from the text alone. Returns the key, n_chunks (those answered),
-    failed_chunks, answer and error, one row for each video: a chunk whose frames or
-    call failed is counted, and error is the synthesis' or else the first such chunk's.
+    further call. With a ``decoder`` the task that asks about a chunk reads the video
+    at ``path`` and decodes the chunk's frames; the plan carries paths and frame
+    positions only, and the chunks of a video go to one task, which reads it once.
+    Without one the answer comes from the text alone. Returns the key, n_chunks (those
+    answered), failed_chunks, answer and error, one row for each video: a chunk whose
+    frames or call failed is counted, and error is the synthesis' or else the first
+    such chunk's.
     """
-    chunks = L.chunk_plan(videos.select(key, "duration", "fps"), chunk)
+    chunks = L.chunk_plan(videos.select(key, "duration", "fps", *([F.col(path).alias("_path")] if decoder else [])), chunk)
     frames = F.floor((F.col("end_sec") - F.col("start_sec")) * rate).cast("int")
-    joined = L.overlap_join(chunks.drop("duration", "fps"), segments, key, chunk)
+    joined = L.overlap_join(chunks.drop("duration", "fps", "_path"), segments, key, chunk)
     spoken = L.chunk_transcripts(joined, [key, "chunk_idx"])
     lines = spoken.select(key, "chunk_idx", F.posexplode("segments").alias("p", "s")).select(key, "chunk_idx", "p", S.lrc_line(F.col("s.start"), F.col("s.text")).alias("line"))
     lrc = lines.groupBy(key, "chunk_idx").agg(F.array_sort(F.collect_list(F.struct("p", "line"))).alias("l")).select(key, "chunk_idx", S.prompt_context(S.lrc_document(F.transform("l", lambda x: x["line"]))).alias("context"))
@@ -80,11 +86,10 @@ def process_videos(videos: DataFrame, segments: DataFrame, factory: Callable[[],
         answers = X.map_model(asked, factory, keys=keys)
     else:
         at = L.range_frame_plan(chunks, rate).groupBy(key, "chunk_idx").agg(F.array_sort(F.collect_list("frame_position")).alias("positions"))
-        ranges = at.groupBy(key).agg(F.collect_list(F.struct("chunk_idx", "positions")).alias("ranges"))
-        seen = decode_frames(videos.select(key, content).join(ranges, key), decoder, key=key, content=content).withColumnRenamed("error", "frame_error")
-        # A chunk without its frames is not asked.
-        shown = asked.join(seen, [key, "chunk_idx"], "left").withColumn("known", F.when(F.col("frame_error").isNotNull(), ""))
-        answers = X.map_model(shown, factory, keys=[*keys, "frame_error"], images="images", known="known").withColumn("error", F.coalesce("frame_error", "error"))
+        shown = asked.join(at, [key, "chunk_idx"], "left")
+        # A number of partitions of its own: tasks are few megabytes, but each waits for many calls.
+        shown = shown.repartition(int(videos.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key, "chunk_idx")
+        answers = X.map_model(shown, factory, keys=keys, images=["_path", "positions"], load=frame_loader(decoder, reader=reader))
     folded = L.fold(answers, key, prompt, rate)
     # One pass over the chunks' answers: a single chunk's answer is taken as it is, and where there is none nothing is asked.
     folded = folded.withColumn("answer", F.when(F.col("n_chunks") == 0, "").otherwise(F.col("answer")))
@@ -92,28 +97,30 @@ def process_videos(videos: DataFrame, segments: DataFrame, factory: Callable[[],
     return made.select(key, "n_chunks", "failed_chunks", F.when(F.col("n_chunks") > 0, F.col("result")).alias("answer"), F.coalesce("error", "chunk_error").alias("error"))
 
 
-def process_images(files: DataFrame, factory: Callable[[], X.Model], prompt: str = P.DEFAULT_PROMPT, cache: C.CacheTable | None = None, codec: Callable[[], ImageCodec] = PngCodec) -> DataFrame:
-    """Image files (path, file_hash, content) to documents of one page each; files that cannot be decoded are in ``failed_pages``.
+def process_images(files: DataFrame, factory: Callable[[], X.Model], prompt: str = P.DEFAULT_PROMPT, cache: C.CacheTable | None = None, codec: Callable[[], ImageCodec] = PngCodec, *, reader: Reader = fetch) -> DataFrame:
+    """Image files (path, file_hash) to documents of one page each; files that cannot be read or decoded are in ``failed_pages`` and have no content.
 
     Transparency is laid on white and the longer side is a page's at most. A file
-    that repeats is asked about once.
+    that repeats is asked about once. Files are told apart, and looked up in the
+    cache, by hash and path; the task that asks about one reads and decodes it.
     """
-    made = prepare_images(files, codec).dropDuplicates(["file_hash"])
-    fine = process_pages(made.where("error is null").select("file_hash", "page_number", "text", "image"), factory, prompt, cache)
-    broken = made.where("error is not null").select("file_hash", F.lit(1).cast("long").alias("failed_pages"))
-    return fine.unionByName(broken, allowMissingColumns=True)
+    pages = distinct_files(files, "file_hash").select("file_hash", F.lit(1).alias("page_number"), F.lit("").alias("text"), "path")
+    made = process_pages(pages, factory, prompt, cache, images=["path"], load=image_loader(codec, reader=reader))
+    return made.withColumn("content", F.when(F.col("n_pages") > 0, F.col("content")))
 
 
-def transcribe_videos(videos: DataFrame, cache: C.CacheTable, extractor: Callable[[], AudioExtractor], transcriber: Callable[[], X.Transcriber], *, model: str = "whisper-1", language: str | None = None) -> DataFrame:
-    """Videos (file_hash, path, content) with ``transcript``: the stored one, else one made now and stored; null where that fails.
+def transcribe_videos(videos: DataFrame, cache: C.CacheTable, extractor: Callable[[], AudioExtractor], transcriber: Callable[[], X.Transcriber], *, model: str = "whisper-1", language: str | None = None, reader: Reader = fetch) -> DataFrame:
+    """Videos (file_hash, path) with ``transcript``: the stored one, else one made now and stored; null where that fails.
 
     The key is the file's, the model's and the language's, so a transcript serves
-    every prompt.
+    every prompt. A column ``content`` is left out: videos are read where their
+    audio is extracted, and only those without a stored transcript.
     """
-    work = videos.withColumn("cache_key", K.transcript_key(F.col("file_hash"), F.lit(model), F.lit(language)))
+    work = videos.drop("content").withColumn("cache_key", K.transcript_key(F.col("file_hash"), F.lit(model), F.lit(language)))
 
     def compute(misses: DataFrame) -> DataFrame:
-        spoken = X.map_transcriber(extract_audio(misses, extractor, key="cache_key"), transcriber, key="cache_key", audio="audio", language=language)
+        read = with_content(misses.select("cache_key", "path"), reader=reader)
+        spoken = X.map_transcriber(extract_audio(read, extractor, key="cache_key"), transcriber, key="cache_key", audio="audio", language=language)
         return spoken.select("cache_key", F.when(F.col("response").isNotNull(), S.to_json(S.speech_response(F.col("response")))).alias("value"))
 
     return C.get_or_compute(work, cache, compute).withColumn("transcript", S.parse(F.col("value"))).drop("value", "cache_key")
@@ -129,9 +136,9 @@ def answer_videos(videos: DataFrame, segments: DataFrame, cache: C.CacheTable, f
     """Videos with ``answer``: the stored one of the same file, prompt, rate and transcription, else process_videos', stored first.
 
     ``key`` is the file's hash. An answer with failed chunks is stored like any
-    other; a video without an answer is not.
+    other; a video without an answer is not. A column ``content`` is left out.
     """
-    work = videos.withColumn("cache_key", K.video_key(F.col(key), F.lit(prompt), rate, transcription_model))
+    work = videos.drop("content").withColumn("cache_key", K.video_key(F.col(key), F.lit(prompt), rate, transcription_model))
 
     def compute(misses: DataFrame) -> DataFrame:
         made = process_videos(misses, segments, factory, prompt, key=key, rate=rate, **options)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from scrivane.functions.keys import content_hash
 from scrivane.functions.media import AUDIO_SOURCE_FORMATS, FRAME_SIDE, extension, media_type
 from scrivane.operators.pages import markdown
+from scrivane.sources.content import Loader, Reader, fetch
 
 
 def scan_folder(spark: SparkSession, path: str) -> DataFrame:
@@ -168,6 +169,24 @@ def decode_frames(plan: DataFrame, factory: Callable[[], FrameDecoder], *, key:
     return plan.select(key, content, "ranges").mapInPandas(run, f"`{key}` {kind}, chunk_idx int, images array<binary>, error string")
 
 
+def frame_loader(factory: Callable[[], FrameDecoder], *, reader: Reader = fetch) -> Callable[[], Loader]:
+    """For map_model: a video's path and frame positions (null or none: no images) to the frames; a frame that cannot be decoded is an error."""
+
+    def make() -> Loader:
+        decoder = factory()
+
+        def take(content: bytes, positions) -> list[bytes]:
+            wanted = [] if positions is None else [int(p) for p in positions]
+            images = list(decoder.frames(content, wanted)) if wanted else []
+            if len(images) != len(wanted):
+                raise ValueError(f"{len(images)} of {len(wanted)} frames decoded")
+            return images
+
+        return Loader(take, reader)
+
+    return make
+
+
 class VideoDecoder:
     """Video frames as JPEG, the longer side FRAME_SIDE at most. Needs OpenCV on the workers, which this environment lacks, so it is not exercised by the tests."""
 
@@ -303,6 +322,8 @@ def extract_audio(videos: DataFrame, factory: Callable[[], AudioExtractor], *, k
                 try:
                     if not ok:
                         raise ValueError("unsupported video format")
+                    if raw is None:
+                        raise ValueError("no content")
                     out.append((k, made.audio(bytes(raw)), None))
                 except Exception as e:  # noqa: BLE001  the row carries it
                     out.append((k, None, f"{type(e).__name__}: {e}"))

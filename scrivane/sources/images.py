@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 from typing import Protocol
 
 import numpy as np
@@ -12,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivane.functions import pixels as P
-from scrivane.functions.media import PAGE_SIDE
+from scrivane.functions.media import MOST_BASE64, MOST_IMAGES, PAGE_SIDE, PROVIDER_SIDE, SIDE_ALONE, SIDE_IN_BATCH
+from scrivane.operators.model import Answer, Model, Request
+from scrivane.sources.content import Loader, Reader, fetch
 
 #: Fixed value: quality of encoded JPEG.
 QUALITY = 95
@@ -60,6 +63,61 @@ PREPARED = "page_number int, text string, image binary, media_type string, width
 _NAMES = [c.split()[0] for c in PREPARED.split(", ")]
 
 
+def image_loader(codec: Callable[[], ImageCodec] = PngCodec, *, side: int = PAGE_SIDE, reader: Reader = fetch) -> Callable[[], Loader]:
+    """For map_model: a path to its image, laid on white, fitted to ``side`` and encoded."""
+
+    def make() -> Loader:
+        made = codec()
+        return Loader(lambda content: [made.encode(P.resized(P.flattened(made.decode(content)), side))], reader)
+
+    return make
+
+
+def refused(width: int, height: int, images: int, size: int) -> str | None:
+    """media.image_error for one image of a request: its sides, the request's images, and its encoded bytes."""
+    most = SIDE_IN_BATCH if images > 1 else SIDE_ALONE
+    if images > MOST_IMAGES:
+        return "too many images"
+    if max(width, height) > most:
+        return "dimensions"
+    return "file size" if 4 * -(-size // 3) > MOST_BASE64 else None
+
+
+def within_limits(images: list[bytes], codec: ImageCodec) -> list[bytes]:
+    """A request's images as a hosted model takes them: the longer side PROVIDER_SIDE at most; a ValueError for one beyond the limits.
+
+    Sides are checked as they come, the encoded size as it is sent. An image that
+    needs no change stays as it is.
+    """
+    out = []
+    for raw in images:
+        pixels = codec.decode(raw)
+        high, wide, _ = pixels.shape
+        why = refused(wide, high, len(images), 0)
+        if why is None:
+            sent = raw if max(wide, high) <= PROVIDER_SIDE else codec.encode(P.resized(P.flattened(pixels), PROVIDER_SIDE))
+            why = refused(0, 0, len(images), len(sent))
+            out.append(sent)
+        if why is not None:
+            raise ValueError(f"image refused: {why}")
+    return out
+
+
+class Limited:
+    """A model whose requests' images are fitted and checked before the call; a refused image is the row's error and costs no call."""
+
+    def __init__(self, model: Model, codec: ImageCodec):
+        self.model, self.codec, self.name = model, codec, model.name
+
+    def call(self, request: Request) -> Answer:
+        return self.model.call(replace(request, images=within_limits(request.images, self.codec)))
+
+
+def limited(factory: Callable[[], Model], codec: Callable[[], ImageCodec] = PngCodec) -> Callable[[], Model]:
+    """``factory`` for map_model with the limits of hosted models kept."""
+    return lambda: Limited(factory(), codec())
+
+
 def _prepared(decode: Callable[[], np.ndarray], encode: Callable[[np.ndarray], bytes], side: int) -> tuple:
     try:
         made = P.resized(P.flattened(decode()), side)

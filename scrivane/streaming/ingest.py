@@ -24,13 +24,18 @@ def new_files(spark: SparkSession, path: str, glob: str = "*", per_trigger: int
 def ingest(files: DataFrame, cache: CacheTable, process: Callable[[DataFrame], DataFrame], prompt: str, checkpoint: str) -> StreamingQuery:
     """Process each batch's files that the cache lacks, and store (cache_key, value) as ``process`` returns them.
 
-    A batch that is run again after a failure finds its entries stored and calls
-    nothing twice.
+    ``process`` gets the files' columns but their content, which it reads with
+    with_content() where it needs it, so files are hashed as they are scanned and
+    never shuffled. A batch that is run again after a failure finds its entries
+    stored and calls nothing twice.
     """
 
     def batch(df: DataFrame, _: int) -> None:
-        keyed = df.withColumn("cache_key", cache_key(F.col("file_hash"), F.lit(prompt))).dropDuplicates(["cache_key"])
-        misses = keyed.join(cache.read(keyed).select("cache_key"), "cache_key", "left_anti")
-        cache.write(process(misses))  # in one pass: a check for rows would read the files twice
+        # Kept while the batch runs: every further look at it would read and hash the files again.
+        keyed = df.drop("content").withColumn("cache_key", cache_key(F.col("file_hash"), F.lit(prompt))).dropDuplicates(["cache_key"]).persist()
+        try:
+            cache.write(process(keyed.join(cache.read(keyed).select("cache_key"), "cache_key", "left_anti")))
+        finally:
+            keyed.unpersist()
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -14,6 +14,7 @@ from scrivane.operators import pages as G
 from scrivane.operators import timeline as L
 from scrivane.plans.pipelines import answer_videos, transcribe_videos, transcript_segments
 from scrivane.sources import files as IO
+from scrivane.sources.content import with_content
 
 NS = types.SimpleNamespace
 
@@ -112,15 +113,18 @@ def test_transcripts_are_made_once(spark, tmp_path):
 
     cache = C.CacheTable(spark, str(tmp_path / "c"))
     rows = [("h1", "a.mp4", b"one"), ("h2", "b.MOV", b"silent"), ("h3", "c.mkv", b"deaf"), ("h4", "d.pdf", b"no video"), (None, "e.mp4", b"none")]
-    videos = spark.createDataFrame(rows, "file_hash string, path string, content binary")
+    for _, name, content in rows:
+        (tmp_path / name).write_bytes(content)
+    videos = spark.createDataFrame([(h, f"{tmp_path}/{name}") for h, name, _ in rows], "file_hash string, path string")
+    named = lambda found: {r["path"].rsplit("/", 1)[1]: r for r in found.collect()}
     for _ in range(2):
-        got = {r["path"]: r["transcript"] for r in transcribe_videos(videos, cache, Tracks, Counting, language="en").collect()}
+        got = {p: r["transcript"] for p, r in named(transcribe_videos(videos, cache, Tracks, Counting, language="en")).items()}
         assert got["a.mp4"]["segments"][0]["text"] == "mp3:one" and got["a.mp4"]["language"] == "en" and got["a.mp4"]["full_text"] == "t" and len(got["a.mp4"]["segments"]) == 1
         assert got["b.MOV"] is got["c.mkv"] is got["d.pdf"] is got["e.mp4"] is None
     assert calls.value == 1 + 1 + 1  # one, and the failing one twice
     made = transcript_segments(transcribe_videos(videos, cache, Tracks, Counting, language="en"), "file_hash").collect()
     assert [tuple(r) for r in made] == [("h1", 0, 0.0, 2.5, "mp3:one")]
-    errors = {r["path"]: r["audio_error"] for r in IO.extract_audio(videos, Tracks, key="path").collect()}
+    errors = {p: r["audio_error"] for p, r in named(IO.extract_audio(with_content(videos), Tracks, key="path")).items()}
     assert errors == {"a.mp4": None, "b.MOV": "ValueError: no audio track", "c.mkv": None, "d.pdf": "ValueError: unsupported video format", "e.mp4": None}
 
 

@@ -134,7 +134,7 @@ def test_each_chunk_is_called_once(spark):
     assert got == {"a": 1, "b": 3} and calls.value == 1 + 3 + 1
 
 
-def test_frames_reach_the_model_and_failures_stay(spark):
+def test_frames_reach_the_model_and_failures_stay(spark, tmp_path):
     class Frames:
         def frames(self, content, positions):
             if content == b"bad" or content == b"half" and positions[0] > 0:
@@ -148,15 +148,19 @@ def test_frames_reach_the_model_and_failures_stay(spark):
             return X.Answer(b"".join(request.images).decode() or "synthesis")
 
     rows = [("a", 6.0, 25.0, b"one"), ("b", 66.0, 10.0, b"two"), ("c", 66.0, 10.0, b"half"), ("d", 66.0, 10.0, b"bad"), ("e", 6.0, 25.0, b"deaf"), ("f", 1.0, 25.0, b"short")]
-    videos = spark.createDataFrame(rows, "k string, duration double, fps double, content binary")
+    for k, _, _, content in rows:
+        (tmp_path / k).write_bytes(content)
+    rows = [(k, d, f, f"file:{tmp_path}/{k}") for k, d, f, _ in rows] + [("g", 6.0, 25.0, f"{tmp_path}/none")]
+    videos = spark.createDataFrame(rows, "k string, duration double, fps double, path string")
     segments = spark.createDataFrame([], "k string, seg_idx int, start double, end double, text string")
     got = {r["k"]: tuple(r)[1:] for r in process_videos(videos, segments, Showing, "P", key="k", decoder=Frames).collect()}
     assert got["a"] == (1, 0, "one@0;one@50;one@100;", None) and got["b"] == (2, 0, "synthesis", None) and got["f"] == (1, 0, "synthesis", None)
     assert got["c"][:3] == (1, 1, "synthesis") and got["c"][3] == "ValueError: broken"
     assert got["d"] == (0, 2, None, "ValueError: broken") and got["e"] == (0, 1, None, "RuntimeError: no")
+    assert got["g"][:3] == (0, 1, None) and got["g"][3].startswith("FileNotFoundError")
     # Without frames: a video whose chunks all fail stays too.
     none = process_videos(videos, segments, Showing, "FAIL", key="k").collect()
-    assert len(none) == 6 and all(r["n_chunks"] == 0 and r["failed_chunks"] > 0 and r["answer"] is None and r["error"] == "RuntimeError: no" for r in none)
+    assert len(none) == 7 and all(r["n_chunks"] == 0 and r["failed_chunks"] > 0 and r["answer"] is None and r["error"] == "RuntimeError: no" for r in none)
 
 
 def test_capture_template(spark):

@@ -4,6 +4,7 @@ from scrivane.operators import cache as C
 from scrivane.operators import model as X
 from scrivane.plans.pipelines import process_pages
 from scrivane.sources import files as IO
+from scrivane.sources.content import with_content
 from scrivane.streaming.ingest import ingest, new_files
 
 
@@ -43,7 +44,8 @@ def test_stream_processes_each_file_once(spark, tmp_path):
             return super().call(request)
 
     def process(files):
-        pages = IO.decode_pages(files, IO.TextDecoder).where("error is null").drop("image")
+        assert "content" not in files.columns
+        pages = IO.decode_pages(with_content(files), IO.TextDecoder).where("error is null").drop("image")
         made = process_pages(pages, Counting, "p")
         return files.select("file_hash", "cache_key").join(made, "file_hash").select("cache_key", F.to_json(F.struct("content")).alias("value"))
 
