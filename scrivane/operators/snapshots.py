@@ -120,8 +120,9 @@ class Folder:
             return False
         return True
 
-    def delete(self, name: str) -> None:
-        self.files.delete(self._at(name), True)
+    def delete(self, name: str) -> bool:
+        """False where there was nothing of that name."""
+        return bool(self.files.delete(self._at(name), True))
 
 
 def bucket_of(key: Column) -> Column:

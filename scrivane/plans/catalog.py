@@ -9,6 +9,7 @@ and in its SQL alike.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,11 +21,14 @@ from scrivane.functions import prompts as P
 from scrivane.functions import requests as R
 from scrivane.functions import text as T
 from scrivane.functions import transcript as S
+from scrivane.functions.pixels import PNG_START
 from scrivane.operators import cache as C
 from scrivane.operators import model as X
 from scrivane.operators import pages as G
 from scrivane.operators import timeline as L
 from scrivane.sources import files as IO
+from scrivane.sources.content import work_folder
+from scrivane.sources.page_store import PageStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 _made: dict[str, tuple[Query, str | None]] = {}
@@ -265,6 +269,34 @@ def images_complete(spark, sf_dir):
     return C.images_complete(images, c.select(F.col("conv_id").alias("file_hash"), F.lit(4).alias("expected")).distinct())
 
 
+@query("""WITH e AS (SELECT sha256(CAST(doc_id AS VARCHAR)) AS cache_key, lang, source, sha256(text) AS h FROM documents)
+SELECT cache_key, 'file' AS tier, CASE WHEN lang = 'de' THEN 'later ' || h ELSE h END AS value FROM e WHERE source IS DISTINCT FROM 'src7'""")
+def cache_versions(spark, sf_dir):
+    """A cache after writing, writing again, compacting and invalidating, looked up by keys that it holds and keys that it lacks."""
+    d = _table(spark, sf_dir, "documents").select(F.sha2(F.col("doc_id").cast("string").cast("binary"), 256).alias("cache_key"), "lang", "source", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
+    cache = C.CacheTable(spark, work_folder(spark, f"cache-{uuid.uuid4().hex}"))
+    cache.write(d.select("cache_key", F.col("h").alias("value")))
+    cache.write(d.where("lang = 'de'").select("cache_key", F.concat(F.lit("later "), "h").alias("value")))
+    cache.compact()
+    cache.invalidate(d.where("source = 'src7'"))
+    asked = d.select("cache_key").union(_table(spark, sf_dir, "pages").select(F.col("url").alias("cache_key")))
+    return cache.read(asked).select("cache_key", "tier", "value")
+
+
+@query("""WITH p AS (SELECT sha256(CAST(conv_id AS VARCHAR)) AS file_hash, 'p' || turn AS page_hash, 16 + octet_length(encode(text)) AS length, role FROM conversations),
+n AS (SELECT file_hash, count(*) AS expected, count(*) FILTER (role <> 'system') AS stored, CAST(sum(length) FILTER (role <> 'system') AS BIGINT) AS bytes FROM p GROUP BY file_hash)
+SELECT file_hash, coalesce(stored, 0) AS stored, bytes, stored >= expected AS complete FROM n""")
+def page_store(spark, sf_dir):
+    """Turns as page images in a store: stored, found again through its index, and counted."""
+    c = _table(spark, sf_dir, "conversations").select(F.sha2(F.col("conv_id").cast("string").cast("binary"), 256).alias("file_hash"), F.concat(F.lit("p"), "turn").alias("page_hash"), "text", "role")
+    image = F.concat(F.lit(PNG_START), F.col("text").cast("binary"), F.lit(b"IEND0000"))
+    store = PageStore(spark, work_folder(spark, f"images-{uuid.uuid4().hex}"))
+    store.add(c.where("role <> 'system'").select("file_hash", "page_hash", image.alias("image")))
+    expected = c.groupBy("file_hash").agg(F.count(F.lit(1)).alias("expected"))
+    whole = store.lookup(c).join(store.index(), ["file_hash", "page_hash"]).groupBy("file_hash").agg(F.count(F.lit(1)).alias("stored"), F.sum("length").alias("bytes"))
+    return store.complete(expected).join(whole, "file_hash", "left").select("file_hash", F.coalesce("stored", F.lit(0)).alias("stored"), "bytes", "complete")
+
+
 # Timelines: users are videos, events are segments.
 
 

@@ -7,9 +7,11 @@ column of the same stage, loaders inside a model call.
 
 from __future__ import annotations
 
+import os
 import re
 import threading
 from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,15 +22,23 @@ Reader = Callable[[str], bytes]
 BATCH_BYTES = 32 << 20
 
 
-def fetch(path: str) -> bytes:
-    """The bytes of a file of any store that the Arrow file systems reach, by the path that Spark gives it."""
+def store_of(path: str) -> tuple[Any, str]:
+    """The Arrow file system of a path as Spark writes it, and the path in it."""
     from pyarrow import fs
 
     if re.match(r"file:/|/", path) or "://" not in path:
-        with open(re.sub(r"^file:/+", "/", path), "rb") as f:
-            return f.read()
-    store, at = fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path))
-    with store.open_input_file(at) as f:
+        return fs.LocalFileSystem(), os.path.abspath(re.sub(r"^file:/+", "/", path))
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path))
+
+
+def opened(path: str):
+    """A file of any store that the Arrow file systems reach, for reading at any place."""
+    store, at = store_of(path)
+    return store.open_input_file(at)
+
+
+def fetch(path: str) -> bytes:
+    with opened(path) as f:
         return f.read()
 
 

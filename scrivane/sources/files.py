@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import shutil
 import subprocess
 import tempfile
@@ -278,13 +277,6 @@ def delete_object(spark: SparkSession, path: str) -> bool:
         return False
 
 
-def clear_page_images(spark: SparkSession, base: str, file_hash: str) -> bool:
-    """Drop the stored page images of one file after it was processed; False where there were none."""
-    if not re.fullmatch(r"[\w-]+", file_hash):
-        raise ValueError("a file hash has letters and digits only")
-    return delete_object(spark, f"{base.rstrip('/')}/{file_hash}")
-
-
 class AudioExtractor(Protocol):
     """Takes the audio track out of a video's bytes; raises where there is none."""
 

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from scrivane.functions import pixels as P
 from scrivane.functions.media import MOST_BASE64, MOST_IMAGES, PAGE_SIDE, PROVIDER_SIDE, SIDE_ALONE, SIDE_IN_BATCH
 from scrivane.operators.model import Answer, Model, Request
-from scrivane.sources.content import Loader, Reader, fetch
+from scrivane.sources.content import Loader, Reader, fetch, with_content
+from scrivane.sources.page_store import PageStore
 
 #: Fixed value: quality of encoded JPEG.
 QUALITY = 95
@@ -166,38 +167,7 @@ def prepare_pixels(scanned: DataFrame, encode: Callable[[], ImageCodec] = PngCod
     return scanned.select("path", "width", "height", "channels", "data").mapInPandas(run, "path string, " + PREPARED)
 
 
-def stored_images(spark: SparkSession, base: str) -> DataFrame:
-    """Whole page images below ``base`` (``<file_hash>/<page_hash>.png``): file_hash, page_hash, image. Cut or foreign files are left out."""
-    pattern = r"/([^/]+)/([^/]+)\.png$"
-    at = spark._jvm.org.apache.hadoop.fs.Path(base)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        return spark.createDataFrame([], "file_hash string, page_hash string, image binary")
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").option("recursiveFileLookup", "true").load(base)
-    ends = lambda first, n: F.substring("content", first, n)
-    whole = (ends(1, 8) == F.lit(P.PNG_START)) & (ends(-8, 4) == F.lit(b"IEND"))
-    return found.where(whole).select(F.regexp_extract("path", pattern, 1).alias("file_hash"), F.regexp_extract("path", pattern, 2).alias("page_hash"), F.col("content").alias("image"))
-
-
 def page_images(spark: SparkSession, pages: DataFrame, base: str, raster: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``pages`` (file_hash, page_hash, ...) with their ``image``, read through the store at ``base``.
-
-    ``raster`` makes file_hash, page_hash and image of the pages that it gets, which
-    are those without a whole stored image; what it makes is stored first and then
-    read, so each page is rastered once and a cut file is replaced.
-    """
-    keys = ["file_hash", "page_hash"]
-    wanted = pages.select(*keys).distinct()
-    missing = wanted.join(stored_images(spark, base).select(*keys), keys, "left_anti")
-
-    def store(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from scrivane.sources.files import folder_writer
-
-        for part in parts:
-            for h, p, image in zip(part["file_hash"], part["page_hash"], part["image"], strict=True):
-                files, at = folder_writer(f"{base.rstrip('/')}/{h}")
-                with files.open_output_stream(f"{at}/{p}.png") as f:
-                    f.write(bytes(image))
-            yield pd.DataFrame({"n": [len(part)]})
-
-    raster(missing).where("image is not null").select(*keys, "image").mapInPandas(store, "n long").agg(F.sum("n")).collect()
-    return pages.join(stored_images(spark, base), keys, "left")
+    """``pages`` (file_hash, page_hash, ...) with their ``image``, read through the store at ``base`` (see PageStore.with_paths, which gives paths only)."""
+    read = with_content(PageStore(spark, base).with_paths(pages, raster), path="image_path")
+    return read.select(*pages.columns, F.col("content").alias("image"))

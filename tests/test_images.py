@@ -162,6 +162,6 @@ def test_page_images_are_rastered_once_and_repaired(spark, tmp_path):
     for _ in range(2):
         got = {(r["file_hash"], r["page_hash"]): r["image"] for r in I.page_images(spark, pages, base, raster).collect()}
         assert len(got) == 4 and got["f2", "p2_bad"] is None and bytes(got["f1", "p2_b"]) == image
-    (tmp_path / "img" / "f1" / "p1_a.png").write_bytes(image[:-5])
+    (tmp_path / "img" / "f1" / "f1" / "p1_a.png").write_bytes(image[:-5])
     assert all(r["image"] is not None for r in I.page_images(spark, pages.where("file_hash = 'f1'"), base, raster).collect())
     assert [len(m) for m in made] == [4, 1, 1] and made[2] == [("f1", "p1_a")]

@@ -178,12 +178,9 @@ def test_markdown_files_by_name(spark, tmp_path):
 
 
 def test_deleting(spark, tmp_path):
-    (tmp_path / "img" / "h1").mkdir(parents=True)
-    (tmp_path / "img" / "h1" / "p.png").write_bytes(b"x")
-    assert IO.clear_page_images(spark, str(tmp_path / "img"), "h1") and not (tmp_path / "img" / "h1").exists()
-    assert not IO.clear_page_images(spark, str(tmp_path / "img"), "h1") and not IO.delete_object(spark, "nosuch://a/b")
-    with pytest.raises(ValueError):
-        IO.clear_page_images(spark, str(tmp_path / "img"), "../img")
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    assert IO.delete_object(spark, str(tmp_path / "a")) and not (tmp_path / "a").exists()
+    assert not IO.delete_object(spark, str(tmp_path / "a")) and not IO.delete_object(spark, "nosuch://a/b")
 
 
 def test_strip_equals_python(spark):
