@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +97,37 @@ def crc_of_id(id_col: str, mod: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def gathered(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> pa.Table:
+    """A task's batches as one table, whether Spark calls their columns nullable or not."""
+    held = list(batches)
+    return pa.Table.from_batches(held) if held else schema.empty_table()
+
+
+#: Bytes of a text up to which it is learned from, and of a class's texts that one fit gets, about.
+LONGEST_FITTED, FITTED_BYTES = 4 << 20, 64 << 20
+
+
+def bounded_rows(rows: DataFrame, group: str, id_col: str, text_col: str, most: int | dict[int, int], most_bytes: int = FITTED_BYTES, longest: int = LONGEST_FITTED) -> DataFrame:
+    """``rows`` of picked ids so that one task can hold them, with ``_f``, how many rows each stands for.
+
+    Rows that repeat an id and a text count once, and texts above ``longest`` bytes
+    are left out. Of what is left, each value of ``group`` keeps its rows where they
+    are a quarter more than ``most`` at most and have ``most_bytes`` at most, else as
+    many by a hash of id and text, so an id that repeats with many texts is thinned
+    and not gathered. Sizes are counted in a pass of their own, by hashes and lengths;
+    only kept texts are shuffled.
+    """
+    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
+    marked = rows.withColumns({"_h": F.xxhash64(F.lit("row"), id_col, text_col), "_b": size}).where(F.col("_b") <= longest)
+    sizes = marked.select(group, id_col, "_h", "_b").distinct().groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n"), F.sum("_b").alias("_s"))
+    limit = F.lit(most) if isinstance(most, int) else F.create_map(*(F.lit(x) for pair in most.items() for x in pair))[F.col("_g")]
+    chance = F.least(F.lit(1.0), (limit * 1.25 + 50) / F.col("_n"), F.lit(float(most_bytes)) / F.greatest(F.col("_s"), F.lit(1)))
+    chances = sizes.select("_g", chance.alias("_c"))
+    drawn = F.pmod(F.xxhash64(F.lit("bounded"), "_h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    kept = marked.join(F.broadcast(chances), F.col(group).eqNullSafe(F.col("_g"))).where(drawn < F.col("_c"))
+    return kept.dropDuplicates([group, id_col, "_h"]).select(*rows.columns, (1 / F.col("_c")).alias("_f"))
+
+
 def thinned(ids: DataFrame, group: str, id_col: str, most: int) -> DataFrame:
     """Keep about ``most`` rows of each value of ``group``, chosen by a hash of the id.
 

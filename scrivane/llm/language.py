@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrivane.llm import _text as X
-from scrivane.llm._kit import crc_of_id, table, thinned
+from scrivane.llm._kit import bounded_rows, crc_of_id, gathered, table, thinned
 
 BITS = 16
 #: Documents of each language that its model is counted on, about.
 SAMPLE_PER_LANGUAGE = 1000
 MOST_LANGUAGES = 400
+#: Bytes of a language's texts that the models are counted on, about.
+BYTES_PER_LANGUAGE = 8 << 20
 SMOOTHING = 0.3
 ROUNDS = 8
 #: Log-likelihood that a further language must gain, times the log of the number of words.
@@ -84,7 +86,8 @@ def train_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """Count the models on about ``per_language`` documents of each language, chosen by a hash of their id.
 
     ``docs`` are the rows to learn from; null languages, ids and texts are left
-    out. The sample is counted in one executor task and only the tables reach
+    out. The sample is counted in one executor task (bounded_rows() keeps it to that
+    many rows and to BYTES_PER_LANGUAGE where ids repeat) and only the tables reach
     the driver. Without a usable row there are no languages.
     """
     ids = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_l"))
@@ -92,10 +95,11 @@ def train_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     if names > MOST_LANGUAGES:  # also bounds the picked ids
         raise ValueError(f"more than {MOST_LANGUAGES} languages; merge rare values of {lang_col} first")
     picked = thinned(ids, "_l", "_id", per_language).distinct()
-    sample = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_l"), F.col(text_col).alias("_t")).join(F.broadcast(picked), ["_id", "_l"], "left_semi").select("_t", "_l")
+    sample = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_l"), F.col(text_col).alias("_t")).join(F.broadcast(picked), ["_id", "_l"], "left_semi")
+    sample = bounded_rows(sample, "_l", "_id", "_t", per_language, BYTES_PER_LANGUAGE).select("_t", "_l")
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches), pa.schema([("_t", pa.string()), ("_l", pa.string())]))
+        t = gathered(batches, pa.schema([("_t", pa.string()), ("_l", pa.string())]))
         names, logs = fit(t["_t"].cast(pa.large_string()).combine_chunks(), t["_l"].to_pylist())
         for i, name in enumerate(names):
             yield pa.record_batch([pa.array([name]), pa.array([logs[:, i].tobytes()], pa.binary())], names=["name", "logs"])

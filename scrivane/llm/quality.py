@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrivane.llm import _text as X
-from scrivane.llm._kit import table, thinned
+from scrivane.llm._kit import bounded_rows, gathered, table, thinned
 
 #: Weights of words, of pairs of neighbouring words and of runs of CHAR_N code points: 2**DIM_BITS of each part.
 PARTS, DIM_BITS, CHAR_N = 3, 16, 4
@@ -189,18 +189,19 @@ def fit(texts: pa.Array, labels: np.ndarray, weight: np.ndarray, order: np.ndarr
 def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> tuple[np.ndarray, float, float]:
     """Fit the model on about ``per_class`` labelled rows of each class, chosen by a hash of their id.
 
-    The sample is fitted in one executor task, which holds its texts; only the
-    weights (PARTS * 2**DIM_BITS floats) reach the driver. Repeated labels of an id
+    The sample is fitted in one executor task, which holds its texts; bounded_rows()
+    keeps them to that many and to bounded bytes where ids repeat. Only the weights (PARTS * 2**DIM_BITS floats) reach the driver. Repeated labels of an id
     count once, the smaller label; ids that match no document and null labels
     are left out. Without labels of both classes the model is a constant.
     """
     rated = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg((F.min(label_col) > 0).cast("int").alias("_y"))
     counts = rated.groupBy("_y").agg(F.count(F.lit(1)).alias("_n"))
     ids = thinned(rated, "_y", id_col, per_class).join(F.broadcast(counts), "_y").select(F.col(id_col).alias("_id"), "_y", (F.col("_n") / F.least(F.col("_n"), F.lit(per_class))).alias("_k"))
-    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(ids), "_id").select("_t", "_y", "_k", F.pmod(F.xxhash64(F.lit("fold"), "_id"), F.lit(1 << 20)).alias("_o"))
+    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(ids), "_id")
+    sample = bounded_rows(sample, "_y", "_id", "_t", per_class).select("_t", "_y", (F.col("_k") * F.col("_f")).alias("_k"), F.pmod(F.xxhash64(F.lit("fold"), "_id"), F.lit(1 << 20)).alias("_o"))
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches), pa.schema([("_t", pa.string()), ("_y", pa.int32()), ("_k", pa.float64()), ("_o", pa.int64())]))
+        t = gathered(batches, pa.schema([("_t", pa.string()), ("_y", pa.int32()), ("_k", pa.float64()), ("_o", pa.int64())]))
         t = t.sort_by([("_o", "ascending"), ("_y", "ascending")])
         w, a, c = fit(t["_t"].cast(pa.large_string()).combine_chunks(), t["_y"].to_numpy(), t["_k"].to_numpy(), t["_o"].to_numpy())
         yield pa.record_batch([pa.array([w.tobytes()], pa.binary()), pa.array([a]), pa.array([c])], names=["w", "a", "c"])

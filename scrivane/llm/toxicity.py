@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrivane.llm import _text as X
-from scrivane.llm._kit import crc_of_id, table, thinned
+from scrivane.llm._kit import bounded_rows, crc_of_id, gathered, table, thinned
 from scrivane.llm.jaccard import DEN, NUM, least_overlap, node_of, shingle_sets
 
 OTHER, INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT, QUOTE, END = range(9)
@@ -379,8 +379,9 @@ def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray) -> Model:
 def train_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: dict[int, int] | None = None) -> Model:
     """Fit terminals and weights on about ``sample[label]`` labelled rows of each label, chosen by a hash of their id.
 
-    One executor task holds the sample; the terminals and a few coefficients
-    reach the driver. Repeated labels of an id count once, the larger label;
+    One executor task holds the sample, which bounded_rows() keeps to that many rows
+    and to bounded bytes where ids repeat; the terminals and a few coefficients reach
+    the driver. Repeated labels of an id count once, the larger label;
     null labels and ids without a document are left out. Without toxic rows the
     lexicon is empty and every document gets the same low score.
     """
@@ -390,9 +391,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     parts = [thinned(rated.where(F.col("_y") == y), "_y", id_col, most).withColumn("_m", F.lit(float(most))) for y, most in sample.items()]
     ids = parts[0].unionByName(parts[1]).join(F.broadcast(counts), "_y").select(F.col(id_col).alias("_id"), "_y", (F.col("_n") / F.least(F.col("_n"), F.col("_m"))).alias("_k"))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(ids), "_id").select("_t", "_y", "_k", "_id")
+    rows = bounded_rows(rows, "_y", "_id", "_t", sample).select("_t", "_y", (F.col("_k") * F.col("_f")).alias("_k"), "_id")
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches), pa.schema([("_t", pa.string()), ("_y", pa.int32()), ("_k", pa.float64()), ("_id", pa.int64())]))
+        t = gathered(batches, pa.schema([("_t", pa.string()), ("_y", pa.int32()), ("_k", pa.float64()), ("_id", pa.int64())]))
         t = t.sort_by([("_id", "ascending"), ("_t", "ascending")])
         m = fit(t["_t"].cast(pa.large_string()).combine_chunks(), t["_y"].to_numpy(), t["_k"].to_numpy())
         for text, kind, v in [*((s, kind, v) for kind, found in (("stem", m.stems), ("word", m.words), ("threat", m.threats)) for s, v in found.items()), *((b"%d" % i, "coef", v) for i, v in enumerate(m.coef))]:
