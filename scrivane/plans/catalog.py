@@ -297,6 +297,15 @@ def page_store(spark, sf_dir):
     return store.complete(expected).join(whole, "file_hash", "left").select("file_hash", F.coalesce("stored", F.lit(0)).alias("stored"), "bytes", "complete")
 
 
+@query("""SELECT coalesce(source, 'none') || '/' || doc_id || '.txt' AS key, octet_length(encode(text)) AS size FROM documents""")
+def stored_objects(spark, sf_dir):
+    """Texts as objects of a store, written together and listed by tasks."""
+    d = _table(spark, sf_dir, "documents")
+    path = work_folder(spark, f"objects-{uuid.uuid4().hex}")
+    IO.write_objects(d.select(F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), "doc_id", F.lit(".txt")).alias("key"), F.col("text").alias("content")), path)
+    return IO.list_objects(spark, path).select(F.regexp_extract("key", r"([^/]+/[^/]+)$", 1).alias("key"), "size")
+
+
 # Timelines: users are videos, events are segments.
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import shutil
 import subprocess
 import tempfile
@@ -18,6 +17,7 @@ from scrivane.functions.keys import content_hash
 from scrivane.functions.media import AUDIO_SOURCE_FORMATS, FRAME_SIDE, extension, media_type
 from scrivane.operators.pages import markdown
 from scrivane.sources.content import Loader, Reader, fetch
+from scrivane.sources.objects import list_store, write_objects
 
 
 def scan_folder(spark: SparkSession, path: str) -> DataFrame:
@@ -42,8 +42,7 @@ def listed_objects(objects: DataFrame, prefix: str, key: str = "key") -> DataFra
 
 def list_objects(spark: SparkSession, path: str) -> DataFrame:
     """key and size of all objects below a path, page images left out; contents are not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("key"), F.col("length").alias("size"))
-    return found.where(~F.col("key").contains("/images/"))
+    return list_store(spark, path).where(~F.col("key").contains("/images/")).select("key", "size")
 
 
 class PageDecoder(Protocol):
@@ -231,41 +230,19 @@ class VideoDecoder:
             return {"frame_count": int(n), "fps": fps, "duration": n / fps if fps > 0 else 0.0, "width": int(video.get(cv.CAP_PROP_FRAME_WIDTH)), "height": int(video.get(cv.CAP_PROP_FRAME_HEIGHT))}
 
 
-def folder_writer(uri: str):
-    """The file system and path of a folder, made where it is missing."""
-    from pyarrow import fs
-
-    store, at = fs.FileSystem.from_uri(uri if "://" in uri else "file://" + os.path.abspath(uri))
-    store.create_dir(at, recursive=True)
-    return store, at
-
-
 def write_markdown(documents: DataFrame, path: str, name: str = "file_name") -> DataFrame:
     """Write ``<stem>.md`` for each document under ``path``, a folder or address that all workers reach; returns file_name, path and error.
 
-    Documents that share a stem are an error of theirs and not written, so none overwrites another.
+    Documents that share a stem are an error of theirs and not written, so none
+    overwrites another. The files appear together, once, when all are written.
     """
-    stem = F.regexp_replace(F.col(name), r"\.[^.]*$", "")
-    rows = documents.select(F.col(name).alias("file_name"), stem.alias("stem"), markdown(F.col("pages")).alias("text"))
-    shared = rows.groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, base = folder_writer(path)
-        for part in parts:
-            out = []
-            for file, key, text, n in zip(part["file_name"], part["stem"], part["text"], part["n"], strict=True):
-                at, error = f"{base}/{key}.md", "several documents of this name" if n > 1 else None
-                try:
-                    if error is None:
-                        with store.open_output_stream(at) as f:
-                            f.write(text.encode())
-                except Exception as e:  # noqa: BLE001  the row carries it
-                    error = f"{type(e).__name__}: {e}"
-                out.append((file, at if error is None else None, error))
-            yield pd.DataFrame(out, columns=["file_name", "path", "error"])
-
-    done = rows.join(shared, "stem").mapInPandas(run, "file_name string, path string, error string")
-    return documents.sparkSession.createDataFrame(done.collect(), done.schema)  # writes now, once; one short row for each file
+    key = F.concat(F.regexp_replace(F.col(name), r"\.[^.]*$", ""), F.lit(".md"))
+    names = documents.select(F.col(name).alias("file_name"), key.alias("key"))
+    single = names.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    texts = documents.select(key.alias("key"), markdown(F.col("pages")).alias("content"))
+    done = write_objects(texts.join(single.where("n = 1"), "key", "left_semi"), path)
+    several = F.when(F.col("n") > 1, "several documents of this name")
+    return names.join(single, "key").join(done, "key", "left").select("file_name", "path", F.coalesce("error", several).alias("error"))
 
 
 def delete_object(spark: SparkSession, path: str) -> bool:
