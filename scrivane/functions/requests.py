@@ -7,6 +7,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scrivane.operators.ordered import numbered
+
 #: Fixed value: beginnings of the names of reasoning models.
 REASONING = ("gpt-5", "o1", "o3")
 
@@ -70,10 +72,7 @@ def system_instructions(messages: DataFrame, conv: str = "conv_id", turn: str =
     return messages.groupBy(conv).agg(F.max_by(F.when(system, F.col("text")), F.when(system, F.col(turn))).alias("instructions"), F.count_if(~system).alias("n_inputs"))
 
 
-def labelled_images(images: DataFrame, request: str, position: str) -> DataFrame:
+def labelled_images(images: DataFrame, request: str, position: str, ties: list[str] | None = None) -> DataFrame:
     """Content items of a request's images in order, labelled ``Image n:`` where there are several."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(request)
-    n = F.row_number().over(w.orderBy(position))
-    return images.withColumn("label", F.when(F.count(F.lit(1)).over(w) > 1, F.concat(F.lit("Image "), n.cast("string"), F.lit(":"))))
+    n = numbered(images, request, position, ties=ties, name="_n", total="_of")
+    return n.withColumn("label", F.when(F.col("_of") > 1, F.concat(F.lit("Image "), (F.col("_n") + 1).cast("string"), F.lit(":")))).drop("_n", "_of")

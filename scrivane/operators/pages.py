@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrivane.functions.text import word_count
+from scrivane.operators.ordered import numbered, page_block
 
 
 def selected_pages(indexes: Column, n_pages: Column) -> Column:
@@ -47,12 +48,9 @@ def document_records(assembled: DataFrame, files: DataFrame, doc: str) -> DataFr
 
 def markdown(pages: Column) -> Column:
     """Markdown of an array of page structs."""
-    block = lambda p: F.concat(F.lit("\n===== Page: "), p["page_number"].cast("string"), F.lit(" =====\n\n"), F.coalesce(p["page_content"], F.lit("")), F.lit("\n\n"))
-    return F.array_join(F.transform(pages, block), "")
+    return F.array_join(F.transform(pages, lambda p: page_block(p["page_number"], p["page_content"])), "")
 
 
-def batches(pages: DataFrame, doc: str, order: str, size: int) -> DataFrame:
-    """Adds ``batch``: numbers runs of ``size`` rows of each document in order, from 0."""
-    from pyspark.sql import Window
-
-    return pages.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(doc).orderBy(order)) - 1) / size))
+def batches(pages: DataFrame, doc: str, order: str, size: int, ties: list[str] | None = None) -> DataFrame:
+    """Adds ``batch``: numbers runs of ``size`` rows of each document in order, from 0; a document of any length is spread over tasks."""
+    return numbered(pages, doc, order, ties=ties, name="batch").withColumn("batch", F.floor(F.col("batch") / size))

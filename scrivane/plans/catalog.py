@@ -24,6 +24,7 @@ from scrivane.functions import transcript as S
 from scrivane.functions.pixels import PNG_START
 from scrivane.operators import cache as C
 from scrivane.operators import model as X
+from scrivane.operators import ordered as O
 from scrivane.operators import pages as G
 from scrivane.operators import timeline as L
 from scrivane.sources import files as IO
@@ -178,7 +179,25 @@ def page_selection(spark, sf_dir):
 
 @query("""SELECT conv_id, CAST((row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1) // 3 AS BIGINT) AS batch, turn FROM conversations""")
 def page_batches(spark, sf_dir):
-    return G.batches(_table(spark, sf_dir, "conversations").withColumn("_o", F.struct("turn", "text")), "conv_id", "_o", 3).select("conv_id", "batch", "turn")
+    return G.batches(_table(spark, sf_dir, "conversations"), "conv_id", "turn", 3, ties=["text"]).select("conv_id", "batch", "turn")
+
+
+@query("""WITH p AS (SELECT source, doc_id, row_number() OVER w - 1 AS number, count(*) OVER (PARTITION BY source) AS n_pages,
+ sum(coalesce(length(text), 0) + 1) OVER w - coalesce(length(text), 0) - 1 AS begins FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id, text ROWS UNBOUNDED PRECEDING))
+SELECT source, doc_id, CAST(number AS BIGINT) AS number, CAST(n_pages AS BIGINT) AS n_pages, CAST(begins AS BIGINT) AS begins FROM p""")
+def page_offsets(spark, sf_dir):
+    """A source as one document whose pages are its texts: each page's number, their count, and where its text begins in the document."""
+    d = _table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    n = O.numbered(d, "source", "doc_id", ties=["text"], total="n_pages")
+    at = O.running(n, "source", "doc_id", weight=F.coalesce(F.length("text"), F.lit(0)) + 1, ties=["text"], before="begins")
+    return at.select("source", "doc_id", "number", "n_pages", "begins")
+
+
+@query("""WITH p AS (SELECT source, doc_id, coalesce(text, '') AS c, sum(coalesce(length(text), 0) + 1) OVER (PARTITION BY source ORDER BY doc_id, text ROWS UNBOUNDED PRECEDING) - coalesce(length(text), 0) - 1 AS begins FROM documents)
+SELECT source, CAST(begins // 100000 AS BIGINT) AS part, min(doc_id) AS first_page, max(doc_id) AS last_page, count(*) AS n_pages, string_agg(c, chr(10) ORDER BY begins) AS content FROM p GROUP BY source, begins // 100000""")
+def document_parts(spark, sf_dir):
+    """The same documents, put together in parts of 100,000 characters."""
+    return O.parts(_table(spark, sf_dir, "documents"), "source", "doc_id", "text", most=100_000)
 
 
 @query(f"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '{PROMPT}' ELSE '{PROMPT}' || chr(10) || chr(10)
