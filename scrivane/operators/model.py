@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
+from contextlib import AbstractContextManager, nullcontext
 from dataclasses import dataclass, field
+from queue import SimpleQueue
 from typing import Any, Protocol
 
 import pandas as pd
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 
 from scrivane.functions.pixels import media_type_of
 from scrivane.functions.requests import is_reasoning_name, response_parameters, token_limit
+from scrivane.operators.limits import Leases
 
 #: Fixed value: concurrent calls of a worker.
 CONCURRENCY = 20
@@ -204,16 +208,21 @@ def answer_row(result: str | None, error: str | None = None, tries: int = 0, use
     return {"result": result, "error": error, "tries": tries, "input_tokens": used[0], "output_tokens": used[1], "total_tokens": used[2]}
 
 
-def call_with_retry(model: Model, request: Request, attempts: int) -> dict[str, Any]:
-    """One answer as a row. A filtered answer is asked again once, with the fallback prompt; failures are tried again and end as an error."""
+def call_with_retry(model: Model, request: Request, attempts: int, lease: Callable[[], AbstractContextManager] = nullcontext) -> dict[str, Any]:
+    """One answer as a row. A filtered answer is asked again once, with the fallback prompt; failures are tried again and end as an error.
+
+    Each call holds a ``lease`` of its own, so one that waits for its next attempt keeps none.
+    """
     tries, error = 0, None
     while tries < max(1, attempts):
         tries += 1
         try:
-            answer = model.call(request)
+            with lease():
+                answer = model.call(request)
             if answer.filtered:
                 tries += 1
-                answer = model.call(Request(FALLBACK_PROMPT, request.images))
+                with lease():
+                    answer = model.call(Request(FALLBACK_PROMPT, request.images))
             u = answer.usage
             i, o = u.get("input_tokens", u.get("prompt_tokens", 0)), u.get("output_tokens", u.get("completion_tokens", 0))
             return answer_row(answer.text, None, tries, (i, o, u.get("total_tokens", i + o)))
@@ -222,10 +231,50 @@ def call_with_retry(model: Model, request: Request, attempts: int) -> dict[str,
     return answer_row(None, error, tries)
 
 
+#: Answers that are handed on together, and seconds after which fewer are.
+HANDED_ON, HANDED_ON_SECONDS = 64, 1.0
+
+
+def answered(pool: ThreadPoolExecutor, ask: Callable[..., dict[str, Any]], work: Iterator[tuple[pd.DataFrame, Iterator[tuple]]], most: int) -> Iterator[tuple[pd.DataFrame, list[int], list[dict[str, Any]]]]:
+    """Asks about each batch's rows, ``most`` of them under way at once; gives (batch, row numbers, answers) as they come.
+
+    The next batch is read while calls of earlier ones still run, so a batch has no barrier.
+    """
+    done: SimpleQueue[Future] = SimpleQueue()
+    running: dict[Future, tuple[pd.DataFrame, int]] = {}
+    held: dict[int, tuple[pd.DataFrame, list[int], list[dict[str, Any]]]] = {}
+    n, since = 0, time.monotonic()
+
+    def take() -> Iterator[tuple[pd.DataFrame, list[int], list[dict[str, Any]]]]:
+        nonlocal n, since
+        f = done.get()
+        batch, i = running.pop(f)
+        _, at, made = held.setdefault(id(batch), (batch, [], []))
+        at.append(i)
+        made.append(f.result())
+        n += 1
+        if n >= HANDED_ON or not running or time.monotonic() - since > HANDED_ON_SECONDS:
+            out = list(held.values())
+            held.clear()
+            n, since = 0, time.monotonic()
+            yield from out
+
+    for batch, rows in work:
+        for i, row in enumerate(rows):
+            while len(running) >= most:
+                yield from take()
+            f = pool.submit(ask, *row)
+            running[f] = (batch, i)
+            f.add_done_callback(done.put)
+    while running:
+        yield from take()
+    yield from held.values()
+
+
 ANSWER = "result string, error string, tries int, input_tokens long, output_tokens long, total_tokens long"
 
 
-def map_model(rows: DataFrame, factory: Callable[[], Model], *, keys: list[str], prompt: str = "prompt", images: str | list[str] | None = None, load: Callable[[], Callable[..., list[bytes]]] | None = None, known: str | None = None, attempts: int = 2, concurrency: int = CONCURRENCY) -> DataFrame:
+def map_model(rows: DataFrame, factory: Callable[[], Model], *, keys: list[str], prompt: str = "prompt", images: str | list[str] | None = None, load: Callable[[], Callable[..., list[bytes]]] | None = None, known: str | None = None, attempts: int = 2, concurrency: int = CONCURRENCY, limit: Leases | None = None) -> DataFrame:
     """Call the model for every row; returns the keys with ANSWER's columns, one row each, errors included.
 
     ``images``: a column of binary, or of an array of binary in order; with ``load``,
@@ -233,14 +282,16 @@ def map_model(rows: DataFrame, factory: Callable[[], Model], *, keys: list[str],
     before the call, so that no plan carries them. A row whose images cannot be
     loaded has an error and is not asked about. ``known``: a column whose value,
     where it is not null, is the answer without a call. Calls of a partition run
-    ``concurrency`` at a time.
+    ``concurrency`` at a time, and with ``limit`` (CallLimit.lease) no more than that
+    many at once in all executors. Rows come as they are answered, in any order, so a
+    slow call holds up no other; images are loaded by the thread that asks.
     """
     shown = [] if images is None else [images] if isinstance(images, str) else list(images)
     cols = list(dict.fromkeys([*keys, prompt, *shown, *([known] if known else [])]))
     kinds = dict(rows.dtypes)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, loader = factory(), load() if load else None
+        model, loader, lease = factory(), load() if load else None, limit.taker() if limit else nullcontext
         given = lambda x: [] if x is None else [bytes(x)] if isinstance(x, bytes | bytearray) else [bytes(b) for b in x]
 
         def ask(text: str | None, value: str | None, *seen) -> dict[str, Any]:
@@ -250,13 +301,15 @@ def map_model(rows: DataFrame, factory: Callable[[], Model], *, keys: list[str],
                 pictures = loader(*seen) if loader else given(seen[0]) if seen else []
             except Exception as e:  # noqa: BLE001  the row carries it
                 return answer_row(None, f"{type(e).__name__}: {e}")
-            return call_with_retry(model, Request(text or "", pictures), attempts)
+            return call_with_retry(model, Request(text or "", pictures), attempts, lease)
+
+        def shown_rows(part: pd.DataFrame) -> Iterator[tuple]:
+            return zip(part[prompt], part[known] if known else [None] * len(part), *(part[c] for c in shown), strict=True)
 
         with ThreadPoolExecutor(concurrency) as pool:
-            for part in parts:
-                made = list(pool.map(ask, part[prompt], part[known] if known else [None] * len(part), *(part[c] for c in shown)))
+            for part, at, made in answered(pool, ask, ((p, shown_rows(p)) for p in parts), 2 * concurrency):
                 answers = pd.DataFrame(made, columns=[c.split()[0] for c in ANSWER.split(", ")])
-                yield pd.concat([part[keys].reset_index(drop=True), answers], axis=1)
+                yield pd.concat([part[keys].iloc[at].reset_index(drop=True), answers], axis=1)
 
     return rows.select(*cols).mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + ANSWER)
 

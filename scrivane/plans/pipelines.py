@@ -14,6 +14,7 @@ from scrivane.functions import transcript as S
 from scrivane.operators import cache as C
 from scrivane.operators import model as X
 from scrivane.operators import timeline as L
+from scrivane.operators.limits import Leases
 from scrivane.sources.content import Reader, distinct_files, fetch, with_content
 from scrivane.sources.files import AudioExtractor, FrameDecoder, extract_audio, frame_loader
 from scrivane.sources.images import ImageCodec, PngCodec, image_loader
@@ -22,7 +23,7 @@ from scrivane.sources.images import ImageCodec, PngCodec, image_loader
 MOST_SECONDS, FRAME_RATE, CHUNK_SECONDS = 300, 0.5, 60
 
 
-def process_pages(pages: DataFrame, factory: Callable[[], X.Model], prompt: str = P.DEFAULT_PROMPT, cache: C.CacheTable | None = None, *, images: list[str] | None = None, load: Callable[[], Callable[..., list[bytes]]] | None = None) -> DataFrame:
+def process_pages(pages: DataFrame, factory: Callable[[], X.Model], prompt: str = P.DEFAULT_PROMPT, cache: C.CacheTable | None = None, *, images: list[str] | None = None, load: Callable[[], Callable[..., list[bytes]]] | None = None, limit: Leases | None = None) -> DataFrame:
     """Pages (file_hash, page_number, text, and image where there is one) to assembled documents.
 
     Images are better not carried: with ``images`` and ``load`` they are made from
@@ -31,13 +32,14 @@ def process_pages(pages: DataFrame, factory: Callable[[], X.Model], prompt: str
     Stored pages of the same file, prompt and page hash are used again; only the
     others go to the model. New answers are written to the cache before anything
     reads them. Pages whose call failed are left out of the document's content
-    and counted in ``failed_pages``.
+    and counted in ``failed_pages``. ``limit`` bounds the calls of the whole job
+    (see map_model), as in the other pipelines here.
     """
     base = pages.withColumns({"cache_key": F.concat_ws("_", K.cache_key(F.col("file_hash"), F.lit(prompt)), K.page_hash(F.col("page_number"), F.col("text"))), "prompt": P.page_prompt(F.lit(prompt), F.col("text"))})
     done = cache.read(base).select("cache_key", F.col("value").alias("result")) if cache else None
     todo = base.join(done.select("cache_key"), "cache_key", "left_anti") if done is not None else base
     keys = ["file_hash", "page_number", "cache_key"]
-    made = X.map_model(todo, factory, keys=keys, images=images or ("image" if "image" in pages.columns else None), load=load)
+    made = X.map_model(todo, factory, keys=keys, images=images or ("image" if "image" in pages.columns else None), load=load, limit=limit)
     made = made.withColumn("page_content", T.clean(T.strip(F.col("result"))))
     if cache is not None:
         # The call's answers exist once: write them, then read them back.
@@ -54,12 +56,12 @@ def process_pages(pages: DataFrame, factory: Callable[[], X.Model], prompt: str
     return out.withColumn("content", F.array_join(F.transform("pages", lambda p: F.coalesce(p["page_content"], F.lit(""))), "\n"))
 
 
-def capture_template(documents: DataFrame, factory: Callable[[], X.Model], template: str, key: str = "file_hash") -> DataFrame:
+def capture_template(documents: DataFrame, factory: Callable[[], X.Model], template: str, key: str = "file_hash", limit: Leases | None = None) -> DataFrame:
     """One more call for each document: its content in the form of a template; the answer is the model's text as it is."""
-    return X.map_model(documents.withColumn("prompt", P.template_prompt(F.lit(template), F.col("content"))), factory, keys=[key])
+    return X.map_model(documents.withColumn("prompt", P.template_prompt(F.lit(template), F.col("content"))), factory, keys=[key], limit=limit)
 
 
-def process_videos(videos: DataFrame, segments: DataFrame, factory: Callable[[], X.Model], prompt: str, *, key: str = "video_hash", chunk: float = CHUNK_SECONDS, rate: float = FRAME_RATE, decoder: Callable[[], FrameDecoder] | None = None, path: str = "path", reader: Reader = fetch) -> DataFrame:
+def process_videos(videos: DataFrame, segments: DataFrame, factory: Callable[[], X.Model], prompt: str, *, key: str = "video_hash", chunk: float = CHUNK_SECONDS, rate: float = FRAME_RATE, decoder: Callable[[], FrameDecoder] | None = None, path: str = "path", reader: Reader = fetch, limit: Leases | None = None) -> DataFrame:
     """Videos (key, duration, fps) and transcript segments to one answer for each video.
 
     Chunks are independent and run in parallel; each gets the segments that
@@ -83,21 +85,21 @@ def process_videos(videos: DataFrame, segments: DataFrame, factory: Callable[[],
     asked = asked.withColumn("prompt", text)
     keys = [key, "chunk_idx", "start_sec", "end_sec", "duration"]
     if decoder is None:
-        answers = X.map_model(asked, factory, keys=keys)
+        answers = X.map_model(asked, factory, keys=keys, limit=limit)
     else:
         at = L.range_frame_plan(chunks, rate).groupBy(key, "chunk_idx").agg(F.array_sort(F.collect_list("frame_position")).alias("positions"))
         shown = asked.join(at, [key, "chunk_idx"], "left")
         # A number of partitions of its own: tasks are few megabytes, but each waits for many calls.
         shown = shown.repartition(int(videos.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key, "chunk_idx")
-        answers = X.map_model(shown, factory, keys=keys, images=["_path", "positions"], load=frame_loader(decoder, reader=reader))
+        answers = X.map_model(shown, factory, keys=keys, images=["_path", "positions"], load=frame_loader(decoder, reader=reader), limit=limit)
     folded = L.fold(answers, key, prompt, rate)
     # One pass over the chunks' answers: a single chunk's answer is taken as it is, and where there is none nothing is asked.
     folded = folded.withColumn("answer", F.when(F.col("n_chunks") == 0, "").otherwise(F.col("answer")))
-    made = X.map_model(folded, factory, keys=[key, "n_chunks", "failed_chunks", "chunk_error"], known="answer")
+    made = X.map_model(folded, factory, keys=[key, "n_chunks", "failed_chunks", "chunk_error"], known="answer", limit=limit)
     return made.select(key, "n_chunks", "failed_chunks", F.when(F.col("n_chunks") > 0, F.col("result")).alias("answer"), F.coalesce("error", "chunk_error").alias("error"))
 
 
-def process_images(files: DataFrame, factory: Callable[[], X.Model], prompt: str = P.DEFAULT_PROMPT, cache: C.CacheTable | None = None, codec: Callable[[], ImageCodec] = PngCodec, *, reader: Reader = fetch) -> DataFrame:
+def process_images(files: DataFrame, factory: Callable[[], X.Model], prompt: str = P.DEFAULT_PROMPT, cache: C.CacheTable | None = None, codec: Callable[[], ImageCodec] = PngCodec, *, reader: Reader = fetch, limit: Leases | None = None) -> DataFrame:
     """Image files (path, file_hash) to documents of one page each; files that cannot be read or decoded are in ``failed_pages`` and have no content.
 
     Transparency is laid on white and the longer side is a page's at most. A file
@@ -105,7 +107,7 @@ def process_images(files: DataFrame, factory: Callable[[], X.Model], prompt: str
     cache, by hash and path; the task that asks about one reads and decodes it.
     """
     pages = distinct_files(files, "file_hash").select("file_hash", F.lit(1).alias("page_number"), F.lit("").alias("text"), "path")
-    made = process_pages(pages, factory, prompt, cache, images=["path"], load=image_loader(codec, reader=reader))
+    made = process_pages(pages, factory, prompt, cache, images=["path"], load=image_loader(codec, reader=reader), limit=limit)
     return made.withColumn("content", F.when(F.col("n_pages") > 0, F.col("content")))
 
 
