@@ -30,6 +30,7 @@ from scrivane.operators import timeline as L
 from scrivane.sources import files as IO
 from scrivane.sources.content import work_folder
 from scrivane.sources.page_store import PageStore
+from scrivane.streaming.resume import answer_units, answers_of, fold_units
 
 Query = Callable[[SparkSession, str], DataFrame]
 _made: dict[str, tuple[Query, str | None]] = {}
@@ -200,6 +201,25 @@ def document_parts(spark, sf_dir):
     return O.parts(_table(spark, sf_dir, "documents"), "source", "doc_id", "text", most=100_000)
 
 
+@query("""WITH p AS (SELECT conv_id, row_number() OVER w - 1 AS unit, text, sum(coalesce(length(text), 0) + 1) OVER w - coalesce(length(text), 0) - 1 AS begins, count(*) OVER (PARTITION BY conv_id) AS total
+ FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text ROWS UNBOUNDED PRECEDING))
+SELECT 'c' || conv_id AS file_hash, CAST(begins // 200 AS BIGINT) AS part, CAST(min(unit) AS BIGINT) AS first_unit, CAST(max(unit) AS BIGINT) AS last_unit, count(*) AS n_units, CAST(count(*) FILTER (text IS NULL) AS BIGINT) AS failed_units,
+ string_agg(coalesce(text, ''), chr(10) ORDER BY unit) AS content, max(unit) = max(total) - 1 AS ended FROM p GROUP BY conv_id, begins // 200""")
+def streamed_parts(spark, sf_dir):
+    """Turns as a stream of units out of order, asked about once each through the cache, and put together in parts as they come; the answer is the text itself."""
+    c = O.numbered(_table(spark, sf_dir, "conversations"), "conv_id", "turn", ties=["text"], name="unit", total="total")
+    name = F.concat(F.lit("c"), "conv_id")
+    units = c.select(name.alias("file_hash"), "unit", "total", "text", F.sha2(F.concat_ws("/", "conv_id", "unit").cast("binary"), 256).alias("cache_key"))
+    folder = work_folder(spark, f"units-{uuid.uuid4().hex}")
+    units.repartition(4, F.xxhash64("cache_key")).write.parquet(f"{folder}/units")
+    read = spark.readStream.schema(units.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/units")
+    cache = C.CacheTable(spark, f"{folder}/cache")
+    answer_units(read, cache, lambda misses: misses.select("cache_key", F.col("text").alias("value")), f"{folder}/answers", f"{folder}/asked").awaitTermination()
+    parts = fold_units(answers_of(spark, f"{folder}/answers"), most=200)
+    parts.writeStream.format("parquet").option("path", f"{folder}/parts").option("checkpointLocation", f"{folder}/folded").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(parts.schema).parquet(f"{folder}/parts")
+
+
 @query(f"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '{PROMPT}' ELSE '{PROMPT}' || chr(10) || chr(10)
  || 'Text content extracted from this page by using PyMuPDF, use this for reference and improve accuracy:' || chr(10) || '<text_content>' || chr(10) || text || chr(10) || '</text_content>' END AS prompt FROM documents""")
 def page_prompt(spark, sf_dir):
