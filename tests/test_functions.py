@@ -113,3 +113,15 @@ def test_media(spark):
     assert tuple(one(spark, M.fitted(F.lit(4000), F.lit(1000), 2000))) == (2000, 500)
     assert one(spark, M.media_type(F.lit("a/foojpg"))) is None and one(spark, M.media_type(F.lit("x.PDF"))) == "pdf"
     assert one(spark, M.image_error(F.lit(2001), F.lit(5), F.lit(2), F.lit(4))) == "dimensions" and one(spark, M.image_error(F.lit(2001), F.lit(5), F.lit(1), F.lit(4))) is None
+
+
+def test_clock_is_that_of_format_string_without_its_cost(spark, sf):
+    from scrivane.plans import catalog
+
+    odd = [None, 0.0, -0.0, 9.99, 10.0, 59.999, 60.0, 599.9, 600.0, 5999.0, 6000.0, 359999.5, -1.0, -0.5, -61.0, -700.0, float("nan")]
+    d = spark.createDataFrame([(x,) for x in odd], "x double").union(spark.range(0, 400000, 7).select(F.col("id") / 3))
+    plain = F.format_string("%02d:%02d", F.floor(F.col("x") / 60), F.floor(F.col("x") % 60))
+    assert d.where(~plain.eqNullSafe(S.clock(F.col("x")))).isEmpty()
+    made = catalog.queries()["chunk_prompt"](spark, sf)
+    assert "format_string" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert made.select(F.spark_partition_id().alias("task")).distinct().count() > 1
