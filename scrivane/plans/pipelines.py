@@ -21,6 +21,8 @@ from scrivane.sources.images import ImageCodec, PngCodec, image_loader
 
 #: Fixed values of a video job: seconds of a video, frames a second, seconds of a chunk.
 MOST_SECONDS, FRAME_RATE, CHUNK_SECONDS = 300, 0.5, 60
+#: Chunks whose transcripts lie in one row before chunks are made of it.
+CONTEXT_BLOCK = 64
 
 
 def process_pages(pages: DataFrame, factory: Callable[[], X.Model], prompt: str = P.DEFAULT_PROMPT, cache: C.CacheTable | None = None, *, images: list[str] | None = None, load: Callable[[], Callable[..., list[bytes]]] | None = None, limit: Leases | None = None) -> DataFrame:
@@ -74,25 +76,30 @@ def process_videos(videos: DataFrame, segments: DataFrame, factory: Callable[[],
     frames or call failed is counted, and error is the synthesis' or else the first
     such chunk's.
     """
-    chunks = L.chunk_plan(videos.select(key, "duration", "fps", *([F.col(path).alias("_path")] if decoder else [])), chunk)
+    tasks = int(videos.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = videos.select(key, "duration", "fps", *([F.col(path).alias("_path")] if decoder else []))
     frames = F.floor((F.col("end_sec") - F.col("start_sec")) * rate).cast("int")
-    joined = L.overlap_join(chunks.drop("duration", "fps", "_path"), segments, key, chunk)
-    spoken = L.chunk_transcripts(joined, [key, "chunk_idx"])
-    lines = spoken.select(key, "chunk_idx", F.posexplode("segments").alias("p", "s")).select(key, "chunk_idx", "p", S.lrc_line(F.col("s.start"), F.col("s.text")).alias("line"))
-    lrc = lines.groupBy(key, "chunk_idx").agg(F.array_sort(F.collect_list(F.struct("p", "line"))).alias("l")).select(key, "chunk_idx", S.prompt_context(S.lrc_document(F.transform("l", lambda x: x["line"]))).alias("context"))
-    asked = chunks.join(lrc, [key, "chunk_idx"], "left")
+    # Transcripts meet blocks of chunks, which are few, and no chunk is sorted or sent for them.
+    spoken = L.touched_chunks(columns, segments.withColumn("line", S.lrc_line(F.col("start"), F.col("text"))), key, chunk)
+    spoken = spoken.withColumn("_block", F.floor(F.col("chunk_idx") / CONTEXT_BLOCK).cast("int")).repartition(tasks, key, "_block")
+    ordered = F.array_sort(F.collect_list(F.struct("seg_idx", "start", "end", "text", "line")))
+    lrc = spoken.groupBy(key, "_block", "chunk_idx").agg(ordered.alias("l")).withColumn("context", S.prompt_context(S.lrc_document(F.transform("l", lambda x: x["line"]))))
+    lrc = lrc.groupBy(key, "_block").agg(F.map_from_entries(F.collect_list(F.struct("chunk_idx", "context"))).alias("_contexts"))
+    blocks = L.chunk_blocks(columns, chunk, CONTEXT_BLOCK).repartition(tasks, key, "_block").join(lrc, [key, "_block"], "left")
+    asked = L.block_chunks(blocks, chunk, CONTEXT_BLOCK).withColumn("context", F.try_element_at("_contexts", F.col("chunk_idx"))).drop("_contexts")
     text = P.chunk_prompt(F.lit(prompt), F.col("chunk_idx"), F.col("total_chunks"), F.col("start_sec"), F.col("end_sec"), F.col("duration"), frames, F.col("context"), rate)
     asked = asked.withColumn("prompt", text)
     keys = [key, "chunk_idx", "start_sec", "end_sec", "duration"]
     if decoder is None:
         answers = X.map_model(asked, factory, keys=keys, limit=limit)
     else:
-        at = L.range_frame_plan(chunks, rate).groupBy(key, "chunk_idx").agg(F.array_sort(F.collect_list("frame_position")).alias("positions"))
+        at = L.range_frame_plan(L.chunk_plan(columns, chunk), rate).groupBy(key, "chunk_idx").agg(F.array_sort(F.collect_list("frame_position")).alias("positions"))
         shown = asked.join(at, [key, "chunk_idx"], "left")
         # A number of partitions of its own: tasks are few megabytes, but each waits for many calls.
-        shown = shown.repartition(int(videos.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key, "chunk_idx")
+        shown = shown.repartition(tasks, key).sortWithinPartitions(key, "chunk_idx")
         answers = X.map_model(shown, factory, keys=keys, images=["_path", "positions"], load=frame_loader(decoder, reader=reader), limit=limit)
-    folded = L.fold(answers, key, prompt, rate)
+    # Answers travel once, with none of them put together before.
+    folded = L.fold(answers.repartition(tasks, key), key, prompt, rate)
     # One pass over the chunks' answers: a single chunk's answer is taken as it is, and where there is none nothing is asked.
     folded = folded.withColumn("answer", F.when(F.col("n_chunks") == 0, "").otherwise(F.col("answer")))
     made = X.map_model(folded, factory, keys=[key, "n_chunks", "failed_chunks", "chunk_error"], known="answer", limit=limit)

@@ -166,3 +166,18 @@ def test_frames_reach_the_model_and_failures_stay(spark, tmp_path):
 def test_capture_template(spark):
     docs = spark.createDataFrame([("f", "content")], "file_hash string, content string")
     assert capture_template(docs, X.StubModel, "a: string").collect()[0]["result"].startswith("stub:")
+
+
+def test_a_local_model_is_called_without_threads(spark):
+    import threading
+
+    class Here(X.StubModel):
+        def call(self, request):
+            return X.Answer(threading.current_thread().name)
+
+    class There(Here):
+        local = False
+
+    rows = spark.range(50).select("id", F.lit("x").alias("prompt"))
+    names = lambda factory: {r["result"].split("_")[0] for r in X.map_model(rows, factory, keys=["id"]).collect()}
+    assert names(Here) == {"MainThread"} and names(There) != {"MainThread"}
